@@ -15,6 +15,7 @@ file without a decoder asks for. Null counts as the empty text: no tokens, and t
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import unicodedata
@@ -29,9 +30,32 @@ from pyspark.sql import functions as F
 
 from . import textnp as X
 
-#: The white space of the file's pattern, and its word pattern.
+#: The white space of the file's pattern, and its word pattern for given letter and number classes.
 SPACE = r"\t-\r \x85\xa0  -     　"
-WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
+
+
+def _unicode_class(kind: str) -> str:
+    """The code points whose category in Python's Unicode tables begins with kind, as ranges of a pattern."""
+    has = np.fromiter((unicodedata.category(chr(c))[0] == kind for c in range(0x110000)), bool, 0x110000)
+    edge = np.flatnonzero(np.diff(has.astype(np.int8), prepend=0, append=0))
+    return "".join(rf"\U{a:08x}-\U{b - 1:08x}" for a, b in zip(edge[::2], edge[1::2], strict=True))
+
+
+#: The fast pattern takes the newer Unicode tables of the regex module; a text with characters that only those know goes
+#: through the pattern of Python's own tables, which are as old as the library's.
+WORD = regex.compile(PATTERN.format(L=r"\p{L}", N=r"\p{N}", S=SPACE))
+
+
+@functools.cache
+def _settled() -> regex.Pattern:
+    return regex.compile(PATTERN.format(L=_unicode_class("L"), N=_unicode_class("N"), S=SPACE))
+
+
+@functools.cache
+def _newer() -> frozenset[str]:
+    known = regex.compile(r"[\p{L}\p{N}]")
+    return frozenset(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and known.match(c))
 #: Words kept with their ids by a task; beyond it the table starts anew, which costs time only.
 CACHED_WORDS = 400_000
 
@@ -127,6 +151,8 @@ class WordBpe:
         """Words of a stretch of text without added tokens."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if not _newer().isdisjoint(text):
+                return _settled().findall(text.lower())
         return WORD.findall(text.lower())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
