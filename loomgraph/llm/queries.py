@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import bpe_codec
+from .fm_decontaminate import fm_decontaminate
 from .ngram_jaccard_join import ngram_jaccard_join
 
 
@@ -19,12 +20,17 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op6_fm_decontaminate": op6_fm_decontaminate,
     "op8_bpe_codec": op8_bpe_codec,
 }
 #: DuckDB SQL of those that SQL can express on whole tables
