@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import bpe_codec
 from .fm_decontaminate import fm_decontaminate
 from .ngram_jaccard_join import ngram_jaccard_join
+from .suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), keep=False)
+
+
 def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +35,7 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op6_fm_decontaminate": op6_fm_decontaminate,
     "op8_bpe_codec": op8_bpe_codec,
 }
