@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import bpe_codec
 from .fm_decontaminate import fm_decontaminate
+from .language_id import language_id
 from .ngram_jaccard_join import ngram_jaccard_join
 from .suffix_dedup import suffix_dedup
 
@@ -25,6 +26,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), keep=False)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"), spans=False)
+
+
 def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +41,7 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_language_id": op5_language_id,
     "op6_fm_decontaminate": op6_fm_decontaminate,
     "op8_bpe_codec": op8_bpe_codec,
 }
