@@ -11,6 +11,7 @@ from .bpe_codec import bpe_codec
 from .fm_decontaminate import fm_decontaminate
 from .language_id import language_id
 from .ngram_jaccard_join import ngram_jaccard_join
+from .pivot_index import embedding_near_dedup
 from .suffix_dedup import suffix_dedup
 
 
@@ -34,6 +35,10 @@ def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False)
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op6_fm_decontaminate": op6_fm_decontaminate,
+    "op7_pivot_index": op7_pivot_index,
     "op8_bpe_codec": op8_bpe_codec,
 }
 #: DuckDB SQL of those that SQL can express on whole tables
