@@ -32,7 +32,7 @@ from .shared import cut, width
 U64 = np.uint64
 ANCHOR = 40
 PLACE_BITS = 28
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 FLUSH = 16 << 20
 _POWER = U64(0x9E3779B97F4A7C55)
 _BYTES = X.mix64(np.arange(1, 257, dtype=np.uint64) * X.GOLDEN)
