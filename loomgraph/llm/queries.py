@@ -12,6 +12,7 @@ from .fm_decontaminate import fm_decontaminate
 from .language_id import language_id
 from .ngram_jaccard_join import ngram_jaccard_join
 from .pivot_index import embedding_near_dedup
+from .quality_mil import quality_mil
 from .suffix_dedup import suffix_dedup
 
 
@@ -43,6 +44,10 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False)
 
 
+def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), attention=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_suffix_dedup": op3_suffix_dedup,
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fm_decontaminate": op6_fm_decontaminate,
     "op7_pivot_index": op7_pivot_index,
     "op8_bpe_codec": op8_bpe_codec,
+    "op10_quality_mil": op10_quality_mil,
 }
 #: DuckDB SQL of those that SQL can express on whole tables
 ORACLES: dict[str, str] = {}
