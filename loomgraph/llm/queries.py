@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import bpe_codec
+from .chat_format import chat_format
 from .fm_decontaminate import fm_decontaminate
 from .language_id import language_id
+from .license_scan import license_scan
 from .ngram_jaccard_join import ngram_jaccard_join
 from .pivot_index import embedding_near_dedup
 from .quality_mil import quality_mil
 from .suffix_dedup import suffix_dedup
+from .token_packing import token_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +27,26 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), keep=False)
 
 
+#: Schemas of the tools that conversations may call; calls of other tools are reported as unknown.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
+    "fetch": {"type": "object", "properties": {"url": {"type": "string"}}, "required": ["url"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"]},
+}
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(_table(spark, sf_dir, "conversations"), TOOLS)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"), spans=False)
 
@@ -48,13 +67,20 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), attention=False)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"), matches=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_token_packing": op2_token_packing,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
     "op6_fm_decontaminate": op6_fm_decontaminate,
     "op7_pivot_index": op7_pivot_index,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_mil": op10_quality_mil,
 }
 #: DuckDB SQL of those that SQL can express on whole tables
