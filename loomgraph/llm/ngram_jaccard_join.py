@@ -6,8 +6,9 @@ found, none is estimated:
 1. One scan hashes every document's shingle set; documents with equal sets form a class, and only one member of a
    class goes on.
 2. Prefix filter: two sets that link share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each, in any common
-   order of shingles. The order puts shingles that many documents share last, the rest by hash. A map task sends
-   its (shingle, class, size) triples sorted and packed, one row per reducer.
+   order of shingles. The order is from rare to frequent, by a sketch of 2**20 counters over all documents (its size is
+   fixed, so it can be sent to all tasks), then by hash. Counters that shingles share change only the work, not the
+   links. A map task sends its (shingle, class, size) triples sorted and packed, one row per reducer.
 3. Classes that share such a shingle and whose sizes agree form candidate clusters (connected components).
 4. In each cluster a signature tree is built: members sorted so that like ones are neighbours, leaf bitmaps of hashed
    shingles, inner nodes with OR-combined bitmaps and size ranges. A dual traversal drops node pairs whose maximum
@@ -20,6 +21,7 @@ Shingles are compared as 64-bit hashes of whole word sequences.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ from .shared import cut, width
 U64 = np.uint64
 _LANES = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3)]
 BATCH = 1_000_000
+#: Cells of the sketch that ranks shingles by how often they occur, and the blocks in which tasks' sketches are added up.
+CELLS, BLOCKS = 1 << 20, 64
 
 
 def shingle_sets(texts: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -85,29 +89,46 @@ def _class_ids(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _scan(words: int, share: float, least: int):
-    """Documents -> (doc_id, n_shingles, cls) rows, and (token, n) rows of shingles that many documents of a task share."""
+def _scan(words: int):
+    """Documents -> (doc_id, n, cls) rows, and (block, counts) rows of a task's sketch of shingle counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts, docs = np.zeros(0, U64), np.zeros(0, np.int64), 0
+        sketch, seen = np.zeros(CELLS, np.uint32), np.zeros(0, np.int64)
         for part in X.pieces(batches, "text", 8 << 20):
             sets, off = shingle_sets(part.column("text"), words)
-            n = np.diff(off)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(_class_ids(sets, off)), pa.nulls(len(n), pa.int64())], names=["doc_id", "n", "cls", "token"])
-            docs += len(n)
-            seen, times = np.unique(sets, return_counts=True)
-            some = times >= max(2, int(share * len(n)))
-            tokens, at = np.unique(np.concatenate([tokens, seen[some]]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, times[some]]), len(tokens)).astype(np.int64)
-        some = counts >= max(least, int(share * docs))
-        k = int(some.sum())
-        if k:
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(counts[some]), pa.nulls(k, pa.int64()), pa.array(tokens[some].view(np.int64))], names=["doc_id", "n", "cls", "token"])
+            n, cls = np.diff(off), _class_ids(sets, off)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(cls), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "cls", "block", "counts"])
+            rows, seen = _fresh(cls, n, seen)
+            sketch += np.bincount(_cells(sets[X.ranges(off[rows], n[rows])]), minlength=CELLS).astype(np.uint32)
+        blocks = [(i, x) for i, x in enumerate(np.split(sketch, BLOCKS)) if x.any()]
+        none = pa.nulls(len(blocks), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _ in blocks], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in blocks], pa.binary())], names=["doc_id", "n", "cls", "block", "counts"])
 
     return run
 
 
-def _prefixes(words: int, num: int, den: int, common: np.ndarray, parts: int):
+def _cells(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _fresh(cls: np.ndarray, n: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the first member of each class that the task has not met, and the classes it has met now."""
+    _, first = np.unique(cls, return_index=True)
+    first = np.sort(first)
+    first = first[(n[first] > 0) & ~np.isin(cls[first], seen)]
+    return first, np.union1d(seen, cls[first])
+
+
+def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, counts) rows of tasks -> one row a block, with the sums as 64-bit integers."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+
+
+def _prefixes(words: int, num: int, den: int, levels, parts: int):
     """Documents -> (part, tokens, classes, sizes): each set's prefix, packed by range of the shingle's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,24 +149,15 @@ def _prefixes(words: int, num: int, den: int, common: np.ndarray, parts: int):
         for piece in X.pieces(batches, "text", 8 << 20):
             sets, off = shingle_sets(piece.column("text"), words)
             n, cls = np.diff(off), _class_ids(sets, off)
-            _, first = np.unique(cls, return_index=True)
-            fresh = np.zeros(len(cls), bool)
-            fresh[first] = True
-            fresh &= (n > 0) & ~np.isin(cls, seen)
-            seen = np.union1d(seen, cls[fresh])
-            rows = np.flatnonzero(fresh)
+            rows, seen = _fresh(cls, n, seen)
             if not len(rows):
                 continue
             size = n[rows]
-            flat = sets[X.ranges(off[rows], size)]
-            group = np.repeat(np.arange(len(rows)), size)
-            last = np.isin(flat, common)
-            if last.any():  # common shingles go behind the others of their set
-                order = np.lexsort((last, group))
-                flat = flat[order]
             k = size - (num * size + den - 1) // den + 1
-            at = X.ranges(np.cumsum(size) - size, k)
-            held.append((flat[at], np.repeat(cls[rows], k), np.repeat(size, k).astype(np.int32)))
+            rank = (levels.value[_cells(sets)].astype(U64) << U64(56)) | (sets & U64((1 << 56) - 1))
+            lo = off[rows]
+            at = np.concatenate([a + np.argpartition(rank[a : a + m], j - 1)[:j] for a, m, j in zip(lo.tolist(), size.tolist(), k.tolist(), strict=True)])
+            held.append((sets[at], np.repeat(cls[rows], k), np.repeat(size, k).astype(np.int32)))
             total += int(k.sum())
             if total >= BATCH:
                 yield from flush()
@@ -338,23 +350,23 @@ def _cluster_links(words: int, num: int, den: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, share: float = 0.002, most_common: int = 100_000, block_shingles: int = 4_000_000) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, block_shingles: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text; more columns are ignored).
 
     Documents link when |x & y| / |x | y| >= num / den over sets of `words`-word shingles; component_id is the smallest
     doc_id reachable by links. Null and empty texts have no shingles and link with nothing. Repeated rows of one
     doc_id are returned as often as given. A row with null doc_id is returned alone, its component_id null.
-    `share`, `most_common`: a shingle in so large a part of a task's documents is moved to the end of the shingle
-    order (at most most_common of them, 8 bytes each, broadcast). This changes only the work, not the links.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = cut(source.mapInArrow(_scan(words, share, 8), "doc_id long, n long, cls long, token long"))
-    per_doc = scanned.where("token is null").select("doc_id", "n", "cls")
-    counts = scanned.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most_common)
-    common = np.sort(np.array([r.token for r in counts.collect()], np.int64).view(U64))
+    scanned = cut(source.mapInArrow(_scan(words), "doc_id long, n long, cls long, block int, counts binary"))
+    per_doc = scanned.where("block is null").select("doc_id", "n", "cls")
+    sketch = np.zeros((BLOCKS, CELLS // BLOCKS), np.int64)
+    for r in scanned.where("block is not null").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(_add_sketches, "block int, counts binary").collect():
+        sketch[r.block] = np.frombuffer(r.counts, np.int64)
+    levels = spark.sparkContext.broadcast(np.minimum(np.log2(sketch.ravel() + 1) * 6, 255).astype(np.uint8))  # 1 MB
     parts = width(spark)
-    packed = source.mapInArrow(_prefixes(words, num, den, common, parts), "part int, tokens binary, classes binary, sizes binary")
+    packed = source.mapInArrow(_prefixes(words, num, den, levels, parts), "part int, tokens binary, classes binary, sizes binary")
     edges = packed.repartition(parts, "part").mapInArrow(_candidates(num, den), "a long, b long")
     clusters = components(edges)
     classes = per_doc.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
