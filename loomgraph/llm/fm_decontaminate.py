@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as X
+from .shared import fields
 
 U64 = np.uint64
 SAMPLE = 16
@@ -191,11 +192,14 @@ def stretches(symbols: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarr
 class Shard:
     """Documents of one index, until it is built."""
 
-    def __init__(self) -> None:
+    def __init__(self, carry: tuple[str, ...] = ()) -> None:
+        self.carry, self.carried = carry, []
         self.ids, self.counts, self.seq, self.doc, self.begin, self.end = [], [], [], [], [], []
         self.docs = self.symbols = self.bytes = 0
 
-    def add(self, ids: pa.Array, phrases: Phrases, texts: pa.Array) -> None:
+    def add(self, part: pa.RecordBatch, phrases: Phrases) -> None:
+        ids, texts = part.column("doc_id"), part.column("text")
+        self.carried.append([part.column(c) for c in self.carry])
         buf, off = X.text_buffer(texts)
         buf = X.lower_ascii(buf)
         starts, ends, at = X.word_spans(buf, off, X.ALNUM)
@@ -250,34 +254,35 @@ class Shard:
         names = [sorted(phrases.items[i] for i in items.get(d, ())) for d in range(self.docs)]
         none = hashlib.sha256(b"").hexdigest()
         return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays(self.ids), pa.array(counts), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else none for x in names]), pa.array((n_hit > 0) & (20 * n_hit >= counts)), pa.array([spans.get(d, []) for d in range(self.docs)], SPANS)],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
+            [pa.concat_arrays(self.ids), pa.array(counts), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else none for x in names]), pa.array((n_hit > 0) & (20 * n_hit >= counts)), pa.array([spans.get(d, []) for d in range(self.docs)], SPANS), *(pa.concat_arrays(x) for x in zip(*self.carried, strict=True))],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *self.carry],
         )
 
 
 SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def _run(phrases):
+def _run(phrases, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard()
+        shard = Shard(carry)
         for part in X.pieces(batches, "text", 4 << 20):
-            shard.add(part.column("doc_id").cast(pa.int64()), phrases.value, part.column("text"))
+            shard.add(part, phrases.value)
             if shard.symbols >= SHARD_SYMBOLS or shard.bytes >= SHARD_BYTES:
                 yield shard.close(phrases.value)
-                shard = Shard()
+                shard = Shard(carry)
         if shard.docs:
             yield shard.close(phrases.value)
 
     return run
 
 
-def fm_decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_bytes: int = 256 << 20) -> DataFrame:
+def fm_decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_bytes: int = 256 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for every row of docs (doc_id, text).
 
     spans are byte ranges [begin, end) of the UTF-8 text whose words are hit. Nulls and empty texts have no words and
     are clean; benchmark rows with null text or id are ignored, repeated rows count once; no benchmark hits nothing.
     The benchmark is sent to all tasks, so its size is checked: over most_bytes of text this raises a ValueError.
+    `carry` names columns of docs that are returned as well.
     """
     spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
@@ -290,5 +295,5 @@ def fm_decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, mo
         merged.setdefault(str(r.item_id), []).append(r.text)
     ids = [i for i, texts in merged.items() for _ in texts]
     phrases = spark.sparkContext.broadcast(Phrases(ids, [t for texts in merged.values() for t in texts], window))
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin: long, end: long>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run(phrases), schema)
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin: long, end: long>>" + fields(docs, carry)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text")).mapInArrow(_run(phrases, carry), schema)

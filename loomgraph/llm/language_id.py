@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as X
+from .shared import fields
 
 U64 = np.uint64
 WORD_BUCKETS, END_BUCKETS = 1 << 17, 1 << 15
@@ -140,7 +141,7 @@ def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
     return label
 
 
-def _predict(model, penalty: float, with_spans: bool):
+def _predict(model, penalty: float, with_spans: bool, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         k = len(m.labels)
@@ -179,7 +180,8 @@ def _predict(model, penalty: float, with_spans: bool):
                         if letters[d]:
                             spans[d].append({"begin": b, "end": e, "lang": m.labels[x]})
                 out.append(pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "lang_pred", "score", "spans"][: len(out)])
+            names = ["doc_id", "held_out", "lang_pred", "score", "spans"][: len(out)]
+            yield pa.RecordBatch.from_arrays([*out, *(part.column(c) for c in carry)], names=[*names, *carry])
 
     return run
 
@@ -189,12 +191,13 @@ def held_out(column: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % folds == fold, F.lit(False))
 
 
-def language_id(docs: DataFrame, penalty: float = 4.0, most_rows: int = 20_000, spans: bool = True, learn_from: DataFrame | None = None) -> DataFrame:
+def language_id(docs: DataFrame, penalty: float = 4.0, most_rows: int = 20_000, spans: bool = True, learn_from: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score[, spans]) for every row of docs (doc_id, text, lang for learning only).
 
     Learns from rows of `learn_from` (default: docs) with non-null text and lang that are not held out. lang_pred is
     `und`, score 0, where text is null or has no letter, or nothing could be learnt. spans are byte ranges with their
     language. Ties go to the label that comes first in order of code points. Repeated rows get equal results.
+    `carry` names columns of docs that are returned as well.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string").alias("text")
@@ -205,5 +208,5 @@ def language_id(docs: DataFrame, penalty: float = 4.0, most_rows: int = 20_000,
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else rows
     counts = drawn.select("text", "lang").mapInArrow(_count(labels), "feature long, lang int, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     model = spark.sparkContext.broadcast(Model(labels, *(counts.column(x).to_numpy() for x in ("feature", "lang", "n"))))
-    schema = "doc_id long, held_out boolean, lang_pred string, score double" + ", spans array<struct<begin: long, end: long, lang: string>>" * spans
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", 4, 2).alias("held_out"), text).mapInArrow(_predict(model, penalty, spans), schema)
+    schema = "doc_id long, held_out boolean, lang_pred string, score double" + ", spans array<struct<begin: long, end: long, lang: string>>" * spans + fields(docs, carry)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", 4, 2).alias("held_out"), text, *(c for c in carry if c != "text")).mapInArrow(_predict(model, penalty, spans, carry), schema)

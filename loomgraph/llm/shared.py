@@ -21,6 +21,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fields(df: DataFrame, names: tuple[str, ...]) -> str:
+    """Columns carried through an operator, as the end of a schema text."""
+    return "".join(f", {name} {df.schema[name].dataType.simpleString()}" for name in names)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

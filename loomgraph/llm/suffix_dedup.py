@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as X
-from .shared import cut, width
+from .shared import cut, fields, width
 
 U64 = np.uint64
 ANCHOR = 40
@@ -540,17 +540,18 @@ def _cut_out(keep_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, least: int = 200, keep: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, least: int = 200, keep: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]) for every row of docs (doc_id, text).
 
     A byte is removed if a string of `least` bytes covers it that also starts at another place: in another row or in
     the same one, overlaps included, judged on the texts as given. spans are the removed byte ranges, kept the rest
     (bytes: a cut may part a character). Null counts as empty; rows with null doc_id take part; rows given twice are
-    copies of each other; further columns are ignored.
+    copies of each other; further columns
+    are ignored, but those that `carry` names (not text) are returned.
     """
     spark = docs.sparkSession
     parts = width(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("cls", F.xxhash64("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry).withColumn("cls", F.xxhash64("text"))
     per_class = cut(source.where(F.octet_length("text") >= least).groupBy("cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")))
     packed = source.where(F.octet_length("text") >= least).select("cls", "text").mapInArrow(_find_anchors(least, ANCHOR, parts), "part int, hashes binary, classes binary, places binary")
     repeated = packed.repartition(parts, "part").mapInArrow(_repeated, "cls long, place long, hash long")
@@ -564,6 +565,7 @@ def suffix_dedup(docs: DataFrame, least: int = 200, keep: bool = True) -> DataFr
     spans_type = "array<struct<begin: bigint, end: bigint>>"
     copies = source.select("doc_id", "cls").join(per_class.where("n > 1").select("cls"), "cls").distinct().select("cls", "doc_id", F.lit(True).alias("whole"), F.lit(None).cast(spans_type).alias("found"))
     decided = cut(single.unionByName(copies))
-    joined = source.alias("s").join(decided.alias("d").hint("shuffle_hash"), (F.col("s.cls") == F.col("d.cls")) & F.col("s.doc_id").eqNullSafe(F.col("d.doc_id")), "left").select("s.doc_id", "s.text", F.coalesce("d.whole", F.lit(False)).alias("whole"), "d.found")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<begin: long, end: long>>, kept binary" * keep
+    passed = [F.col(f"s.{c}") for c in carry]
+    joined = source.alias("s").join(decided.alias("d").hint("shuffle_hash"), (F.col("s.cls") == F.col("d.cls")) & F.col("s.doc_id").eqNullSafe(F.col("d.doc_id")), "left").select("s.doc_id", "s.text", F.coalesce("d.whole", F.lit(False)).alias("whole"), "d.found", *passed)
+    schema = "doc_id long" + fields(docs, carry) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<begin: long, end: long>>, kept binary" * keep
     return joined.mapInArrow(_cut_out(keep), schema)
