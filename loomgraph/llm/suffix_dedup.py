@@ -93,7 +93,8 @@ def anchors(buf: np.ndarray, off: np.ndarray, least: int, k: int) -> tuple[np.nd
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1 if len(first) else first
     d = doc[first]
-    return d, h[at[first]], at[first] - off[d], starts[first] - off[d], starts[last] - off[d]
+    # the least of many hashes is small: mixed again, it spreads over all shards
+    return d, X.mix64(h[at[first]]), at[first] - off[d], starts[first] - off[d], starts[last] - off[d]
 
 
 # -- suffix arrays ---------------------------------------------------------------------------------------------------
