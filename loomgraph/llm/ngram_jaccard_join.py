@@ -6,10 +6,10 @@ found, none is estimated:
 1. One scan hashes every document's shingle set; documents with equal sets form a class, and only one member of a
    class goes on.
 2. Prefix filter: two sets that link share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each, in any common
-   order of shingles. The order is from rare to frequent, by a sketch of 2**20 counters over all documents (its size is
+   order of shingles. The order is from rare to frequent, by a sketch of 2**22 counters over all documents (its size is
    fixed, so it can be sent to all tasks), then by hash. Counters that shingles share change only the work, not the
-   links. A map task sends its (shingle, class, size) triples sorted and packed, one row per reducer.
-3. Classes that share such a shingle and whose sizes agree form candidate clusters (connected components).
+   links. A map task sends its (shingle, class, size, place) rows sorted and packed, one row per reducer.
+3. Classes that share such a shingle and whose sizes and places in the order allow a link form candidate clusters (connected components).
 4. In each cluster a signature tree is built: members sorted so that like ones are neighbours, leaf bitmaps of hashed
    shingles, inner nodes with OR-combined bitmaps and size ranges. A dual traversal drops node pairs whose maximum
    possible overlap is too small or whose members are all connected already; surviving pairs of members are verified
@@ -37,7 +37,9 @@ U64 = np.uint64
 _LANES = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3)]
 BATCH = 1_000_000
 #: Cells of the sketch that ranks shingles by how often they occur, and the blocks in which tasks' sketches are added up.
-CELLS, BLOCKS = 1 << 20, 64
+CELLS, BLOCKS = 1 << 22, 64
+#: In a group of up to so many classes that share a shingle all pairs are tested by size and place; none is emitted.
+PAIRED = 32
 
 
 def shingle_sets(texts: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -120,31 +122,31 @@ def _fresh(cls: np.ndarray, n: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray
 
 
 def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, counts) rows of tasks -> one row a block, with the sums as 64-bit integers."""
+    """(block, counts) rows of tasks -> one row a block, with the logarithms of the sums as bytes."""
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(np.log2(x + 1) * 6, 255).astype(np.uint8).tobytes() for x in total.values()], pa.binary())], names=["block", "levels"])
 
 
 def _prefixes(words: int, num: int, den: int, levels, parts: int):
     """Documents -> (part, tokens, classes, sizes): each set's prefix, packed by range of the shingle's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         seen = np.zeros(0, np.int64)
         total = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            t, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            t, c, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(t)
-            t, c, n = t[order], c[order], n[order]
+            t, c, n, place = t[order], c[order], n[order], place[order]
             part = ((t >> U64(32)) * U64(parts)) >> U64(32)
             cut_at = np.flatnonzero(np.diff(part, prepend=U64(parts)))
             ends = np.append(cut_at[1:], len(t))
-            rows = [[int(part[a]) for a in cut_at], *([x[a:b].tobytes() for a, b in zip(cut_at, ends, strict=True)] for x in (t, c, n))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["part", "tokens", "classes", "sizes"])
+            rows = [[int(part[a]) for a in cut_at], *([x[a:b].tobytes() for a, b in zip(cut_at, ends, strict=True)] for x in (t, c, n, place))]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["part", "tokens", "classes", "sizes", "places"])
 
         for piece in X.pieces(batches, "text", 8 << 20):
             sets, off = shingle_sets(piece.column("text"), words)
@@ -156,8 +158,9 @@ def _prefixes(words: int, num: int, den: int, levels, parts: int):
             k = size - (num * size + den - 1) // den + 1
             rank = (levels.value[_cells(sets)].astype(U64) << U64(56)) | (sets & U64((1 << 56) - 1))
             lo = off[rows]
-            at = np.concatenate([a + np.argpartition(rank[a : a + m], j - 1)[:j] for a, m, j in zip(lo.tolist(), size.tolist(), k.tolist(), strict=True)])
-            held.append((sets[at], np.repeat(cls[rows], k), np.repeat(size, k).astype(np.int32)))
+            at = np.concatenate([a + _lowest(rank[a : a + m], j) for a, m, j in zip(lo.tolist(), size.tolist(), k.tolist(), strict=True)])
+            place = np.minimum(np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k), 65535).astype(np.uint16)
+            held.append((sets[at], np.repeat(cls[rows], k), np.repeat(size, k).astype(np.int32), place))
             total += int(k.sum())
             if total >= BATCH:
                 yield from flush()
@@ -168,17 +171,27 @@ def _prefixes(words: int, num: int, den: int, levels, parts: int):
     return run
 
 
+def _lowest(rank: np.ndarray, k: int) -> np.ndarray:
+    at = np.argpartition(rank, k - 1)[:k]
+    return at[np.argsort(rank[at])]
+
+
 def _candidates(num: int, den: int):
-    """Packed prefixes of a part -> (a, b): star edges between classes that share a shingle and may agree in size."""
+    """Packed prefixes of a part -> (a, b): edges that connect classes which share a shingle and may link through it.
+
+    If a shingle is the first that sets of sizes n <= m share, at places i and j of their order, then min(n - i, m - j)
+    bounds the overlap. In larger groups an entry is joined with the next smaller one whose place lets it be the smaller
+    side of a link, which connects no less.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, c, n = [], [], []
+        t, c, n, p = [], [], [], []
         for b in batches:
-            for k, out, kind in ((1, t, U64), (2, c, np.int64), (3, n, np.int32)):
+            for k, out, kind in ((1, t, U64), (2, c, np.int64), (3, n, np.int32), (4, p, np.uint16)):
                 out += [np.frombuffer(x.as_buffer(), kind) for x in b.column(k)]
         if not t:
             return
-        t, c, n = np.concatenate(t), np.concatenate(c), np.concatenate(n).astype(np.int64)
+        t, c, n, p = np.concatenate(t), np.concatenate(c), np.concatenate(n), np.concatenate(p)
         order = np.argsort(t, kind="stable")
         s = t[order]
         same = s[1:] == s[:-1]
@@ -186,17 +199,35 @@ def _candidates(num: int, den: int):
         shared[1:] |= same
         shared[:-1] |= same
         pick = order[shared]
-        t, c, n = t[pick], c[pick], n[pick]
-        order = np.lexsort((c, n, t))
-        t, c, n = t[order], c[order], n[order]
+        t, c, n, p = t[pick], c[pick], n[pick].astype(np.int64), p[pick].astype(np.int64)
+        smaller = (num + den) * (n - p) >= 2 * num * n  # may be the smaller side
+        order = np.lexsort((c, ~smaller, n, t))
+        t, c, n, p, smaller = t[order], c[order], n[order], p[order], smaller[order]
         if not len(t):
             return
         new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (num * n[1:] > den * n[:-1])
-        run_of = np.cumsum(new) - 1
-        low = np.minimum.reduceat(c, np.flatnonzero(new))[run_of]
-        far = low != c
-        edges = np.unique(np.stack([low[far], c[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
+        new[1:] = t[1:] != t[:-1]
+        group = np.cumsum(new) - 1
+        count = np.bincount(group)[group]
+        found = []
+        small = np.flatnonzero(count <= PAIRED)
+        for d in range(1, PAIRED):
+            i = small[small + d < len(t)]
+            i = i[group[i] == group[i + d]]
+            if not len(i):
+                break
+            j = i + d
+            bound = np.minimum(n[i] - p[i], n[j] - p[j])
+            ok = (c[i] != c[j]) & ((num + den) * bound >= num * (n[i] + n[j])) & (num * n[j] <= den * n[i])
+            found.append(np.stack([c[i[ok]], c[j[ok]]], 1))
+        large = np.flatnonzero(count > PAIRED)
+        if len(large):
+            last = np.maximum.accumulate(np.where(smaller, np.arange(len(t)), -1))
+            before = np.concatenate([[-1], last[:-1]])[large]
+            ok = (before >= 0) & (group[before] == group[large]) & (num * n[large] <= den * n[before]) & (c[before] != c[large])
+            found.append(np.stack([c[before[ok]], c[large[ok]]], 1))
+        edges = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        edges = np.unique(np.sort(edges, 1), axis=0)
         for i in range(0, len(edges), 100_000):
             x = edges[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
@@ -361,12 +392,12 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = cut(source.mapInArrow(_scan(words), "doc_id long, n long, cls long, block int, counts binary"))
     per_doc = scanned.where("block is null").select("doc_id", "n", "cls")
-    sketch = np.zeros((BLOCKS, CELLS // BLOCKS), np.int64)
-    for r in scanned.where("block is not null").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(_add_sketches, "block int, counts binary").collect():
-        sketch[r.block] = np.frombuffer(r.counts, np.int64)
-    levels = spark.sparkContext.broadcast(np.minimum(np.log2(sketch.ravel() + 1) * 6, 255).astype(np.uint8))  # 1 MB
+    level = np.zeros((BLOCKS, CELLS // BLOCKS), np.uint8)
+    for r in scanned.where("block is not null").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(_add_sketches, "block int, levels binary").collect():
+        level[r.block] = np.frombuffer(r.levels, np.uint8)
+    levels = spark.sparkContext.broadcast(level.ravel())  # CELLS bytes
     parts = width(spark)
-    packed = source.mapInArrow(_prefixes(words, num, den, levels, parts), "part int, tokens binary, classes binary, sizes binary")
+    packed = source.mapInArrow(_prefixes(words, num, den, levels, parts), "part int, tokens binary, classes binary, sizes binary, places binary")
     edges = packed.repartition(parts, "part").mapInArrow(_candidates(num, den), "a long, b long")
     clusters = components(edges)
     classes = per_doc.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
