@@ -60,7 +60,7 @@ def name_tokens(name: Column) -> Column:
     s = F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2")
     s = F.regexp_replace(s, "([A-Z]+)([A-Z][a-z])", "$1 $2")
     s = F.trim(F.regexp_replace(s, "[^a-zA-Z0-9]+", " "))
-    return F.filter(F.transform(F.split(s, " +"), F.lower), lambda t: F.length(t) > 1)
+    return F.filter(F.transform(F.split(s, " +"), lambda t: F.lower(t)), lambda t: F.length(t) > 1)
 
 
 def verb_class(token: Column) -> Column:

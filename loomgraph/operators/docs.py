@@ -13,7 +13,7 @@ from ..session import cut
 
 def paragraphs(docs: DataFrame, most: int = 1200, least: int = 150) -> DataFrame:
     """(id, para, chunk, text, short): texts cut at blank lines, long paragraphs into pieces of `most` characters."""
-    blocks = docs.select("id", F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n+"), F.trim), lambda p: p != "")).alias("para", "block"))
+    blocks = docs.select("id", F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n+"), lambda p: F.trim(p)), lambda p: p != "")).alias("para", "block"))
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("block") / most).cast("int") - 1, F.lit(0)))
     pieces = blocks.select("id", "para", "block", F.posexplode(starts).alias("chunk", "n")).select("id", "para", "chunk", F.trim(F.substring(F.col("block"), F.col("n") * most + 1, F.lit(most))).alias("text"))
     return pieces.where("text != ''").withColumn("short", F.length("text") < least)

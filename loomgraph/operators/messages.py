@@ -20,7 +20,7 @@ def fill_sender(lines: DataFrame, pattern: str) -> DataFrame:
 def arguments(text: Column) -> Column:
     """Comma-separated arguments outside quotes, trimmed; an empty one is dropped."""
     parts = F.regexp_extract_all(text, F.lit(r"""((?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^,"'])+)"""), F.lit(1))
-    return F.filter(F.transform(parts, F.trim), lambda a: a != "")
+    return F.filter(F.transform(parts, lambda a: F.trim(a)), lambda a: a != "")
 
 
 def unquoted(arg: Column) -> Column:

@@ -22,7 +22,8 @@ def table_regions(cells: DataFrame, gap: int = 0, max_rounds: int = 1000) -> Dat
         low = near.groupBy("sheet", "r", "c").agg(F.min("label").alias("low"))
         nxt = cut(state.join(low, ["sheet", "r", "c"]).select("sheet", "r", "c", F.col("low").alias("label"), (F.col("low") < F.col("label")).alias("moved")))
         jump = nxt.select("sheet", F.col("r").alias("lr"), F.col("c").alias("lc"), F.col("label").alias("next"))
-        nxt = cut(nxt.join(jump, (nxt["sheet"] == jump["sheet"]) & (nxt["label.r"] == jump["lr"]) & (nxt["label.c"] == jump["lc"])).select(nxt["sheet"], "r", "c", F.col("next").alias("label"), (F.col("moved") | (F.col("next") < F.col("label"))).alias("moved")))
+        nxt = nxt.withColumn("lr", F.col("label.r")).withColumn("lc", F.col("label.c"))
+        nxt = cut(nxt.join(jump, ["sheet", "lr", "lc"]).select("sheet", "r", "c", F.col("next").alias("label"), (F.col("moved") | (F.col("next") < F.col("label"))).alias("moved")))
         state = nxt.drop("moved")
         if nxt.where("moved").isEmpty():
             break

@@ -74,7 +74,7 @@ class Tables:
 
     def urls(self) -> DataFrame:
         """(id, url): page paths with numbers as :id."""
-        path = F.regexp_replace("url", r"^https?://[^/]+|[?#].*$", "")
+        path = F.regexp_replace(F.regexp_replace("url", r"^https?://[^/]+|[?#].*$", ""), "/+$", "")
         return self.pages.select(F.col("page_id").alias("id"), F.regexp_replace(path, r"/[0-9]+", "/:id").alias("url"))
 
     def messages(self) -> DataFrame:
@@ -84,10 +84,10 @@ class Tables:
 
     def passages(self) -> DataFrame:
         """(id, text, score, mentions): documents with the capitalised words of their first line as mentions."""
-        words = F.regexp_extract_all(F.split("text", "\n")[0], F.lit(r"\b([A-Z][a-z]{2,})\b"), F.lit(1))
+        words = F.filter(F.split(F.split("text", "\n")[0], "[ ,.]+"), lambda w: w.rlike("^[A-Z][a-z]{2,}$"))
         kind = lambda w: F.when(F.length(w) % 2 == 0, "PERSON").otherwise("PLACE")
         mentions = F.transform(words, lambda w, i: F.struct(F.lower(w).alias("id"), w.alias("name"), kind(w).alias("type"), F.round(1.0 / (i + 2), 4).alias("confidence"), i.alias("pos")))
-        return self.documents.select(F.col("doc_id").alias("id"), "text", F.round((F.col("doc_id") % 97) / 97.0, 4).alias("score"), mentions.alias("mentions"), "source")
+        return self.documents.select(F.col("doc_id").alias("id"), "text", ((F.col("doc_id") % 97) / 97.0).alias("score"), mentions.alias("mentions"), "source")
 
 
 #: The same views for DuckDB
@@ -105,9 +105,9 @@ SQL = {
     "functions": """functions AS (SELECT 'p:' || p_partkey AS id, fname AS name, p_brand || '.' || fname AS qualified_name, CASE p_size % 10 WHEN 0 THEN 'lambda' WHEN 1 THEN NULL ELSE 'method' END AS kind, 'src/' || p_brand || '/' || lower(p_type) || '.py' AS file, p_brand AS module, CASE WHEN p_size % 3 = 0 THEN p_name END AS comment, CASE p_size % 4 WHEN 0 THEN ' ' WHEN 1 THEN p_type END AS summary, p_size AS size
   FROM (SELECT *, 'get' || upper(left(w[1], 1)) || lower(w[1][2:]) || upper(left(w[-1], 1)) || lower(w[-1][2:]) AS fname FROM (SELECT *, string_split(p_name, ' ') AS w FROM part)))""",
     "points": """points AS (SELECT vec_id AS id, embedding AS vector, 'c' || label AS collection FROM embeddings)""",
-    "urls": """urls AS (SELECT page_id AS id, regexp_replace(regexp_replace(url, '^https?://[^/]+|[?#].*$', '', 'g'), '/[0-9]+', '/:id', 'g') AS url FROM pages)""",
+    "urls": """urls AS (SELECT page_id AS id, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]+|[?#].*$', '', 'g'), '/+$', ''), '/[0-9]+', '/:id', 'g') AS url FROM pages)""",
     "messages": """messages AS (SELECT conv_id, turn, role AS sender, coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS receiver, text FROM conversations)""",
-    "passages": """passages AS (SELECT doc_id AS id, text, round((doc_id % 97)::DOUBLE / 97, 4) AS score, source, regexp_extract_all(string_split(text, chr(10))[1], '\\b([A-Z][a-z]{2,})\\b', 1) AS words FROM documents)""",
+    "passages": """passages AS (SELECT doc_id AS id, text, (doc_id % 97)::DOUBLE / 97 AS score, source, list_filter(string_split_regex(string_split(text, chr(10))[1], '[ ,.]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{2,}')) AS words FROM documents)""",
 }
 
 
