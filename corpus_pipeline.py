@@ -7,10 +7,9 @@ folder and reads it again for the next stage. All stages but the last return the
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from loomgraph.llm.bpe_codec import bpe_codec
 from loomgraph.llm.fm_decontaminate import fm_decontaminate
 from loomgraph.llm.language_id import language_id
 from loomgraph.llm.ngram_jaccard_join import ngram_jaccard_join
-from loomgraph.llm.shared import checkpoint_dir, fields
+from loomgraph.llm.shared import checkpoint_dir
 from loomgraph.llm.suffix_dedup import suffix_dedup
 
 
@@ -37,48 +36,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts byte strings of 200 that also start elsewhere; a document of which nothing is left goes."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    kept = suffix_dedup(docs, carry=rest)
-    left = kept.where("n_removed = 0 or n_removed < n_bytes").select("doc_id", "kept", *rest)
-    schema = "doc_id long, text string" + fields(docs, rest)
-    out = left.mapInArrow(_whole_characters, schema).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
-
-
-def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kept bytes as text, without characters of which a cut left only a part."""
-    for b in batches:
-        texts = pa.array([x.decode("utf-8", errors="ignore") for x in b.column("kept").to_pylist()], pa.string())
-        others = [c for c in b.schema.names if c not in ("doc_id", "kept")]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), texts, *(b.column(c) for c in others)], names=["doc_id", "text", *others])
-
-
-def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        for i, spans in enumerate(b.column("spans").to_pylist()):
-            if spans:
-                data, kept, last = texts[i].encode(), [], 0
-                for x in spans:
-                    kept.append(data[last : x["begin"]])
-                    last = x["end"]
-                texts[i] = b"".join([*kept, data[last:]]).decode()
-        at = b.schema.get_field_index("text")
-        out = b.set_column(at, "text", pa.array(texts, pa.string()))
-        yield out.drop_columns(["spans"])
+    kept = suffix_dedup(docs, carry=rest, as_text=True)
+    left = kept.where("n_removed = 0 or n_removed < n_bytes").withColumnRenamed("kept", "text")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that benchmark phrases cover by a twentieth or more, and cuts phrases out of the others."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = fm_decontaminate(docs, benchmark, carry=tuple(c for c in docs.columns if c != "doc_id"))
-    clean = found.where("not contaminated").select(*docs.columns, "spans")
-    cut = clean.mapInArrow(_without_spans, clean.drop("spans").schema)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    found = fm_decontaminate(docs, benchmark, carry=tuple(c for c in docs.columns if c != "doc_id"), cut=True)
+    return found.where("not contaminated").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of the ids and of their decoded text."""
-    return bpe_codec(docs, public_tokenizers.path("word_bpe_49k.json")).drop("decoded")
+    return bpe_codec(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

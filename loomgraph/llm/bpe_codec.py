@@ -57,7 +57,7 @@ def _newer() -> frozenset[str]:
     known = regex.compile(r"[\p{L}\p{N}]")
     return frozenset(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and known.match(c))
 #: Words kept with their ids by a task; beyond it the table starts anew, which costs time only.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 def byte_names() -> list[str]:
@@ -195,7 +195,7 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def _codec(path: str, keep: bool):
+def _codec(path: str, keep: bool, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for part in X.pieces(batches, "text", 2 << 20):
@@ -204,20 +204,21 @@ def _codec(path: str, keep: bool):
             for ids in bpe.encode(texts):
                 text = bpe.decode(ids)
                 data = ids.astype("<u4").tobytes()
-                for out, x in zip(rows, (len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), data if keep else None, text if keep else None), strict=True):
+                for out, x in zip(rows, (len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), data if keep else None, text if decoded else None), strict=True):
                     out.append(x)
             kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
-            arrays = [pa.array(x, k) for x, k in zip(rows, kinds, strict=True)][: 5 if keep else 3]
+            arrays = [pa.array(x, k) for x, k in zip(rows, kinds, strict=True)][: 3 + keep + (keep and decoded)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 1 + len(arrays)])
 
     return run
 
 
-def bpe_codec(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
+def bpe_codec(docs: DataFrame, path: str, keep: bool = True, decoded: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) for every row of docs (doc_id, text).
 
-    ids are little-endian unsigned 32-bit integers; keep=False leaves the last two columns out. Repeated rows give
+    ids are little-endian unsigned 32-bit integers; keep=False leaves the last two columns out,
+    decoded=False the last one. Repeated rows give
     repeated results, a null doc_id stays null, further columns are ignored, an empty table gives no rows.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_codec(path, keep), schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep + ", decoded string" * (keep and decoded)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_codec(path, keep, decoded), schema)

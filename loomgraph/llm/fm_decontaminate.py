@@ -25,7 +25,7 @@ from .shared import fields
 U64 = np.uint64
 SAMPLE = 16
 SHARD_SYMBOLS = 2_000_000
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
 
 
 class Bits:
@@ -192,8 +192,8 @@ def stretches(symbols: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarr
 class Shard:
     """Documents of one index, until it is built."""
 
-    def __init__(self, carry: tuple[str, ...] = ()) -> None:
-        self.carry, self.carried = carry, []
+    def __init__(self, carry: tuple[str, ...] = (), cut: bool = False) -> None:
+        self.carry, self.carried, self.cut = carry, [], cut
         self.ids, self.counts, self.seq, self.doc, self.begin, self.end = [], [], [], [], [], []
         self.docs = self.symbols = self.bytes = 0
 
@@ -253,36 +253,55 @@ class Shard:
                     spans.setdefault(d, []).append({"begin": b, "end": e})
         names = [sorted(phrases.items[i] for i in items.get(d, ())) for d in range(self.docs)]
         none = hashlib.sha256(b"").hexdigest()
+        if "text" in self.carry and self.cut:
+            at = self.carry.index("text")
+            base = np.cumsum([0, *(len(x[at]) for x in self.carried)])
+            for lo, columns in zip(base, self.carried, strict=False):
+                columns[at] = without(columns[at], {d - lo: spans[d] for d in spans if lo <= d < lo + len(columns[at])})
         return pa.RecordBatch.from_arrays(
             [pa.concat_arrays(self.ids), pa.array(counts), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else none for x in names]), pa.array((n_hit > 0) & (20 * n_hit >= counts)), pa.array([spans.get(d, []) for d in range(self.docs)], SPANS), *(pa.concat_arrays(x) for x in zip(*self.carried, strict=True))],
             names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *self.carry],
         )
 
 
+def without(texts: pa.Array, spans: dict[int, list[dict]]) -> pa.Array:
+    """Texts with the byte spans of some rows cut out."""
+    if not spans:
+        return texts
+    out = texts.to_pylist()
+    for i, cuts in spans.items():
+        data, kept, last = out[i].encode(), [], 0
+        for x in cuts:
+            kept.append(data[last : x["begin"]])
+            last = x["end"]
+        out[i] = b"".join([*kept, data[last:]]).decode()
+    return pa.array(out, texts.type)
+
+
 SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def _run(phrases, carry: tuple[str, ...]):
+def _run(phrases, carry: tuple[str, ...], cut: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(carry)
+        shard = Shard(carry, cut)
         for part in X.pieces(batches, "text", 4 << 20):
             shard.add(part, phrases.value)
             if shard.symbols >= SHARD_SYMBOLS or shard.bytes >= SHARD_BYTES:
                 yield shard.close(phrases.value)
-                shard = Shard(carry)
+                shard = Shard(carry, cut)
         if shard.docs:
             yield shard.close(phrases.value)
 
     return run
 
 
-def fm_decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_bytes: int = 256 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def fm_decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_bytes: int = 256 << 20, carry: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for every row of docs (doc_id, text).
 
     spans are byte ranges [begin, end) of the UTF-8 text whose words are hit. Nulls and empty texts have no words and
     are clean; benchmark rows with null text or id are ignored, repeated rows count once; no benchmark hits nothing.
     The benchmark is sent to all tasks, so its size is checked: over most_bytes of text this raises a ValueError.
-    `carry` names columns of docs that are returned as well.
+    `carry` names columns of docs that are returned as well; with `cut` the text among them comes without the spans.
     """
     spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
@@ -296,4 +315,4 @@ def fm_decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, mo
     ids = [i for i, texts in merged.items() for _ in texts]
     phrases = spark.sparkContext.broadcast(Phrases(ids, [t for texts in merged.values() for t in texts], window))
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin: long, end: long>>" + fields(docs, carry)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text")).mapInArrow(_run(phrases, carry), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text")).mapInArrow(_run(phrases, carry, cut), schema)

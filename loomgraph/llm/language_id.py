@@ -101,11 +101,16 @@ class Model:
         self.barred = np.where(allowed, 0, -12).astype(np.float32)
 
     def scores(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        whole, head, tail, script = features(buf, starts, ends)
+        whole = (X.span_hashes(buf, starts, ends) & U64(WORD_BUCKETS - 1)).astype(np.int32)
         out = self.whole[whole]
         rare = np.flatnonzero(~self.seen[whole])
-        out[rare] = (self.head[head[rare]] + self.tail[tail[rare]]) / 2
-        odd = np.flatnonzero(script != 0)
+        del whole
+        _, head, tail, _ = features(buf, starts[rare], ends[rare])
+        out[rare] = (self.head[head] + self.tail[tail]) / 2
+        odd = np.flatnonzero(buf[starts] >= 0x80)
+        script = np.zeros(len(starts), np.int8)
+        script[odd] = np.searchsorted(_SCRIPT_STARTS, first_code_points(buf, starts[odd]), side="right") - 1
+        odd = odd[script[odd] != 0]
         out[odd] += self.barred[script[odd]]
         plain = np.flatnonzero(self.barred[0] < 0)
         if len(plain):
@@ -145,13 +150,14 @@ def _predict(model, penalty: float, with_spans: bool, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         k = len(m.labels)
-        for part in X.pieces(batches, "text", 12 << 20):
+        for part in X.pieces(batches, "text", 6 << 20):
             texts = part.column("text")
             buf, off = lowered(texts)
             starts, ends, at = X.word_spans(buf, off, LETTER)
             docs, words = len(off) - 1, np.diff(at)
-            plain = np.concatenate([[0], np.cumsum((buf[: int(off[-1])] >= 0x61) & (buf[: int(off[-1])] <= 0x7A))])
-            letters = plain[off[1:]] > plain[off[:-1]]
+            letters = np.zeros(docs, bool)
+            plain = np.maximum.reduceat(np.append((buf[starts] <= 0x7A), False), np.minimum(at[:-1], len(starts))) if docs else letters
+            letters[words > 0] = plain[words > 0]
             for i in np.flatnonzero(~letters & (words > 0)).tolist():
                 letters[i] = any(c.isalpha() for c in texts[i].as_py())
             if k:

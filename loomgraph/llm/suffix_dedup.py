@@ -504,7 +504,7 @@ def _shard(least: int):
     return run
 
 
-def _cut_out(keep_text: bool):
+def _cut_out(keep_text: bool, as_text: bool):
     """(doc_id, text, whole, found) -> what is left of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -533,7 +533,9 @@ def _cut_out(keep_text: bool):
                 values = (len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), [{"begin": b, "end": e} for b, e in spans], left)
                 for out, x in zip(rows, values, strict=True):
                     out.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary())
+            if as_text:
+                rows[5] = [x.decode("utf-8", errors="ignore") for x in rows[5]]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.string() if as_text else pa.binary())
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: 6 if keep_text else 4]
             extra = [x for x in piece.schema.names if x not in ("text", "whole", "found")]
             yield pa.RecordBatch.from_arrays([*(piece.column(x) for x in extra), *(pa.array(x, k) for x, k in list(zip(rows, kinds, strict=True))[: len(names)])], names=[*extra, *names])
@@ -541,12 +543,12 @@ def _cut_out(keep_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, least: int = 200, keep: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, least: int = 200, keep: bool = True, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]) for every row of docs (doc_id, text).
 
     A byte is removed if a string of `least` bytes covers it that also starts at another place: in another row or in
     the same one, overlaps included, judged on the texts as given. spans are the removed byte ranges, kept the rest
-    (bytes: a cut may part a character). Null counts as empty; rows with null doc_id take part; rows given twice are
+    (bytes, as a cut may part a character; with as_text a string without such parts). Null counts as empty; rows with null doc_id take part; rows given twice are
     copies of each other; further columns
     are ignored, but those that `carry` names (not text) are returned.
     """
@@ -568,5 +570,5 @@ def suffix_dedup(docs: DataFrame, least: int = 200, keep: bool = True, carry: tu
     decided = cut(single.unionByName(copies))
     passed = [F.col(f"s.{c}") for c in carry]
     joined = source.alias("s").join(decided.alias("d").hint("shuffle_hash"), (F.col("s.cls") == F.col("d.cls")) & F.col("s.doc_id").eqNullSafe(F.col("d.doc_id")), "left").select("s.doc_id", "s.text", F.coalesce("d.whole", F.lit(False)).alias("whole"), "d.found", *passed)
-    schema = "doc_id long" + fields(docs, carry) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<begin: long, end: long>>, kept binary" * keep
-    return joined.mapInArrow(_cut_out(keep), schema)
+    schema = "doc_id long" + fields(docs, carry) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", spans array<struct<begin: long, end: long>>, kept {'string' if as_text else 'binary'}" * keep
+    return joined.mapInArrow(_cut_out(keep, as_text), schema)

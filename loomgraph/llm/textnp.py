@@ -6,6 +6,8 @@ object is made for a word. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,21 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at - lo if len(at) else np.zeros(1, np.int64)
 
 
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Give freed memory back: workers live on, and what they hold adds up beside the executor's own."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None and hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts have at most `most` bytes together; one longer text is a slice of its own."""
     for batch in batches:
@@ -55,6 +72,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             hi = max(lo + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+        del batch
+        release()
 
 
 def word_spans(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
