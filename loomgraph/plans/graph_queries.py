@@ -59,10 +59,11 @@ def module_paths(t: Tables) -> DataFrame:
     return graph.shortest_paths(edges, pairs).select("source", "target", F.array_join("path", ">").alias("path"), "length")
 
 
-@query(with_views(_ALL_PATHS + " SELECT source, target, array_to_string(arg_min(path, (length, path)), '>') AS path, min(length) AS length FROM walk WHERE source = 'Brand#1' AND target = 'Brand#2' GROUP BY source, target", "module_calls", "modules", recursive=True))
+@query(with_views(_ALL_PATHS + " SELECT source, target, array_to_string(arg_min(path, (length, path)), '>') AS path, min(length) AS length FROM walk WHERE source = 'Brand#1' GROUP BY source, target", "module_calls", "modules", recursive=True))
 def shortest_path(t: Tables) -> DataFrame:
-    pair = t.spark.createDataFrame([("Brand#1", "Brand#2")], "source string, target string")
-    return graph.paths_between(t.modules(), pair).select("source", "target", F.array_join("path", ">").alias("path"), "length")
+    edges = t.modules()
+    pairs = edges.select(F.lit("Brand#1").alias("source"), F.col("src").alias("target")).distinct()
+    return graph.shortest_paths(edges, pairs).select("source", "target", F.array_join("path", ">").alias("path"), "length")
 
 
 @query(with_views(_WALK.format(seed="p:1", to="dst", frm="src", edges=_BOTH, d=2) + " SELECT id, min(depth) AS depth, round(1 - 0.2 * min(depth), 1)::DOUBLE AS proximity FROM walk GROUP BY id", "trade", recursive=True))
