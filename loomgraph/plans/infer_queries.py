@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import infer
-from .adapters import Tables
+from ..operators import frontend, graph
+from ..streaming import sync
+from .adapters import Tables, with_views
 from .registry import query
 
 _VERBS = ["get", "load", "set", "save", "is", "validate", "calculate", "create", "delete", "parse", "handle", "add", "on", "zip"]
@@ -88,3 +90,54 @@ def result_packaging(t: Tables) -> DataFrame:
 @query("SELECT phrase, count(*) AS n FROM (SELECT split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) AS phrase FROM part) GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, phrase LIMIT 30")
 def label_candidates(t: Tables) -> DataFrame:
     return infer.label_candidates(t.part.select(F.col("p_name").alias("text")))
+
+
+@query("SELECT page_id, list_filter([CASE WHEN contains(u, 'api') OR contains(u, 'rest') OR contains(u, 'http') OR contains(u, 'rpc') OR contains(u, 'route') THEN 'api' END], lambda x: x IS NOT NULL) AS domains FROM (SELECT page_id, lower(url) AS u FROM pages)")
+def domain_signals(t: Tables) -> DataFrame:
+    found = infer.domain_signals(F.col("url"))
+    return t.pages.select("page_id", F.filter(found, lambda d: d == "api").alias("domains"))
+
+
+_CODE = "CASE p_partkey % 4 WHEN 0 THEN '<Card x/> <Fragment>' WHEN 1 THEN 'navigation.push(\"Home\")' WHEN 2 THEN 'setOpen(true); setTimeout(f, 1)' ELSE 'if (x) load(1)' END"
+
+
+@query("SELECT p_partkey AS src, e.target, e.rel_type, e.confidence::DOUBLE AS confidence FROM (SELECT p_partkey, unnest(CASE p_partkey % 4 WHEN 0 THEN [{'target': 'Card', 'rel_type': 'RENDER', 'confidence': 0.90}] WHEN 1 THEN [{'target': 'Home', 'rel_type': 'NAVIGATE', 'confidence': 0.88}, {'target': 'push', 'rel_type': 'CALLS', 'confidence': 0.55}] WHEN 2 THEN [{'target': 'setOpen', 'rel_type': 'STATE_UPDATE', 'confidence': 0.80}, {'target': 'setTimeout', 'rel_type': 'STATE_UPDATE', 'confidence': 0.80}, {'target': 'setTimeout', 'rel_type': 'SIDE_EFFECT', 'confidence': 0.75}, {'target': 'setOpen', 'rel_type': 'CALLS', 'confidence': 0.55}, {'target': 'setTimeout', 'rel_type': 'CALLS', 'confidence': 0.55}] ELSE [{'target': 'load', 'rel_type': 'CALLS', 'confidence': 0.55}] END) AS e FROM part)")
+def frontend_edges(t: Tables) -> DataFrame:
+    return frontend.found_edges(t.part.select(F.col("p_partkey").alias("id"), F.expr(_CODE).alias("code")))
+
+
+@query("SELECT DISTINCT 'o:' || l_orderkey AS src, 'p:' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
+def repo_file_edges(t: Tables) -> DataFrame:
+    """New edges only: those of even orders are there already."""
+    ident = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    edges = t.lineitem.where("l_returnflag = 'R'").select(ident("o:", "l_orderkey").alias("src"), ident("p:", "l_partkey").alias("dst"), "l_orderkey").distinct()
+    return edges.join(t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti").select("src", "dst")
+
+
+@query("SELECT s_suppkey, s_name, r_name AS community FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 2 = 0 LEFT JOIN region ON r_regionkey = n_regionkey")
+def community_enrichment(t: Tables) -> DataFrame:
+    member = t.nation.where("n_nationkey % 2 = 0").join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), F.col("r_name").alias("community"))
+    return t.supplier.join(member, "s_nationkey", "left").select("s_suppkey", "s_name", "community")
+
+
+@query("SELECT l_returnflag, count(*) AS calls, count(*) FILTER (l_quantity > 25) AS resolved, round(count(*) FILTER (l_quantity > 25)::DOUBLE / count(*), 6) AS ratio FROM lineitem GROUP BY 1")
+def call_statistics(t: Tables) -> DataFrame:
+    return t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("calls"), F.count_if(F.col("l_quantity") > 25).alias("resolved"), F.round(F.count_if(F.col("l_quantity") > 25) / F.count("*"), 6).alias("ratio"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0")
+def resume_vectors(t: Tables) -> DataFrame:
+    e = t.embeddings.select(F.col("vec_id").alias("id"), "label")
+    return sync.not_seen(e, e.where("id % 3 = 0")).select(F.col("id").alias("vec_id"), "label")
+
+
+@query("SELECT user_id, arg_max(event_id, (value, event_id)) AS event_id, max(value) AS value FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def best_message_per_key(t: Tables) -> DataFrame:
+    best = t.events.where("value is not null").groupBy("user_id").agg(F.max(F.struct("value", "event_id")).alias("b"))
+    return best.select("user_id", "b.event_id", "b.value")
+
+
+@query(with_views(", near AS (SELECT 'n:' || n_nationkey AS id, 1 AS depth FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey = 1) UNION ALL SELECT 'r:' || n_regionkey, 2 FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey = 1)) SELECT id, depth FROM near", "geo"))
+def connected_documents(t: Tables) -> DataFrame:
+    seed = t.spark.createDataFrame([("c:1",)], "id string")
+    return graph.bfs(t.geo(), seed, 3, "in").where("depth > 0")
