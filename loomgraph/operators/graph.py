@@ -25,13 +25,13 @@ def clamp_depth(depth: int | None, most: int, default: int) -> int:
 
 
 def oriented(edges: DataFrame, direction: str = "out", rel_types: list[str] | None = None) -> DataFrame:
-    """(src, dst) pairs in walking order, each once."""
+    """(src, dst) pairs in walking order. Repeated edges stay: what they reach is deduplicated, which moves less."""
     if rel_types:
         edges = edges.where(F.col("rel_type").isin(rel_types))
     out = edges.select("src", "dst")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     way = DIRECTIONS[direction]
-    return (out if way == "out" else back if way == "in" else out.unionByName(back)).where("src is not null and dst is not null").distinct()
+    return (out if way == "out" else back if way == "in" else out.unionByName(back)).where("src is not null and dst is not null")
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "out", rel_types: list[str] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -40,6 +40,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "ou
     keys name columns that separate traversals, such as the seed itself; without keys all seeds share one traversal.
     """
     steps = oriented(edges, direction, rel_types)
+    if max_depth > 1:  # computed once, two columns wide, for all levels
+        steps = cut(steps)
     by = [*keys, "id"]
     frontier = cut(seeds.select(*by).where("id is not null").distinct())
     levels = [frontier.withColumn("depth", F.lit(0))]
@@ -68,7 +70,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 8, direc
 
     A node keeps only its smallest path, so a level has at most one row for each source and node.
     """
-    steps = oriented(edges, direction, rel_types)
+    steps = cut(oriented(edges, direction, rel_types).distinct())
     pairs = pairs.select("source", "target").where("source != target").distinct()
     frontier = cut(pairs.select("source").distinct().select("source", F.col("source").alias("id"), F.array("source").alias("path")))
     visited, found = frontier, [frontier]
@@ -99,7 +101,7 @@ def simple_paths(edges: DataFrame, starts: DataFrame, max_hops: int, ends: DataF
     Parallel edges give one path each; keep the best with best_paths(). Enumeration grows with the number of simple
     paths, so max_hops is the caller's bound.
     """
-    steps = edges.select("src", "dst", F.col(value).alias("step"))
+    steps = cut(edges.select("src", "dst", F.col(value).alias("step")))
     frontier = cut(starts.select(F.array("id").alias("path"), F.col("id").alias("at"), F.lit(1.0).alias("score")))
     levels = []
     for _ in range(max_hops):
