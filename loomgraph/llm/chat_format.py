@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-MOST_ROUNDS = 100
 PARTS = "conv_id long, turn long, role string, part int, kind string, call_id string, name string, depends_on array<string>, error string, message string"
 
 
@@ -133,9 +132,7 @@ def chat_format(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
     unknown = waiting.where("known is null").select("conv_id", "call_id").distinct().withColumn("unknown_need", F.lit(True))
     waiting = cut(waiting.where("known").select("conv_id", "call_id", "need"))
     done = cut(base.join(waiting.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"), F.col("call_turn").alias("place"), F.greatest("call_turn", "result_turn").alias("answered")))
-    for _ in range(MOST_ROUNDS):
-        if waiting.isEmpty():
-            break
+    while not waiting.isEmpty():  # a round for each step of the longest chain of dependencies
         state = waiting.join(done.select("conv_id", F.col("call_id").alias("need"), "level", "answered"), ["conv_id", "need"], "left")
         ready = state.groupBy("conv_id", "call_id").agg(F.max("level").alias("level"), F.max("answered").alias("after"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0")
         ready = cut(ready.join(base, ["conv_id", "call_id"]).select("conv_id", "call_id", (F.col("level") + 1).alias("level"), F.greatest("call_turn", "after").alias("place"), F.greatest("call_turn", "after", "result_turn").alias("answered")))

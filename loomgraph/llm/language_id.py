@@ -125,18 +125,19 @@ def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
     first, n = at[:-1][order], n[order]
     longest = int(n[0]) if len(n) else 0
     active = np.searchsorted(-n, -np.arange(1, longest + 1), side="right")
-    back = np.empty(scores.shape, np.uint8)
+    kind = np.uint8 if scores.shape[1] <= 256 else np.uint16
+    back = np.empty(scores.shape, kind)
     value = np.zeros((len(n), scores.shape[1]), np.float32)
-    same = np.arange(scores.shape[1], dtype=np.uint8)
+    same = np.arange(scores.shape[1], dtype=kind)
     for t in range(longest):
         m = active[t]
         v, w = value[:m], first[:m] + t
         best = v.argmax(1)
         top = v[np.arange(m), best] - penalty
         stay = v >= top[:, None]
-        back[w] = np.where(stay, same, best[:, None].astype(np.uint8))
+        back[w] = np.where(stay, same, best[:, None].astype(kind))
         value[:m] = np.where(stay, v, top[:, None]) + scores[w]
-    label = np.empty(len(scores), np.uint8)
+    label = np.empty(len(scores), kind)
     now = value.argmax(1)
     for t in range(longest - 1, -1, -1):
         m = active[t]
@@ -164,7 +165,7 @@ def _predict(model, penalty: float, with_spans: bool, carry: tuple[str, ...]):
                 scores = m.scores(buf, starts, ends)
                 label = viterbi(scores, at, penalty)
                 doc = np.repeat(np.arange(docs), words)
-                mass = np.bincount(doc * k + label, ends - starts, docs * k).reshape(docs, k)
+                mass = np.bincount(doc * k + label.astype(np.int64), ends - starts, docs * k).reshape(docs, k)
                 best = mass.argmax(1)
                 share = mass[np.arange(docs), best] / np.maximum(mass.sum(1), 1)
                 sums = np.stack([np.bincount(doc, scores[:, j], docs) for j in range(k)], 1) / np.maximum(words / 20, 1)[:, None]
