@@ -61,16 +61,19 @@ def knn(points: DataFrame, query: list[float], k: int, where: Column | None = No
     return rows.withColumn("score", F.round(cosine(F.col("vector"), vector), 6)).where("score is not null").orderBy(F.desc("score"), "id").limit(k)
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, block: int = 1000) -> DataFrame:
+def knn_join(queries: DataFrame, points: DataFrame, k: int, block: int = 1000, most_queries: int = 100_000) -> DataFrame:
     """(query_id, id, score, rank) of the k points most like each query (query_id, vector); exact.
 
     Queries are a stated set against all rows: they are dealt out in blocks that each meet every partition of points
-    once, in a numpy product that keeps k candidates per query and batch, so what is shuffled is k rows per query and task.
+    once, in a numpy product that keeps k candidates per query and batch, so what is shuffled is k rows per query and task. The queries are sent to all tasks,
+    so their number is checked: over most_queries this raises a ValueError, and the caller deals them out in parts.
     """
     import numpy as np
     import pandas as pd
 
     spark = points.sparkSession
+    if queries.limit(most_queries + 1).count() > most_queries:
+        raise ValueError(f"over {most_queries} queries at once")
     asked = queries.orderBy("query_id").toPandas()
     if asked.empty:
         return spark.createDataFrame([], "query_id long, id long, score double, rank int")
