@@ -28,9 +28,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest doc_id, of each group linked by 5-word shingles at Jaccard 0.8."""
-    dropped = ngram_jaccard_join(docs).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row, that of the smallest doc_id, of each group linked by 5-word shingles at Jaccard 0.8.
+
+    Rows count, not ids: a row given twice stays once, a row with null doc_id is a copy like any other and stays if no
+    row of its group has an id, and different texts under one doc_id stay both. Rows are told apart by a 64-bit hash of
+    all columns.
+    """
+    row = F.xxhash64(*docs.columns, *(F.isnull(c) for c in docs.columns))  # the flags, as nulls alone leave a hash unchanged
+    keyed = docs.withColumn("row", row)
+    found = ngram_jaccard_join(keyed.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id", F.lit(None).cast("long").alias("id"))
+    ids = keyed.select("row", F.lit(None).cast("long").alias("component_id"), F.col("doc_id").cast("long").alias("id"))
+    rows = found.unionByName(ids).groupBy("row").agg(F.max("component_id").alias("component_id"), F.max("id").alias("id"))
+    best = rows.groupBy("component_id").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row")).alias("best")).select(F.col("best.row").alias("row"))
+    return keyed.dropDuplicates(["row"]).join(best.hint("shuffle_hash"), "row", "left_semi").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

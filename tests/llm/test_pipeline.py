@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from loomgraph.llm import queries
 
-from .test_operators import brute_components, shingles, texts
+from .test_operators import DOCS, WORDS, brute_components, shingles, texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -119,6 +119,26 @@ def test_stages(spark, folder_of_docs):
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, folder).collect()} == want
 
 
+def test_repeated_rows_and_null_ids_stay_once(spark, tmp_path):
+    r = np.random.default_rng(3)
+    prose = lambda: " ".join("".join(r.choice(WORDS, 2)) for _ in range(120))
+    t = [prose() for _ in range(30)]
+    rows = [(i, x) for i, x in enumerate(t)]
+    lone, other = prose(), prose()
+    rows += [(0, t[0]), (0, t[0]), (None, t[1]), (None, t[2]), (None, t[2]), (None, lone), (None, lone), (3, other), (40, t[4])]
+    rows = [(i, x, "en", "src", len(x)) for i, x in rows]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "none of these words is in any of the texts above")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted([*enumerate(t), (3, other), (-1, lone)])
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, str(tmp_path))
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.text) for x in kept.collect()) == want
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    digest = lambda x: hashlib.sha256(np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
+    got = sorted((-1 if x.doc_id is None else x.doc_id, x.ids_sha256) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == sorted((i, digest(x)) for i, x in want)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_return_a_row_for_each_row(spark, folder, name):
     table = {"op4_chat_format": "conversations", "op7_pivot_index": "embeddings"}.get(name, "documents")
