@@ -5,6 +5,9 @@ in the inverted lists of its first `lists` pivots; two entries of a list are can
 `shared` of their first `prefix` pivots; candidates are verified by cosine in double precision. A pair is counted in
 the list of the smallest pivot that both are entered under, so it is counted once.
 
+Each dimension has a sample of its own. One with at most `pivots` classes gets a single pivot, so that all its vectors are
+in one list and every pair of a label is verified.
+
 Vectors that are equal bit by bit and have one label form a class that is indexed once. A long list is cut into blocks
 of `block` entries, and every two blocks meet in a task of their own, so no task holds more than two blocks.
 """
@@ -58,6 +61,7 @@ def pair_counts(x: np.ndarray, near: np.ndarray, copies: np.ndarray, side: np.nd
     """Links of each vector, weighed by copies, and a spanning forest of them. side: 0 and 1 for two blocks whose
     pairs across are wanted, 2 for all pairs of one block."""
     n = len(x)
+    shared = min(shared, near.shape[1])  # a dimension can have fewer pivots
     bits = int(near.max()) + 1 if n else 1
     member = np.zeros((n, bits), np.float32)
     np.put_along_axis(member, near.astype(np.int64), 1, axis=1)
@@ -128,7 +132,7 @@ def embedding_near_dedup(vectors: DataFrame, limit: float = 0.98, pivots: int =
     Only rows of one non-null label and one dimension are compared. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing. n_links counts other rows with cosine >= limit that the index finds;
     component_id is the smallest vec_id reachable; kept says whether it is the row's own. Rows given twice are copies
-    of each other and link. `sample` bounds the vectors that pivots are drawn from; every row is indexed.
+    of each other and link. `sample` bounds the vectors of a dimension that pivots are drawn from; every row is indexed.
     """
     spark = vectors.sparkSession
     parts = width(spark)
@@ -139,15 +143,14 @@ def embedding_near_dedup(vectors: DataFrame, limit: float = 0.98, pivots: int =
     usable = usable.withColumn("key", F.sha2(F.concat_ws("|", "label", F.col("embedding").cast("string")), 256))
     classes = cut(usable.groupBy("key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies")))
     one = cut(usable.join(classes, "key").where(F.col("vec_id") == F.col("cls")).dropDuplicates(["cls"]).select("cls", "label", F.size("embedding").alias("dim"), "copies", "embedding"))
-    drawn = one.orderBy(F.xxhash64("cls")).limit(sample).select("dim", "embedding").collect()
     by_dim: dict[int, np.ndarray] = {}
     for dim in sorted({r.dim for r in one.select("dim").distinct().collect()}):
-        pool = [r.embedding for r in drawn if r.dim == dim] or [r.embedding for r in one.where(F.col("dim") == dim).limit(sample).select("embedding").collect()]
+        pool = [r.embedding for r in one.where(F.col("dim") == dim).orderBy(F.xxhash64("cls")).limit(max(sample, pivots + 1)).select("embedding").collect()]
         x = np.array(pool, np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         chosen = [0]  # farthest first: each pivot is the vector least like those before it
         most = x @ x[0]
-        while len(chosen) < min(pivots, len(x)):
+        while len(chosen) < (pivots if len(x) > pivots else 1):
             chosen.append(int(most.argmin()))
             most = np.maximum(most, x @ x[chosen[-1]])
         by_dim[dim] = x[chosen]

@@ -287,6 +287,25 @@ def test_near_dedup(spark):
     assert embedding_near_dedup(df.limit(0)).count() == 0
 
 
+def test_near_dedup_of_few_vectors(spark):
+    r = np.random.default_rng(4)
+    rows, want = [], {}
+    for n in (2, 3, 4, 7, 40):  # so many near-equal vectors of a dimension each
+        v = r.standard_normal(n + 3)
+        for k in range(n):
+            rows.append((100 * n + k, [float(x) for x in v + r.standard_normal(n + 3) * 0.01], 0))
+            want[100 * n + k] = (n - 1, 100 * n)
+    rows += [(9000 + k, [float(x) for x in r.standard_normal(16)], 0) for k in range(300)]
+    v = r.standard_normal(24)
+    few = [(9500 + k, [float(x) for x in v + r.standard_normal(24) * 0.01], 0) for k in range(3)]  # 3 of a larger table, sampled with a bound
+    want |= {9500 + k: (2, 9500) for k in range(3)}
+    df = spark.createDataFrame(rows + few, "vec_id long, embedding array<double>, label int")
+    out = {x.vec_id: (x.n_links, x.component_id) for x in embedding_near_dedup(df, sample=200).collect()}
+    assert {i: out[i] for i in want} == want
+    alone = spark.createDataFrame(few, df.schema)
+    assert {(x.n_links, x.component_id) for x in embedding_near_dedup(alone).collect()} == {(2, 9500)}
+
+
 def test_packing(spark, docs, empty):
     r = np.random.default_rng(6)
     for most in (1, 2, 5, 16, 37):
