@@ -3,7 +3,8 @@
 A document is a bag of passages of `passage` words. Each passage has a row of surface features: shares of character
 classes, word shapes, repeats inside the passage and the document, and hashed words. A tanh layer encodes it, gated
 attention (tanh times sigmoid) weighs the passages of a document, and a logistic layer scores the weighted sum. The
-weights are learnt from document labels alone, by Adam on the driver over a bounded sample of labelled rows.
+weights are learnt from document labels alone, by Adam on the driver over a bounded sample of labelled rows. A drawn row
+is learnt from with all its passages: the bound on passages leaves out rows, never a part of one.
 """
 
 from __future__ import annotations
@@ -123,6 +124,18 @@ class GatedAttention:
         dx = dh * (1 - h * h)
         return {"W": s["x"].T @ dx, "b": dx.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ de, "c": s["z"].T @ do, "c0": np.array([do.sum()])}
 
+    def batch_gradient(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, i: np.ndarray, room: int = 32_768) -> dict[str, np.ndarray]:
+        """The gradient over documents i, summed over groups of about `room` passages: long documents take no more memory."""
+        n = np.diff(bag)[i]
+        group = (np.cumsum(n) - 1) // room
+        total: dict[str, np.ndarray] = {}
+        for g in np.unique(group):
+            own = np.flatnonzero(group == g)
+            found = self.gradient(x[X.ranges(bag[i[own]], n[own])], np.concatenate([[0], np.cumsum(n[own])]), y[i[own]])
+            for k, d in found.items():
+                total[k] = total.get(k, 0) + d * (len(own) / len(i))
+        return total
+
     def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 11) -> None:
         self.w["mean"], self.w["scale"] = x.mean(0), x.std(0) + 1e-3
         r = np.random.default_rng(seed)
@@ -131,27 +144,31 @@ class GatedAttention:
         for epoch in range(epochs):
             order = r.permutation(len(y))
             for lo in range(0, len(y), batch):
-                i = order[lo : lo + batch]
-                n = np.diff(bag)[i]
-                rows = X.ranges(bag[i], n)
                 step += 1
-                for k, d in self.gradient(x[rows], np.concatenate([[0], np.cumsum(n)]), y[i]).items():
+                for k, d in self.batch_gradient(x, bag, y, order[lo : lo + batch]).items():
                     d = d + decay * self.w[k]
                     m[k][0] = 0.9 * m[k][0] + 0.1 * d
                     m[k][1] = 0.999 * m[k][1] + 0.001 * d * d
                     self.w[k] -= rate * (1 - epoch / epochs) * (m[k][0] / (1 - 0.9**step)) / (np.sqrt(m[k][1] / (1 - 0.999**step)) + 1e-8)
 
 
-def _encode(passage: int, most_passages: int):
+def _count(passage: int):
+    """Documents -> (doc_id, n passages)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in X.pieces(batches, "text"):
+            buf, off = X.text_buffer(part.column("text"))
+            words = np.diff(X.word_spans(buf, off, X.NOT_SPACE)[2])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.maximum(-(-words // passage), 1).astype(np.int64))], names=["doc_id", "n"])
+
+    return run
+
+
+def _encode(passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.pieces(batches, "text"):
             x, bag = passages(part.column("text"), passage)
-            rows = []
-            for i in range(len(bag) - 1):
-                own = x[bag[i] : bag[i + 1]]
-                if len(own) > most_passages:  # learning only: evenly spaced passages of a very long text
-                    own = own[np.linspace(0, len(own) - 1, most_passages).astype(int)]
-                rows.append(own.tobytes())
+            rows = [x[bag[i] : bag[i + 1]].tobytes() for i in range(len(bag) - 1)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
 
     return run
@@ -171,11 +188,12 @@ def _score(model, passage: int, threshold: float, with_weights: bool):
     return run
 
 
-def quality_mil(docs: DataFrame, labels: DataFrame, passage: int = 64, most_rows: int = 6000, most_passages: int = 256, threshold: float = 0.3, attention: bool = True) -> DataFrame:
+def quality_mil(docs: DataFrame, labels: DataFrame, passage: int = 64, most_rows: int = 6000, sample_passages: int = 262_144, threshold: float = 0.3, attention: bool = True) -> DataFrame:
     """(doc_id, held_out, score, predicted[, attention]) for every row of docs (doc_id, text; more are ignored).
 
     Learns from labels (doc_id, quality 0 or 1) of rows that are not held out, at most about most_rows of them, drawn by
-    hash of doc_id; of labels for one doc_id the smallest counts, nulls do not. Null and empty texts are one empty
+    hash of doc_id, and of those, in the order of their hashes, as many as have sample_passages passages together (one that
+    has more by itself is passed over), each with all its passages; of labels for one doc_id the smallest counts, nulls do not. Null and empty texts are one empty
     passage and get a score as well. Without labels of both kinds every score is the share of label 1, or 0.5.
     attention holds the weight of each passage.
     """
@@ -184,9 +202,19 @@ def quality_mil(docs: DataFrame, labels: DataFrame, passage: int = 64, most_rows
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out("doc_id", 5, 0)).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").cast("double").alias("y"))
     total = known.count()
     share = min(1.0, most_rows / max(total, 1))
-    drawn = known.where(F.pmod(F.xxhash64(F.lit(3), "label_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else known
-    # at most about most_rows rows of 16 bytes: the bound that allows the broadcast
-    bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").mapInArrow(_encode(passage, most_passages), "doc_id long, y double, x binary").toArrow().sort_by("doc_id")
+    place = F.pmod(F.xxhash64(F.lit(3), "label_id"), F.lit(1 << 20))
+    drawn = known.where(place < int(share * (1 << 20))) if share < 1 else known
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    # at most about most_rows rows of 16 bytes: the bound that allows the broadcasts and what the driver gets here
+    sizes = source.join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id")).select("doc_id", "text").mapInArrow(_count(passage), "doc_id long, n long").groupBy(F.col("doc_id").alias("label_id")).agg(F.sum("n").alias("n"))
+    sizes = sizes.select("label_id", "n", place.alias("place")).toArrow().sort_by([("place", "ascending"), ("label_id", "ascending")])
+    n = sizes.column("n").to_numpy()
+    fits = n <= sample_passages
+    whole = fits & (np.cumsum(np.where(fits, n, 0)) <= sample_passages)
+    if not whole.all():
+        ids = sizes.column("label_id").to_numpy()[whole].tolist()
+        drawn = drawn.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "label_id long")), "label_id")
+    bags = source.join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").mapInArrow(_encode(passage), "doc_id long, y double, x binary").toArrow().sort_by("doc_id")
     y = bags.column("y").to_numpy()
     x = np.frombuffer(b"".join(bags.column("x").to_pylist()), np.float32).reshape(-1, WIDTH).astype(np.float64)
     bag = np.concatenate([[0], np.cumsum([len(b) // (4 * WIDTH) for b in bags.column("x").to_pylist()])]).astype(np.int64)

@@ -19,7 +19,7 @@ from loomgraph.llm.language_id import language_id
 from loomgraph.llm.license_scan import license_scan
 from loomgraph.llm.ngram_jaccard_join import ngram_jaccard_join, tree_links
 from loomgraph.llm.pivot_index import embedding_near_dedup
-from loomgraph.llm.quality_mil import quality_mil
+from loomgraph.llm.quality_mil import GatedAttention, quality_mil
 from loomgraph.llm.suffix_dedup import common_prefixes, repeated_windows, suffix_dedup, suffix_order
 from loomgraph.llm.token_packing import best_fit_decreasing, encoding, token_packing
 
@@ -379,3 +379,21 @@ def test_quality(spark, empty):
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3) and abs(sum(x.attention) - 1) < 1e-6 for x in out.values()) and len(out) == 303
     assert {x.score for x in quality_mil(df, labels.limit(0)).collect()} == {0.5}
     assert quality_mil(empty.select("doc_id", "text"), labels).count() == 0
+
+
+def test_quality_learns_from_whole_documents(spark, monkeypatch):
+    size = {i: 1 + 5 * i for i in range(80)}  # passages of 4 words, up to 396
+    df = spark.createDataFrame([(i, "word " * (4 * n)) for i, n in size.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in size], "doc_id long, quality int")
+    learnt = [i for i in size if zlib.crc32(str(i).encode()) % 5]
+    seen = []
+    monkeypatch.setattr(GatedAttention, "fit", lambda self, x, bag, y: seen.append(np.diff(bag).tolist()))
+    quality_mil(df, labels, passage=4).count()
+    quality_mil(df, labels, passage=4, sample_passages=3000).count()
+    assert seen[0] == [size[i] for i in learnt] and max(seen[0]) > 256
+    assert 0 < len(seen[1]) < len(seen[0]) and set(seen[1]) < set(seen[0]) and 2000 < sum(seen[1]) <= 3000
+    r = np.random.default_rng(1)
+    model, bag = GatedAttention(5), np.array([0, 3, 10, 11, 31])
+    x, y, i = r.standard_normal((31, 5)), np.array([0.0, 1, 1, 0]), np.array([2, 0, 3, 1])
+    one, many = model.batch_gradient(x, bag, y, i), model.batch_gradient(x, bag, y, i, room=8)
+    assert all(np.allclose(one[k], many[k]) for k in one)
