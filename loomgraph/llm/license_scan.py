@@ -1,16 +1,19 @@
 """License scans by sentence rules.
 
-A text is cut into sentences at line ends and at . ! ? ; before white space. Sentences are normalised to lower-case
-words and looked up among known licence sentences; a known sentence that runs over several lines is put together again
-as long as what has been read is the beginning of one. A document becomes a sequence of known sentence identifiers, and
-each licence rule is an ordered sequence of identifiers that must occur in that order, with at most `gap` unknown
-sentences between two of them. A rule whose match lies inside a longer rule's match yields to it.
+A text is cut into sentences at line ends and at . ! ? ; : before white space. Sentences are normalised to lower-case
+words of a-z and 0-9 and looked up among known licence sentences; a known sentence that runs over several lines is put
+together again as long as what has been read is the beginning of one. A document becomes a sequence of known sentence
+identifiers, and each licence rule is an ordered sequence of identifiers that must occur in that order, with at most
+`gap` other sentences between two of them; cuts without a word are no sentences. A rule whose match lies inside a longer
+rule's match yields to it.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +50,26 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "gpl-received": "You should have received a copy of the GNU General Public License along with this program.",
+    "gpl-3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl-2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl-3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl-21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "agpl-3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "lgpl-3-head": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-21-head": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3-head": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-details": "See the GNU Affero General Public License for more details.",
+    "apache-2-title": "Apache License Version 2.0, January 2004",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "unlicense-public": "This is free and unencumbered software released into the public domain.",
+    "boost-head": "Distributed under the Boost Software License, Version 1.0.",
+    "bsl-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "epl-2-head": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "mpl-2-title": "Mozilla Public License Version 2.0",
+    "mpl-2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "mpl-2-head": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "cc-by-nc-4": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4": "Licensed under CC BY-SA 4.0.",
@@ -61,15 +84,22 @@ RULES = [
     ("GPL-3.0-only", ["gpl-3-work"]), ("GPL-2.0-only", ["gpl-2-work"]), ("GPL-3.0-or-later", ["gpl-3-head"]), ("GPL-3.0-or-later", ["gpl-3-head", "gpl-hope", "gpl-details"]), ("GPL-2.0-or-later", ["gpl-2-head"]), ("GPL-2.0-or-later", ["gpl-2-head", "gpl-hope", "gpl-details"]),
     ("LGPL-3.0-only", ["lgpl-3-work"]), ("AGPL-3.0-only", ["agpl-3-work"]),
     ("BSD-3-Clause", ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse"]), ("BSD-2-Clause", ["bsd-conditions", "bsd-source", "bsd-binary"]), ("BSD-unspecified", ["bsd-released"]),
+    ("GPL-3.0-only", ["gpl-3-title"]), ("GPL-2.0-only", ["gpl-2-title"]), ("LGPL-3.0-only", ["lgpl-3-title"]), ("LGPL-2.1-only", ["lgpl-21-title"]), ("AGPL-3.0-only", ["agpl-3-title"]), ("Apache-2.0", ["apache-2-title"]),
+    ("GPL-3.0-or-later", ["gpl-3-head", "gpl-hope", "gpl-details", "gpl-received"]), ("LGPL-3.0-or-later", ["lgpl-3-head"]), ("LGPL-3.0-or-later", ["lgpl-3-head", "gpl-hope", "lgpl-details"]), ("LGPL-2.1-or-later", ["lgpl-21-head"]), ("AGPL-3.0-or-later", ["agpl-3-head"]), ("AGPL-3.0-or-later", ["agpl-3-head", "gpl-hope", "agpl-details"]),
+    ("ISC", ["isc-grant"]), ("ISC", ["isc-grant", "isc-as-is"]), ("Zlib", ["zlib-grant"]), ("Unlicense", ["unlicense-public"]), ("BSL-1.0", ["boost-head"]), ("BSL-1.0", ["bsl-title"]), ("EPL-2.0", ["epl-2-head"]),
+    ("MPL-2.0", ["mpl-2-title"]), ("MPL-2.0", ["mpl-2-head", "mpl-2-copy"]),
     ("MPL-2.0", ["mpl-2-head"]), ("CC-BY-NC-4.0", ["cc-by-nc-4"]), ("CC-BY-SA-4.0", ["cc-by-sa-4"]), ("CC-BY-4.0", ["cc-by-4"]), ("CC0-1.0", ["cc0"]), ("proprietary", ["reserved"]),
 ]
-_WORD = re.compile(r"[a-z0-9]+")
+#: Licences whose one-line tag in a source file is a rule of its own.
+TAGGED = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "ISC", "Zlib", "Unlicense", "BSL-1.0", "EPL-2.0", "CC0-1.0"]
+SENTENCES |= {f"tag-{x}": f"SPDX-License-Identifier: {x}" for x in TAGGED}
+RULES += [(x, [f"tag-{x}"]) for x in TAGGED]
+_WORD = re.compile(r"[A-Za-z0-9]+")
 _BREAK = re.compile(r"[.!?;:]+(?=\s|$)|[\r\n]+")
-MOST_PIECES = 40
 
 
 def normalise(sentence: str) -> tuple[str, ...]:
-    return tuple(_WORD.findall(sentence.lower()))
+    return tuple(w.lower() for w in _WORD.findall(sentence))
 
 
 class Rules:
@@ -77,7 +107,8 @@ class Rules:
         self.known = {normalise(s): k for k, s in sentences.items()}
         self.beginnings = {w[:i] for w in self.known for i in range(1, len(w))}
         self.first = {w[0] for w in self.known if w}
-        self.rules = [(name, tuple(ids)) for name, ids in rules]
+        self.longest = max(map(len, self.known), default=0)
+        self.rules = [(name, tuple(ids)) for name, ids in rules if ids]
 
     def sentences(self, text: str) -> list[tuple[int, int, int, str]]:
         """(number, begin, end, identifier) of known sentences, in order; numbers count the text's sentences."""
@@ -87,51 +118,60 @@ class Rules:
             last = m.end()
         if last < len(text):
             cuts.append((last, len(text)))
-        out, i = [], 0
+        out, i, number = [], 0, 0
         while i < len(cuts):
-            words = _WORD.search(text[cuts[i][0] : cuts[i][0] + 200].lower())
-            if words is None or words[0] not in self.first:
+            word = _WORD.search(text, *cuts[i])
+            if word is None:
                 i += 1
                 continue
-            read: tuple[str, ...] = ()
             best = None
-            for j in range(i, min(i + MOST_PIECES, len(cuts))):
-                read += normalise(text[cuts[j][0] : cuts[j][1]])
-                if read in self.known:
-                    best = (j, self.known[read])
-                if read not in self.beginnings:
-                    break
+            if word[0].lower() in self.first:
+                read: tuple[str, ...] = ()
+                for j in range(i, len(cuts)):  # ends soon: what has been read is no longer than the longest sentence
+                    read += tuple(m[0].lower() for m in islice(_WORD.finditer(text, *cuts[j]), self.longest + 1))
+                    if read in self.known:
+                        best = (j, self.known[read])
+                    if read not in self.beginnings:
+                        break
             if best:
-                lead = len(text[cuts[i][0] : cuts[best[0]][1]]) - len(text[cuts[i][0] : cuts[best[0]][1]].lstrip())
-                out.append((i, cuts[i][0] + lead, cuts[best[0]][1], best[1]))
-                i = best[0] + 1
-            else:
-                i += 1
+                out.append((number, word.start(), cuts[best[0]][1], best[1]))
+                i = best[0]
+            number += 1
+            i += 1
         return out
 
     def licences(self, found: list[tuple[int, int, int, str]], gap: int) -> list[tuple[str, int, int]]:
         """(licence, first, last) over places in `found`, longest matches first, none inside another."""
+        places: dict[str, list[int]] = {}
+        for i, x in enumerate(found):
+            places.setdefault(x[3], []).append(i)
         matches = []
         for name, ids in self.rules:
-            for start in range(len(found)):
-                if found[start][3] != ids[0]:
-                    continue
+            for start in places.get(ids[0], ()):
                 at = start
                 for want in ids[1:]:
-                    nxt = at + 1
-                    while nxt < len(found) and found[nxt][3] != want and found[nxt][0] - found[at][0] <= gap:
-                        nxt += 1
-                    if nxt == len(found) or found[nxt][3] != want or found[nxt][0] - found[at][0] > gap + MOST_PIECES:
+                    there = places.get(want, ())
+                    nxt = bisect_right(there, at)
+                    if nxt == len(there) or found[there[nxt]][0] - found[at][0] - 1 > gap:
                         break
-                    at = nxt
+                    at = there[nxt]
                 else:
                     matches.append((start, at, len(ids), name))
         matches.sort(key=lambda m: (-m[2], m[0], m[3]))
-        kept: list[tuple[int, int, int, str]] = []
-        for m in matches:
-            if not any(k[0] <= m[0] and m[1] <= k[1] and (k[2] > m[2] or k[3] == m[3]) for k in kept):
-                kept.append(m)
-        return sorted((name, a, b) for a, b, _, name in kept)
+        kept: dict[tuple[int, str], tuple[list[int], list[int]]] = {}  # of one licence and length: starts, and the furthest end so far
+        out = []
+        for start, at, length, name in matches:
+            inside = False
+            for (n, other), (starts, ends) in kept.items():
+                if n > length or other == name:
+                    k = bisect_right(starts, start) - 1
+                    inside = inside or (k >= 0 and ends[k] >= at)
+            if not inside:
+                starts, ends = kept.setdefault((length, name), ([], []))
+                starts.append(start)
+                ends.append(max(at, ends[-1]) if ends else at)
+                out.append((name, start, at))
+        return sorted(out)
 
 
 def _scan(rules: Rules, gap: int, keep: bool):
