@@ -4,7 +4,9 @@ A message is plain text, or a JSON object with `tool_calls` (a list of {id, name
 `tool` with `tool_call_id` and `content`. Messages are split into parts: plain messages, calls, results. Calls and
 results are joined by conversation and identifier. Parts are ordered topologically: a result follows its call, and a
 call follows the results of the calls it depends on, otherwise by turn. Arguments are checked against the schema of the
-called tool. Each part is written as canonical JSON: sorted keys, no spaces, characters as they are.
+called tool. Each part is written as canonical JSON: sorted keys, no spaces, characters as they are, lone surrogates as
+U+FFFD. A text that is no JSON (NaN, infinities, numbers beyond a double and nesting beyond the parser's depth are none)
+is a plain message.
 
 Every step is a join or a row-wise map; no conversation is gathered in one task, so its length doesn't matter.
 """
@@ -12,6 +14,8 @@ Every step is a join or a row-wise map; no conversation is gathered in one task,
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,26 +27,57 @@ from .shared import cut
 PARTS = "conv_id long, turn long, role string, part int, kind string, call_id string, name string, depends_on array<string>, error string, message string"
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def clean(text: str) -> str:
+    """Without lone surrogates, which UTF-8 cannot hold: each becomes U+FFFD."""
+    return _LONE.sub("\ufffd", text)
+
+
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return clean(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if math.isinf(value):
+        raise ValueError(f"{text} is too large")
+    return value
+
+
+def _refuse(text: str) -> None:
+    raise ValueError(f"{text} is not JSON")
+
+
+def parsed(text: str) -> object:
+    """The value of a JSON text; ValueError for anything else, NaN, infinities and too deep nesting among it."""
+    try:
+        return json.loads(text, parse_float=_finite, parse_constant=_refuse)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+
+
+def _name(value: object) -> str | None:
+    """An identifier as text: strings as they are, other values as canonical JSON."""
+    return None if value is None else clean(value) if isinstance(value, str) else canonical(value)
 
 
 _KINDS = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+def _is(value: object, kind: str) -> bool:
+    if kind in ("integer", "number"):
+        return not isinstance(value, bool) and (isinstance(value, int) or isinstance(value, float) and (kind == "number" or value.is_integer()))
+    return isinstance(value, _KINDS.get(kind, object))
+
+
 def schema_error(value: object, schema: dict, at: str = "$") -> str | None:
     """The first breach of a schema (type, required, properties, additionalProperties, items, enum), or None."""
     kind = schema.get("type")
-    if kind is not None:
-        if kind == "integer":
-            ok = isinstance(value, int) and not isinstance(value, bool)
-        elif kind == "number":
-            ok = isinstance(value, int | float) and not isinstance(value, bool)
-        else:
-            ok = isinstance(value, _KINDS.get(kind, object))
-        if not ok:
-            return f"{at}: not of type {kind}"
-    if "enum" in schema and value not in schema["enum"]:
+    if kind is not None and not any(_is(value, k) for k in (kind if isinstance(kind, list) else [kind])):
+        return f"{at}: not of type {kind if isinstance(kind, str) else canonical(kind)}"
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         return f"{at}: not one of the allowed values"
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -62,37 +97,37 @@ def schema_error(value: object, schema: dict, at: str = "$") -> str | None:
     return None
 
 
-def message_parts(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[tuple]:
-    """(kind, call_id, name, depends_on, error, message) of each part of a message."""
-    value = None
-    if text and text.lstrip()[:1] == "{":
+def _call(role: str | None, call: object, schemas: dict[str, dict]) -> tuple:
+    call = call if isinstance(call, dict) else {}
+    name, args, error = call.get("name"), call.get("arguments", {}), None
+    if isinstance(args, str):
         try:
-            value = json.loads(text)
+            args = parsed(args)
         except ValueError:
-            value = None
-    if isinstance(value, dict) and isinstance(value.get("tool_calls"), list):
-        out = []
-        if value.get("content") is not None:
-            out.append(("message", None, None, [], None, canonical({"content": value["content"], "role": role})))
-        for call in value["tool_calls"]:
-            call = call if isinstance(call, dict) else {}
-            name, args = call.get("name"), call.get("arguments", {})
-            error = None
-            if isinstance(args, str):
-                try:
-                    args = json.loads(args)
-                except ValueError:
-                    error = "$: arguments are not JSON"
-            if error is None:
-                error = f"unknown tool {name}" if name not in schemas else schema_error(args, schemas[name])
-            ident = None if call.get("id") is None else str(call["id"])
-            needs = [str(x) for x in call["depends_on"]] if isinstance(call.get("depends_on"), list) else []
-            out.append(("call", ident, None if name is None else str(name), sorted(set(needs)), error, canonical({"role": role, "tool_call": {"arguments": args, "id": ident, "name": name}})))
-        return out
-    if role == "tool" and isinstance(value, dict) and value.get("tool_call_id") is not None:
-        ident = str(value["tool_call_id"])
-        return [("result", ident, None, [], None, canonical({"content": value.get("content"), "role": role, "tool_call_id": ident}))]
-    return [("message", None, None, [], None, canonical({"content": text, "role": role}))]
+            error = "$: arguments are not JSON"
+    if error is None:
+        error = schema_error(args, schemas[name]) if isinstance(name, str) and name in schemas else f"unknown tool {'None' if name is None else _name(name)}"
+    ident, needs = _name(call.get("id")), call.get("depends_on")
+    needs = sorted({_name(x) for x in needs if x is not None}) if isinstance(needs, list) else []
+    return ("call", ident, _name(name), needs, clean(error) if error else None, canonical({"role": role, "tool_call": {"arguments": args, "id": ident, "name": name}}))
+
+
+def message_parts(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[tuple]:
+    """(kind, call_id, name, depends_on, error, message) of each part of a message."""
+    plain = [("message", None, None, [], None, canonical({"content": text, "role": role}))]
+    if not text or text.lstrip()[:1] != "{":
+        return plain
+    try:
+        value = parsed(text)
+        if isinstance(value.get("tool_calls"), list):
+            head = [] if value.get("content") is None else [("message", None, None, [], None, canonical({"content": value["content"], "role": role}))]
+            return head + [_call(role, call, schemas) for call in value["tool_calls"]]
+        if role == "tool" and value.get("tool_call_id") is not None:
+            ident = _name(value["tool_call_id"])
+            return [("result", ident, None, [], None, canonical({"content": value.get("content"), "role": role, "tool_call_id": ident}))]
+    except (ValueError, RecursionError):  # no JSON, or nested too deeply to be checked or written again
+        pass
+    return plain
 
 
 def _split(schemas: dict[str, dict]):
@@ -126,7 +161,7 @@ def chat_format(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
     calls = parts.where(tied & (F.col("kind") == "call")).groupBy("conv_id", "call_id").agg(F.count("*").alias("n_calls"), F.min("turn").alias("call_turn"))
     results = parts.where(tied & (F.col("kind") == "result")).groupBy("conv_id", "call_id").agg(F.count("*").alias("n_results"), F.max("turn").alias("result_turn"))
     needs = parts.where(tied & (F.col("kind") == "call")).select("conv_id", "call_id", F.explode("depends_on").alias("need")).distinct()
-    base = calls.join(results, ["conv_id", "call_id"], "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
+    base = calls.join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
     # calls without open dependencies first, then those that only depend on them, and so on
     waiting = needs.join(calls.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("known")), ["conv_id", "need"], "left")
     unknown = waiting.where("known is null").select("conv_id", "call_id").distinct().withColumn("unknown_need", F.lit(True))
@@ -143,7 +178,7 @@ def chat_format(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
     circular = waiting.select("conv_id", "call_id").distinct().withColumn("circular", F.lit(True))
     state = base.join(done, ["conv_id", "call_id"], "left").join(unknown, ["conv_id", "call_id"], "left").join(circular, ["conv_id", "call_id"], "left")
     loose = parts.where(~tied | tied.isNull())
-    bound = parts.where(tied).join(state, ["conv_id", "call_id"], "left")
+    bound = parts.where(tied).join(state.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     error = F.when(F.col("kind") == "call", F.coalesce("error", F.when(F.col("n_calls") > 1, "identifier used twice"), F.when(F.col("circular"), "circular dependency"), F.when(F.col("unknown_need"), "unknown dependency")))
     is_call = F.col("kind") == "call"
     bound = bound.select(
