@@ -14,6 +14,7 @@ of `block` entries, and every two blocks meet in a task of their own, so no task
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,18 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import cut, width
 
+#: Parts in which the entries of a list meet the list's number of blocks.
+SALTS = 16
+
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """Indices of the `prefix` nearest pivots of unit vectors x, nearest first, ties by index."""
-    near = x @ pivots.T
-    return np.argsort(-near, axis=1, kind="stable")[:, :prefix].astype(np.int16)
+    """Indices of the `prefix` nearest pivots of unit vectors x, nearest first."""
+    out = np.empty((len(x), min(prefix, len(pivots))), np.int16)
+    for lo in range(0, len(x), 1024):
+        far = -(x[lo : lo + 1024] @ pivots.T)
+        at = np.argpartition(far, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
+        out[lo : lo + 1024] = np.take_along_axis(at, np.argsort(np.take_along_axis(far, at, 1), axis=1, kind="stable"), 1)
+    return out
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -62,13 +70,13 @@ def pair_counts(x: np.ndarray, near: np.ndarray, copies: np.ndarray, side: np.nd
     pairs across are wanted, 2 for all pairs of one block."""
     n = len(x)
     shared = min(shared, near.shape[1])  # a dimension can have fewer pivots
-    bits = int(near.max()) + 1 if n else 1
-    member = np.zeros((n, bits), np.float32)
-    np.put_along_axis(member, near.astype(np.int64), 1, axis=1)
-    low = near[:, :lists].astype(np.int64)
-    entered = np.zeros((n, bits), np.float32)
-    np.put_along_axis(entered, low, 1, axis=1)
-    smaller = entered[:, :pivot]
+    known, place = np.unique(near, return_inverse=True)  # only pivots that occur here
+    place = place.reshape(near.shape)
+    member = np.zeros((n, len(known)), np.float32)
+    np.put_along_axis(member, place, 1, axis=1)
+    entered = np.zeros((n, len(known)), np.float32)
+    np.put_along_axis(entered, place[:, :lists], 1, axis=1)
+    smaller = entered[:, : int(np.searchsorted(known, pivot))]
     links, forest, group = np.zeros(n, np.int64), [], np.arange(n)
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side != 2).all() else (np.arange(n),) * 2
     for lo in range(0, len(left), 512):
@@ -126,48 +134,61 @@ def _list_links(lists: int, shared: int, limit: float):
     return run
 
 
-def embedding_near_dedup(vectors: DataFrame, limit: float = 0.98, pivots: int = 128, prefix: int = 16, lists: int = 4, shared: int = 8, sample: int = 4096, block: int = 2048) -> DataFrame:
+def pivot_count(classes: int, least: int, most: int) -> int:
+    """Pivots for so many distinct vectors: their square root, so that the lists' lengths grow with the root as well."""
+    return min(max(least, math.isqrt(classes)), most)
+
+
+def embedding_near_dedup(vectors: DataFrame, limit: float = 0.98, pivots: int = 128, most_pivots: int = 4096, prefix: int = 16, lists: int = 4, shared: int = 8, sample: int = 16_384, block: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label; more are ignored).
 
     Only rows of one non-null label and one dimension are compared. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing. n_links counts other rows with cosine >= limit that the index finds;
     component_id is the smallest vec_id reachable; kept says whether it is the row's own. Rows given twice are copies
-    of each other and link. `sample` bounds the vectors of a dimension that pivots are drawn from; every row is indexed.
+    of each other and link; different vectors under one vec_id are vectors of their own. A row with null vec_id links with
+    nothing. A dimension has from `pivots` to `most_pivots` pivots, by the square root of its distinct vectors; `sample`
+    bounds the vectors that they are drawn from. Every row is indexed.
     """
     spark = vectors.sparkSession
     parts = width(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)
-    usable = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & (norm > 0) & (norm < float("inf")))
-    usable = usable.withColumn("key", F.sha2(F.concat_ws("|", "label", F.col("embedding").cast("string")), 256))
-    classes = cut(usable.groupBy("key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies")))
-    one = cut(usable.join(classes, "key").where(F.col("vec_id") == F.col("cls")).dropDuplicates(["cls"]).select("cls", "label", F.size("embedding").alias("dim"), "copies", "embedding"))
+    is_usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & (norm > 0) & (norm < float("inf")), F.lit(False))
+    usable = rows.where(is_usable).withColumn("key", F.sha2(F.concat_ws("|", "label", F.col("embedding").cast("string")), 256))
+    # numbers of classes are drawn once and kept: a lost task reads them again, it doesn't draw them anew
+    classes = cut(usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("cls", F.monotonically_increasing_id()))
+    one = classes.select("cls", "label", F.size("embedding").alias("dim"), "copies", "embedding")
     by_dim: dict[int, np.ndarray] = {}
-    for dim in sorted({r.dim for r in one.select("dim").distinct().collect()}):
-        pool = [r.embedding for r in one.where(F.col("dim") == dim).orderBy(F.xxhash64("cls")).limit(max(sample, pivots + 1)).select("embedding").collect()]
-        x = np.array(pool, np.float64)
+    for dim, total in sorted((r.dim, r["count"]) for r in one.groupBy("dim").count().collect()):
+        wanted = pivot_count(total, pivots, most_pivots)
+        drawn = max(sample * 384 // max(dim, 384), wanted + 1)  # of wide vectors fewer
+        pool = one.where(F.col("dim") == dim).orderBy(F.xxhash64("embedding"), "embedding").limit(drawn).select("embedding").toArrow().combine_chunks()
+        x = _vectors(pool.column("embedding").chunk(0)).copy()
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         chosen = [0]  # farthest first: each pivot is the vector least like those before it
         most = x @ x[0]
-        while len(chosen) < (pivots if len(x) > pivots else 1):
+        while len(chosen) < (wanted if len(x) > wanted else 1):
             chosen.append(int(most.argmin()))
             most = np.maximum(most, x @ x[chosen[-1]])
         by_dim[dim] = x[chosen]
     sent = spark.sparkContext.broadcast(by_dim)
     entries = one.mapInArrow(_describe(sent, prefix, lists), "cls long, label string, dim int, pivot int, copies long, near binary, embedding array<double>")
-    entries = cut(entries)
-    place = entries.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = entries.join(place, ["label", "dim", "pivot"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    entries = cut(entries.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")))
+    list_key = ["label", "dim", "pivot"]
+    place = entries.groupBy(*list_key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    place = place.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a hot list is joined in so many parts
+    dealt = entries.join(place, [*list_key, "salt"]).withColumn("own", F.pmod(F.xxhash64(F.lit(5), "cls"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = F.xxhash64("label", "dim", "pivot", F.least("own", "other"), F.greatest("own", "other"))
+    task = F.xxhash64(*list_key, F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     dealt = dealt.select(task.alias("task"), side.cast("int").alias("side"), "cls", "pivot", "copies", "near", "embedding")
     found = cut(dealt.repartition(parts, "task").sortWithinPartitions("task", "cls").mapInArrow(_list_links(lists, shared, limit), "cls long, n long, other long"))
     links = found.groupBy("cls").agg(F.sum("n").alias("n"))
     roots = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
-    solved = classes.join(links, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cls").alias("component_id"))
+    named = classes.join(links, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "cls").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    solved = named.join(least, "root").select("key", "n_links", "component_id")
     linked = usable.select("vec_id", "key").join(solved, "key").select("vec_id", "n_links", "component_id")
-    is_usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & (norm > 0) & (norm < float("inf")), F.lit(False))
     alone = rows.where(~is_usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
