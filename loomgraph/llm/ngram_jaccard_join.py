@@ -13,8 +13,12 @@ found, none is estimated:
 4. In each cluster a signature tree is built: members sorted so that like ones are neighbours, leaf bitmaps of hashed
    shingles, inner nodes with OR-combined bitmaps and size ranges. A dual traversal drops node pairs whose maximum
    possible overlap is too small or whose members are all connected already; surviving pairs of members are verified
-   on their whole sets. A cluster over `block_shingles` shingles is dealt out as pairs of blocks, so that no task
-   holds more than two blocks; every pair of members still meets in one of them.
+   on their whole sets.
+5. A cluster of more than `block` members or `block_shingles` shingles is no single task. First its members with one
+   smallest shingle meet in blocks, each with the first of them all; what these stars connect is known. Then the cluster
+   is dealt out as pairs of blocks of about `block` members that were laid out by the groups known so far, without the
+   pairs whose members are in one group already: a large group of copies costs its stars, not its pairs. Every two
+   members that are not connected yet still meet in one task.
 
 Shingles are compared as 64-bit hashes of whole word sequences.
 """
@@ -92,19 +96,21 @@ def _class_ids(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _scan(words: int):
-    """Documents -> (doc_id, n, cls) rows, and (block, counts) rows of a task's sketch of shingle counts."""
+    """Documents -> (doc_id, n, cls, low) rows, low the smallest shingle, and (block, counts) rows of a task's sketch of
+    shingle counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(CELLS, np.uint32), np.zeros(0, np.int64)
         for part in X.pieces(batches, "text", 8 << 20):
             sets, off = shingle_sets(part.column("text"), words)
             n, cls = np.diff(off), _class_ids(sets, off)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(cls), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "cls", "block", "counts"])
+            low = np.append(sets, U64(0))[off[:-1]].view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(cls), pa.array(low), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "cls", "low", "block", "counts"])
             rows, seen = _fresh(cls, n, seen)
             sketch += np.bincount(_cells(sets[X.ranges(off[rows], n[rows])]), minlength=CELLS).astype(np.uint32)
         blocks = [(i, x) for i, x in enumerate(np.split(sketch, BLOCKS)) if x.any()]
         none = pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _ in blocks], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in blocks], pa.binary())], names=["doc_id", "n", "cls", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i for i, _ in blocks], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in blocks], pa.binary())], names=["doc_id", "n", "cls", "low", "block", "counts"])
 
     return run
 
@@ -381,7 +387,7 @@ def _cluster_links(words: int, num: int, den: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, block_shingles: int = 4_000_000) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, block_shingles: int = 4_000_000, block: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text; more columns are ignored).
 
     Documents link when |x & y| / |x | y| >= num / den over sets of `words`-word shingles; component_id is the smallest
@@ -390,25 +396,75 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = cut(source.mapInArrow(_scan(words), "doc_id long, n long, cls long, block int, counts binary"))
-    per_doc = scanned.where("block is null").select("doc_id", "n", "cls")
+    scanned = cut(source.mapInArrow(_scan(words), "doc_id long, n long, cls long, low long, block int, counts binary"))
+    per_doc = scanned.where("block is null").select("doc_id", "n", "cls", "low")
     level = np.zeros((BLOCKS, CELLS // BLOCKS), np.uint8)
     for r in scanned.where("block is not null").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(_add_sketches, "block int, levels binary").collect():
         level[r.block] = np.frombuffer(r.levels, np.uint8)
     levels = spark.sparkContext.broadcast(level.ravel())  # CELLS bytes
-    parts = width(spark)
+    shingles = per_doc.agg(F.sum("n")).first()[0] or 0
+    parts = width(spark, 5 * shingles, 256 << 20)  # a fifth of each set goes out, some 25 bytes a shingle
     packed = source.mapInArrow(_prefixes(words, num, den, levels, parts), "part int, tokens binary, classes binary, sizes binary, places binary")
     edges = packed.repartition(parts, "part").mapInArrow(_candidates(num, den), "a long, b long")
     clusters = components(edges)
-    classes = per_doc.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    members = cut(classes.join(clusters.withColumnRenamed("node", "cls"), "cls").select("rep", "n", "root"))
-    blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    placed = members.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.select("rep", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("rep", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
-    first = source.where("doc_id is not null").join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
-    links = first.select("task", "doc_id", "text").repartition(parts, "task").sortWithinPartitions("task", "doc_id").mapInArrow(_cluster_links(words, num, den), "a long, b long")
+    classes = per_doc.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low"))
+    members = cut(classes.join(clusters.withColumnRenamed("node", "cls"), "cls").select("rep", "n", "low", "root"))
+    first = source.where("doc_id is not null")
+
+    def links_of(tasks: DataFrame) -> DataFrame:
+        """Links of the members that meet in tasks (rep, task)."""
+        texts = first.join(tasks.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("task", "doc_id", "text")
+        return texts.repartition(parts, "task").sortWithinPartitions("task", "doc_id").mapInArrow(_cluster_links(words, num, den), "a long, b long")
+
+    sizes = members.groupBy("root").agg(_block_count(block, block_shingles).alias("blocks"))
+    placed = members.join(sizes, "root")
+    small = placed.where("blocks = 1").select("rep", F.xxhash64(F.lit(0), "root").alias("task"))
+    large = cut(placed.where("blocks > 1"))
+    if large.isEmpty():
+        links = links_of(small)
+    else:
+        links = cut(links_of(small.unionByName(_stars(large, block, block_shingles))))
+        links = links.unionByName(links_of(_pairs(large, links, block, block_shingles)))
     roots = components(links)
     by_class = classes.select("cls", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("root", "rep").alias("found"))
     out = per_doc.join(by_class, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("doc_id"))).alias("component_id"))
+
+
+def _block_count(block: int, block_shingles: int):
+    return F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("*") / block)).cast("int")
+
+
+def _stars(large: DataFrame, block: int, block_shingles: int) -> DataFrame:
+    """(rep, task): members of a cluster with one smallest shingle, in blocks, and the first of them in each block."""
+    groups = large.groupBy("root", "low").agg(_block_count(block, block_shingles).alias("own_blocks"), F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))  # a hot group is joined in so many parts
+    dealt = large.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(16)).cast("int")).join(salted, ["root", "low", "salt"])
+    task = lambda n: F.xxhash64(F.lit(1), "root", "low", n)
+    rest = dealt.where("rep != centre").select("rep", task(F.pmod(F.xxhash64(F.lit(4), "rep"), F.col("own_blocks")).cast("int")).alias("task"))
+    centres = groups.withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1))).select(F.col("centre").alias("rep"), task(F.col("nth")).alias("task"))
+    return rest.unionByName(centres)
+
+
+def _pairs(large: DataFrame, links: DataFrame, block: int, block_shingles: int) -> DataFrame:
+    """(rep, task): pairs of blocks of a cluster's members, without those inside one group of the links known.
+
+    A block is of one group, or of the many small groups of a cluster; a cluster that is one group needs none.
+    """
+    known = components(links)
+    held = cut(large.select("root", "rep", "n").join(known.select(F.col("node").alias("rep"), F.col("root").alias("grp")), "rep", "left").withColumn("grp", F.coalesce("grp", "rep")))
+    groups = held.groupBy("root", "grp").agg(_block_count(block, block_shingles).alias("own_blocks"), F.count("*").alias("members"), F.sum("n").alias("n"))
+    several = groups.groupBy("root").agg(F.count("*").alias("n_groups"), F.sum(F.when(F.col("own_blocks") == 1, F.col("members"))).alias("loose"), F.sum(F.when(F.col("own_blocks") == 1, F.col("n"))).alias("loose_n")).where("n_groups > 1")
+    several = several.select("root", F.greatest(F.lit(1), F.ceil(F.coalesce("loose", F.lit(0)) / block), F.ceil(F.coalesce("loose_n", F.lit(0)) / block_shingles)).cast("int").alias("loose_blocks"))
+    groups = cut(groups.join(several, "root").select("root", "grp", "own_blocks", "loose_blocks"))
+    nth = F.when(F.col("own_blocks") == 1, F.pmod(F.xxhash64(F.lit(5), "grp"), F.col("loose_blocks"))).otherwise(F.pmod(F.xxhash64(F.lit(6), "rep"), F.col("own_blocks"))).cast("int")
+    loose = F.lit(None).cast("long")
+    placed = held.join(groups, ["root", "grp"]).select("root", "rep", F.when(F.col("own_blocks") > 1, F.col("grp")).otherwise(loose).alias("grp"), nth.alias("nth"))
+    own = groups.where("own_blocks > 1").select("root", "grp", F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("nth"))
+    mixed = groups.select("root", "loose_blocks").distinct().select("root", loose.alias("grp"), F.explode(F.sequence(F.lit(0), F.col("loose_blocks") - 1)).alias("nth"))
+    blocks = own.unionByName(mixed).withColumn("block", F.xxhash64("grp", "nth"))
+    placed = placed.withColumn("block", F.xxhash64("grp", "nth"))
+    a, b = blocks.select("root", F.col("grp").alias("ga"), F.col("block").alias("a")), blocks.select("root", F.col("grp").alias("gb"), F.col("block").alias("b"))
+    tasks = a.join(b, "root").where("a <= b and (ga is null or gb is null or ga != gb)").select("root", "a", "b", F.xxhash64(F.lit(2), "root", "a", "b").alias("task"))
+    ends = tasks.select("root", F.col("a").alias("block"), "task").unionByName(tasks.where("a != b").select("root", F.col("b").alias("block"), "task"))
+    return placed.join(ends, ["root", "block"]).select("rep", "task")
