@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+from . import shared
 from . import textnp as X
-from .shared import fields
 
 U64 = np.uint64
 SAMPLE = 16
@@ -136,7 +137,11 @@ class FmIndex:
 
 
 class Phrases:
-    """The benchmark: its vocabulary by word hash, and its distinct windows by length with the items that have them."""
+    """The benchmark: its vocabulary by word hash, and its distinct windows by length with the items that have them.
+
+    Windows are kept as places in the sequence of the benchmark's words, and their items as one sorted array with
+    offsets: some 40 bytes a word, whatever the benchmark repeats.
+    """
 
     def __init__(self, ids: list, texts: list[str], window: int) -> None:
         buf, off = X.text_buffer(pa.array(texts, pa.string()))
@@ -144,21 +149,33 @@ class Phrases:
         starts, ends, at = X.word_spans(buf, off, X.ALNUM)
         hashes = X.span_hashes(buf, starts, ends)
         self.vocab, word = np.unique(hashes, return_inverse=True)
-        word = word.astype(np.int64) + 2  # 0 ends the sequence, 1 is a break
-        self.items = [str(i) for i in ids]
-        found: dict[int, dict[bytes, set[int]]] = {}
-        for i in range(len(ids)):
-            w = word[at[i] : at[i + 1]]
-            k = min(window, len(w))
-            for s in range(len(w) - k + 1 if k else 0):
-                found.setdefault(k, {}).setdefault(w[s : s + k].tobytes(), set()).add(i)
-        self.windows = {k: (np.frombuffer(b"".join(x), np.int64).reshape(-1, k), [np.array(sorted(v), np.int64) for v in x.values()]) for k, x in found.items()}
+        self.word = word.astype(np.int64) + 2  # 0 ends the sequence, 1 is a break
+        names: dict[str, int] = {}
+        item = np.array([names.setdefault(str(i), len(names)) for i in ids], np.int64)
+        self.items = list(names)
+        words = np.diff(at)
+        length = np.minimum(words, window)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in np.unique(length[length > 0]).tolist():
+            rows = np.flatnonzero(length == k)
+            count = words[rows] - k + 1
+            place, owner = X.ranges(at[:-1][rows], count), np.repeat(item[rows], count)
+            key = np.zeros(len(place), np.int64)
+            for j in range(k):  # names of growing prefixes: equal names, equal windows
+                key = np.unique(key * (len(self.vocab) + 2) + self.word[place + j], return_inverse=True)[1].astype(np.int64)
+            order = np.lexsort((owner, key))
+            key, owner, place = key[order], owner[order], place[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            key, owner, place = key[new], owner[new], place[new]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            self.windows[k] = place[first], owner, np.append(first, len(key))
         self.least = min(self.windows, default=0)
         bits = max(12, int(len(self.vocab)).bit_length() + 5)
         self.tables, left, shift = [], np.arange(len(self.vocab)), 64 - bits
         while len(left):  # open slots by some bits of the hash; words that meet in one go to the next table
             slot = ((self.vocab[left] << U64(7 * len(self.tables) % 40)) >> U64(shift)).astype(np.int64)
-            table = np.full(1 << bits, -1, np.int64)
+            table = np.full(1 << bits, -1, np.int32)
             table[slot[::-1]] = left[::-1]
             self.tables.append((U64(7 * len(self.tables) % 40), U64(shift), table))
             left = left[table[slot] != left]
@@ -192,18 +209,17 @@ def stretches(symbols: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarr
 class Shard:
     """Documents of one index, until it is built."""
 
-    def __init__(self, carry: tuple[str, ...] = (), cut: bool = False) -> None:
-        self.carry, self.carried, self.cut = carry, [], cut
-        self.ids, self.counts, self.seq, self.doc, self.begin, self.end = [], [], [], [], [], []
+    def __init__(self, most_phrases: int = 1 << 20) -> None:
+        self.most_phrases = most_phrases
+        self.parts: list[pa.RecordBatch] = []
+        self.counts, self.seq, self.doc, self.nth, self.begin, self.end = [], [], [], [], [], []
         self.docs = self.symbols = self.bytes = 0
 
     def add(self, part: pa.RecordBatch, phrases: Phrases) -> None:
-        ids, texts = part.column("doc_id"), part.column("text")
-        self.carried.append([part.column(c) for c in self.carry])
-        buf, off = X.text_buffer(texts)
+        buf, off = X.text_buffer(part.column("text"))
         buf = X.lower_ascii(buf)
         starts, ends, at = X.word_spans(buf, off, X.ALNUM)
-        self.ids.append(ids)
+        self.parts.append(part)
         self.counts.append(np.diff(at))
         if phrases.least:
             sym = phrases.symbols(X.span_hashes(buf, starts, ends))
@@ -215,104 +231,159 @@ class Shard:
             real = np.ones(len(seq), bool)
             real[gaps] = False
             seq[real] = sym[pick]
-            for out, x in ((self.doc, doc + self.docs), (self.begin, starts[pick] - off[doc]), (self.end, ends[pick] - off[doc])):
+            for out, x in ((self.doc, doc + self.docs), (self.nth, pick - at[doc]), (self.begin, starts[pick] - off[doc]), (self.end, ends[pick] - off[doc])):
                 full = np.full(len(seq), -1, np.int64)
                 full[real] = x
                 out.append(full)
             self.seq.append(seq)
             self.symbols += len(seq)
-        self.docs += len(ids)
+        self.docs += len(part)
         self.bytes += int(off[-1])
 
-    def close(self, phrases: Phrases) -> pa.RecordBatch:
-        counts = np.concatenate(self.counts)
-        n_hit = np.zeros(self.docs, np.int64)
-        items: dict[int, set[int]] = {}
-        spans: dict[int, list[dict]] = {}
-        if self.symbols:
-            seq, doc, begin, end = (np.concatenate(x) for x in (self.seq, self.doc, self.begin, self.end))
-            index = FmIndex(seq, len(phrases.vocab) + 1)
-            cover = np.zeros(len(seq) + 1, np.int64)
-            for k, (windows, owners) in phrases.windows.items():
-                lo, hi = index.search(windows)
+    def hits(self, phrases: Phrases) -> tuple[list[list[dict]], list[list[str]]]:
+        """Each document's maximal runs of hit words (numbers and byte ranges), and the items that occur in it."""
+        runs: list[list[dict]] = [[] for _ in range(self.docs)]
+        items: list[list[str]] = [[] for _ in range(self.docs)]
+        if not self.symbols:
+            return runs, items
+        seq, doc, nth, begin, end = (np.concatenate(x) for x in (self.seq, self.doc, self.nth, self.begin, self.end))
+        index = FmIndex(seq, len(phrases.vocab) + 1)
+        cover = np.zeros(len(seq) + 1, np.int64)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for k, (places, owners, at_owner) in phrases.windows.items():
+            for base in range(0, len(places), self.most_phrases):
+                lo, hi = index.search(phrases.word[places[base : base + self.most_phrases, None] + np.arange(k)])
                 some = np.flatnonzero(hi > lo)
                 times = (hi - lo)[some]
                 at = index.locate(X.ranges(lo[some], times))
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + k, -1)
-                which = np.repeat(some, times)
-                for w, d in np.unique(np.stack([which, doc[at]], 1), axis=0).tolist():
-                    items.setdefault(d, set()).update(owners[w].tolist())
-            hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-            if len(hit):
-                np.add.at(n_hit, doc[hit], 1)
-                new = np.ones(len(hit), bool)
-                new[1:] = (np.diff(hit) != 1) | (doc[hit[1:]] != doc[hit[:-1]])
-                last = np.append(new[1:], True)
-                for d, b, e in zip(doc[hit[new]].tolist(), begin[hit[new]].tolist(), end[hit[last]].tolist(), strict=True):
-                    spans.setdefault(d, []).append({"begin": b, "end": e})
-        names = [sorted(phrases.items[i] for i in items.get(d, ())) for d in range(self.docs)]
-        none = hashlib.sha256(b"").hexdigest()
-        if "text" in self.carry and self.cut:
-            at = self.carry.index("text")
-            base = np.cumsum([0, *(len(x[at]) for x in self.carried)])
-            for lo, columns in zip(base, self.carried, strict=False):
-                columns[at] = without(columns[at], {d - lo: spans[d] for d in spans if lo <= d < lo + len(columns[at])})
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays(self.ids), pa.array(counts), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else none for x in names]), pa.array((n_hit > 0) & (20 * n_hit >= counts)), pa.array([spans.get(d, []) for d in range(self.docs)], SPANS), *(pa.concat_arrays(x) for x in zip(*self.carried, strict=True))],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *self.carry],
-        )
-
-
-def without(texts: pa.Array, spans: dict[int, list[dict]]) -> pa.Array:
-    """Texts with the byte spans of some rows cut out."""
+                met = np.unique(np.stack([np.repeat(base + some, times), doc[at]], 1), axis=0)
+                n = at_owner[met[:, 0] + 1] - at_owner[met[:, 0]]
+                pairs.append(np.unique(np.stack([np.repeat(met[:, 1], n), owners[X.ranges(at_owner[met[:, 0]], n)]], 1), axis=0))
+        for d, i in np.unique(np.concatenate(pairs), axis=0).tolist():
+            items[d].append(phrases.items[i])
+        hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+        new = np.ones(len(hit), bool)
+        new[1:] = (np.diff(hit) != 1) | (doc[hit[1:]] != doc[hit[:-1]])
+        first, last = hit[new], hit[np.append(new[1:], True)[: len(hit)]]
+        for d, *x in zip(*(y.tolist() for y in (doc[first], nth[first], nth[last] + 1, begin[first], end[last])), strict=True):
+            runs[d].append(dict(zip(("first", "last", "begin", "end"), x, strict=True)))
+        return runs, items
+
+
+def merged(runs: list[dict]) -> list[dict]:
+    """Runs of hit words that touch or overlap as one."""
+    out: list[dict] = []
+    for x in sorted(runs, key=lambda x: (x["first"], -x["last"])):
+        if out and x["first"] <= out[-1]["last"]:
+            if x["last"] > out[-1]["last"]:
+                out[-1] |= {"last": x["last"], "end": x["end"]}
+        else:
+            out.append(dict(x))
+    return out
+
+
+def without(text: str | None, spans: list[dict]) -> str | None:
+    """A text with byte spans cut out."""
     if not spans:
-        return texts
-    out = texts.to_pylist()
-    for i, cuts in spans.items():
-        data, kept, last = out[i].encode(), [], 0
-        for x in cuts:
-            kept.append(data[last : x["begin"]])
-            last = x["end"]
-        out[i] = b"".join([*kept, data[last:]]).decode()
-    return pa.array(out, texts.type)
+        return text
+    data, kept, last = text.encode(), [], 0
+    for x in spans:
+        kept.append(data[last : x["begin"]])
+        last = x["end"]
+    return b"".join([*kept, data[last:]]).decode()
 
 
+RUNS = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "begin", "end")]))
 SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def _run(phrases, carry: tuple[str, ...], cut: bool):
+def _shards(phrases, close):
+    """Batches through shards: close(shard, its phrases) makes the rows of one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(carry, cut)
+        shard = Shard()
         for part in X.pieces(batches, "text", 4 << 20):
             shard.add(part, phrases.value)
             if shard.symbols >= SHARD_SYMBOLS or shard.bytes >= SHARD_BYTES:
-                yield shard.close(phrases.value)
-                shard = Shard(carry, cut)
+                yield close(shard, phrases.value)
+                shard = Shard()
         if shard.docs:
-            yield shard.close(phrases.value)
+            yield close(shard, phrases.value)
 
     return run
 
 
-def fm_decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_bytes: int = 256 << 20, carry: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for every row of docs (doc_id, text).
+def _column(shard: Shard, name: str) -> pa.Array:
+    return pa.concat_arrays([x.column(name) for x in shard.parts])
+
+
+def _collect(shard: Shard, phrases: Phrases) -> pa.RecordBatch:
+    """Rows as given, with this part's runs and items added to those of earlier parts."""
+    runs, items = shard.hits(phrases)
+    runs = [a + b for a, b in zip(_column(shard, "runs").to_pylist(), runs, strict=True)]
+    items = [a + b for a, b in zip(_column(shard, "items").to_pylist(), items, strict=True)]
+    names = shard.parts[0].schema.names
+    own = {"runs": pa.array(runs, RUNS), "items": pa.array(items, pa.list_(pa.string()))}
+    return pa.RecordBatch.from_arrays([own[c] if c in own else _column(shard, c) for c in names], names=names)
+
+
+def _decide(cut_out: bool):
+    def close(shard: Shard, phrases: Phrases) -> pa.RecordBatch:
+        runs, items = shard.hits(phrases)
+        carried = [c for c in shard.parts[0].schema.names if c == "carried"]
+        if "runs" in shard.parts[0].schema.names:
+            runs = [merged(a + b) for a, b in zip(_column(shard, "runs").to_pylist(), runs, strict=True)]
+            items = [[*{*a, *b}] for a, b in zip(_column(shard, "items").to_pylist(), items, strict=True)]
+        counts = np.concatenate(shard.counts)
+        n_hit = np.array([sum(x["last"] - x["first"] for x in r) for r in runs], np.int64)
+        names = [",".join(sorted(x)) for x in items]
+        out = {
+            "doc_id": _column(shard, "doc_id"), "n_words": pa.array(counts), "n_hit": pa.array(n_hit), "n_items": pa.array([len(x) for x in items], pa.int64()),
+            "items_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]), "contaminated": pa.array((n_hit > 0) & (20 * n_hit >= counts)),
+            "spans": pa.array([[{"begin": x["begin"], "end": x["end"]} for x in r] for r in runs], SPANS),
+        }
+        if cut_out:
+            texts = _column(shard, "text")
+            some = [i for i, r in enumerate(runs) if r]
+            if some:
+                texts = texts.to_pylist()
+                for i in some:
+                    texts[i] = without(texts[i], runs[i])
+            out["kept"] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_pydict(out | {c: _column(shard, c) for c in carried})
+
+    return close
+
+
+def benchmark_parts(rows: DataFrame, most_bytes: int) -> int:
+    """How many parts of about most_bytes of text there are; at least one."""
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return max(1, -(-size // most_bytes))
+
+
+def fm_decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_bytes: int = 16 << 20, carry: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans[, kept, carried]) for every row of docs.
 
     spans are byte ranges [begin, end) of the UTF-8 text whose words are hit. Nulls and empty texts have no words and
-    are clean; benchmark rows with null text or id are ignored, repeated rows count once; no benchmark hits nothing.
-    The benchmark is sent to all tasks, so its size is checked: over most_bytes of text this raises a ValueError.
-    `carry` names columns of docs that are returned as well; with `cut` the text among them comes without the spans.
+    are clean; benchmark rows with null text or id are ignored, texts of one item_id are one item, no benchmark hits
+    nothing; repeated rows of docs give repeated results. The benchmark is sent to all tasks in parts of about most_bytes
+    of text, so what is sent at once is bounded (some 100 bytes a word); documents go through all parts, and their runs
+    of hit words are united. With `cut` kept is the text without the spans. `carry` names columns of docs that come
+    back in a struct (see shared.restored); other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    if size > most_bytes:
-        raise ValueError(f"the benchmark has {size} bytes; split it into parts of at most {most_bytes}")
-    merged: dict[str, list[str]] = {}
-    got = rows.distinct().orderBy("item_id", "text").collect()
-    for r in got:
-        merged.setdefault(str(r.item_id), []).append(r.text)
-    ids = [i for i, texts in merged.items() for _ in texts]
-    phrases = spark.sparkContext.broadcast(Phrases(ids, [t for texts in merged.values() for t in texts], window))
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin: long, end: long>>" + fields(docs, carry)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text")).mapInArrow(_run(phrases, carry, cut), schema)
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    parts = benchmark_parts(rows, most_bytes)
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *shared.carried(carry))
+    if parts > 1:
+        rows = shared.cut(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))))
+        state = state.withColumn("runs", F.array().cast("array<struct<first: long, last: long, begin: long, end: long>>")).withColumn("items", F.array().cast("array<string>"))
+    for i in range(parts):
+        got = (rows.where(F.col("part") == i) if parts > 1 else rows).select("item_id", "text").toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+        phrases = spark.sparkContext.broadcast(Phrases(got.column("item_id").to_pylist(), got.column("text").to_pylist(), window))
+        if i + 1 < parts:
+            state = shared.cut(state.mapInArrow(_shards(phrases, _collect), state.schema))
+    own = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin: long, end: long>>" + ", kept string" * cut
+    return state.mapInArrow(_shards(phrases, _decide(cut)), shared.schema(own, docs, carry))

@@ -2,13 +2,15 @@
 
 1. Every window of `least` bytes names an anchor: of the k-byte strings inside it the one with the lowest hash, the
    leftmost of equals. Equal windows have equal anchors at equal offsets, so a window can only repeat if its anchor
-   does. Anchors are counted by hash; texts that are equal as wholes count once, by their class.
-2. Each repeated anchor sends the bytes of its own windows (a context) to the shard of its hash. Equal contexts are sent
-   once with the places that have them.
+   does. Anchors are counted by hash; texts that are equal as wholes count once, by their class. A task settles itself
+   what it meets twice and sends one mark of it, so a passage that a third of all documents share costs a mark a task.
+2. Each repeated anchor sends the bytes of its own windows (a context) to the shard of its hash. Of contexts that a task
+   has twice all windows repeat: their places are settled there, and the bytes go out once.
 3. A shard builds suffix arrays over its distinct contexts: bytes are classified as smaller or larger than what
    follows, leftmost-smaller substrings are sorted and named, the string of names is sorted recursively, and the whole
    array is induced from it bucket by bucket. Common prefixes are computed in text order (permuted), each from the one
    before it. Windows in a run of suffixes with a common prefix of `least` bytes are matched if the run has two places.
+   An anchor with very many different contexts is split by longer anchors inside them, up to whole windows.
 4. Matched windows are merged into spans per document, and the rest of its bytes is kept.
 
 Numpy runs the induction in waves: all entries of a bucket that are there are scanned at once, which keeps the order of
@@ -27,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as X
-from .shared import cut, fields, width
+from .shared import carried, cut, schema, width
 
 U64 = np.uint64
 ANCHOR = 40
+#: Longer anchors, as shares of a window, that split what a shorter one leaves in one large group; the last are windows.
+FINER = (0.5, 0.8, 1)
 PLACE_BITS = 28
+STRETCH = 8 << 20
 CHUNK = 1 << 19
 FLUSH = 16 << 20
 _POWER = U64(0x9E3779B97F4A7C55)
@@ -97,6 +102,28 @@ def anchors(buf: np.ndarray, off: np.ndarray, least: int, k: int) -> tuple[np.nd
     return d, X.mix64(h[at[first]]), at[first] - off[d], starts[first] - off[d], starts[last] - off[d]
 
 
+def anchors_of(buf: np.ndarray, off: np.ndarray, least: int, k: int) -> tuple[np.ndarray, ...]:
+    """As `anchors`, whatever the length: in groups of texts of about STRETCH bytes, a longer text in stretches.
+
+    An anchor whose windows reach over the end of a stretch is named twice, for either stretch's windows.
+    """
+    found, i, n = [], 0, len(off) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + STRETCH, side="right")) - 1)
+        for lo in range(int(off[i]), int(off[j]), STRETCH) if j == i + 1 else [int(off[i])]:
+            hi = min(lo + STRETCH + least - 1, int(off[j])) if j == i + 1 else int(off[j])
+            own = np.array([0, hi - lo]) if j == i + 1 else off[i : j + 1] - lo
+            part = np.zeros(hi - lo + 8, np.uint8)
+            part[: hi - lo] = buf[lo:hi]
+            d, h, *places = anchors(part, own, least, k)
+            shift = lo - off[i] if j == i + 1 else 0
+            found.append((d + i, h, *(x + shift for x in places)))
+        i = j
+    if not found:
+        return (np.zeros(0, np.int64), np.zeros(0, U64), *(np.zeros(0, np.int64),) * 3)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 # -- suffix arrays ---------------------------------------------------------------------------------------------------
 
 
@@ -273,6 +300,64 @@ def repeated_windows(data: np.ndarray, off: np.ndarray, weight: np.ndarray, leas
     return out & valid
 
 
+def groups_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of equal keys."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], len(key))
+
+
+def repeated_in_groups(data: np.ndarray, at: np.ndarray, size: np.ndarray, weight: np.ndarray, key: np.ndarray, least: int, level: int = 0, chunk: int = CHUNK) -> np.ndarray:
+    """For contexts data[at : at + size] in the order of their keys: which of their bytes, one context after another,
+    start a window that places under one key have at least twice. Groups of up to two chunks are sorted as they are."""
+    off = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(int(off[-1]), bool)
+    first, end = groups_of(key)
+    last_level = level == len(FINER)  # keys are those of whole windows: a group's contexts are equal
+    todo, held = [], 0
+
+    def bytes_of(members: np.ndarray) -> np.ndarray:
+        return np.concatenate([data[X.ranges(at[members], size[members])], np.zeros(16, np.uint8)])
+
+    def solve(members: np.ndarray) -> None:
+        own = np.concatenate([[0], np.cumsum(size[members])])
+        out[X.ranges(off[members], size[members])] = repeated_windows(bytes_of(members), own, weight[members], least)
+
+    def everything(members: np.ndarray) -> None:
+        out[X.ranges(off[members], size[members] - least + 1)] = True
+
+    def refine(members: np.ndarray) -> None:
+        own = np.concatenate([[0], np.cumsum(size[members])])
+        part = bytes_of(members)
+        d, h, _, begin, final = anchors_of(part, own, least, int(FINER[level] * least))
+        order = np.argsort(h, kind="stable")
+        lo, hi = groups_of(h[order])
+        order = order[np.repeat((hi - lo > 1) | (weight[members][d[order[lo]]] > 1), hi - lo)]
+        inner, length = own[d[order]] + begin[order], (final - begin)[order] + least
+        hit = repeated_in_groups(part, inner, length, weight[members][d[order]], h[order], least, level + 1, chunk)
+        out[int(off[members[0]]) + X.ranges(inner, length)[hit]] = True
+
+    alone = np.flatnonzero(end - first == 1)
+    everything(first[alone][weight[first[alone]] >= 2])
+    for g in np.flatnonzero(end - first > 1).tolist():
+        members = np.arange(first[g], end[g])
+        total = int(off[end[g]] - off[first[g]])
+        if last_level:
+            everything(members)
+        elif total > 2 * chunk:
+            refine(members)
+        else:
+            todo.append(members)
+            held += total
+            if held >= chunk:
+                solve(np.concatenate(todo))
+                todo, held = [], 0
+    if todo:
+        solve(np.concatenate(todo))
+    return out
+
+
 # -- Spark steps -----------------------------------------------------------------------------------------------------
 
 
@@ -280,8 +365,22 @@ def _parts(key: np.ndarray, parts: int) -> np.ndarray:
     return (((key >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
 
 
+def _rows(columns: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(columns.values())], names=list(columns))
+
+
+ANCHOR_ROWS = {"part": pa.int32(), "known": pa.bool_(), "hashes": pa.binary(), "classes": pa.binary(), "places": pa.binary()}
+CONTEXT_ROWS = {"part": pa.int32(), "known": pa.bool_(), "keys": pa.binary(), "names": pa.binary(), "sizes": pa.binary(), "data": pa.binary(), "classes": pa.binary(), "begins": pa.binary()}
+#: Entries that a row of settled places has at most.
+SETTLED = 50_000
+
+
 def _find_anchors(least: int, k: int, parts: int):
-    """(cls, text) -> (part, hashes, classes, places), packed; a place holds where its windows begin and end too."""
+    """(cls, text) -> packed anchors: for each part of the hashes those that the task has once, and a mark (place -1) for
+    those that it has several times; and the latter themselves, known to repeat, dealt out evenly.
+
+    A place holds where its windows begin and end too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, np.zeros(0, np.int64)
@@ -290,11 +389,15 @@ def _find_anchors(least: int, k: int, parts: int):
             h, c, p = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(h)
             h, c, p = h[order], c[order], p[order]
+            first, end = groups_of(h)
+            several = end - first > 1
+            known = np.repeat(several, end - first)
+            rows = [(int(_parts(X.mix64(x[1][:1].view(U64)), parts)[0]), True, *(y.tobytes() for y in x)) for i in range(0, int(known.sum()), SETTLED) for x in [tuple(y[known][i : i + SETTLED] for y in (h, c, p))]]
+            c[first[several]], p[first[several]] = 0, -1
+            h, c, p = h[first], c[first], p[first]
             part = _parts(h, parts)
-            lo = np.flatnonzero(np.diff(part, prepend=-1))
-            hi = np.append(lo[1:], len(h))
-            rows = [[x[a:b].tobytes() for a, b in zip(lo, hi, strict=True)] for x in (h, c, p)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[lo].astype(np.int32)), *(pa.array(x, pa.binary()) for x in rows)], names=["part", "hashes", "classes", "places"])
+            rows += [(int(part[a]), False, *(x[a:b].tobytes() for x in (h, c, p))) for a, b in zip(*groups_of(part), strict=True)]
+            yield _rows(ANCHOR_ROWS, rows)
 
         for piece in X.pieces(batches, "text", 2 << 20):
             cls = piece.column("cls").to_numpy()
@@ -305,7 +408,7 @@ def _find_anchors(least: int, k: int, parts: int):
             if not len(first):
                 continue
             buf, off = X.text_buffer(piece.column("text").take(pa.array(first)))
-            d, h, place, lo, hi = anchors(buf, off, least, k)
+            d, h, place, lo, hi = anchors_of(buf, off, least, k)
             held.append((h, cls[first][d], (place << 16) | ((place - lo) << 8) | (place - hi)))
             total += len(h)
             if total >= 1_000_000:
@@ -320,66 +423,70 @@ def _find_anchors(least: int, k: int, parts: int):
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed anchors of a part -> (cls, place, hash) of those whose hash two places have."""
     h, c, p = [], [], []
+    name = ["cls", "place", "hash"]
     for b in batches:
-        for i, out, kind in ((1, h, U64), (2, c, np.int64), (3, p, np.int64)):
-            out += [np.frombuffer(x.as_buffer(), kind) for x in b.column(i)]
+        known = b.column("known").to_pylist()
+        for r in range(len(b)):
+            x, y, z = (np.frombuffer(b.column(i)[r].as_buffer(), kind) for i, kind in ((2, U64), (3, np.int64), (4, np.int64)))
+            if known[r]:
+                yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(z), pa.array(x.view(np.int64))], names=name)
+            else:
+                for out, a in ((h, x), (c, y), (p, z)):
+                    out.append(a)
     if not h:
         return
     h, c, p = np.concatenate(h), np.concatenate(c), np.concatenate(p)
     order = np.argsort(h, kind="stable")
-    h = h[order]
-    # the same place of a class may come from several tasks: it is one place
-    same = np.zeros(len(h), bool)
-    equal = h[1:] == h[:-1]
-    same[1:] |= equal
-    same[:-1] |= equal
-    h, order = h[same], order[same]
-    c, p = c[order], p[order]
+    first, end = groups_of(h[order])
+    order = order[np.repeat(end - first > 1, end - first)]
+    h, c, p = h[order], c[order], p[order]
     order = np.lexsort((p, c, h))
     h, c, p = h[order], c[order], p[order]
+    fresh = np.ones(len(h), bool)  # the same place of a class may come from several tasks: it is one place
+    fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1])
+    mark = p < 0
+    first, end = groups_of(h)
     if not len(h):
         return
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1])
-    h, c, p = h[fresh], c[fresh], p[fresh]
-    same = np.zeros(len(h), bool)
-    equal = h[1:] == h[:-1]
-    same[1:] |= equal
-    same[:-1] |= equal
-    h, c, p = h[same], c[same], p[same]
+    twice = (np.add.reduceat((fresh & ~mark).astype(np.int64), first) + 2 * np.logical_or.reduceat(mark, first)) > 1
+    keep = fresh & ~mark & np.repeat(twice, end - first)
+    h, c, p = h[keep], c[keep], p[keep]
     for i in range(0, len(h), 100_000):
         s = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(c[s]), pa.array(p[s]), pa.array(h[s].view(np.int64))], names=["cls", "place", "hash"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[s]), pa.array(p[s]), pa.array(h[s].view(np.int64))], names=name)
 
 
 def _contexts(least: int, parts: int):
-    """(cls, many, text, found) -> packed contexts by shard: distinct ones, and the places that have them."""
+    """(cls, many, text, found) -> packed contexts: for each part of the anchors the distinct ones with their place, begin
+    -1 for those that the task has several times; and the places of the latter, known to repeat, dealt out evenly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            base = np.cumsum([0, *(len(x[0]) - 8 for x in held)])
-            data = np.concatenate([*(x[0][:-8] for x in held), np.zeros(8, np.uint8)])
+            base = np.cumsum([0, *(len(x[0]) for x in held)])
+            data = np.concatenate([*(x[0] for x in held), np.zeros(8, np.uint8)])
             key, cls, begin, size = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3, 4))
             at = np.concatenate([x[5] + b for x, b in zip(held, base, strict=False)])
             name = X.span_hashes(data, at, at + size)
-            order = np.lexsort((name, key))
+            order = np.lexsort((size, name, key))
             key, cls, begin, size, at, name = (x[order] for x in (key, cls, begin, size, at, name))
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (size[1:] != size[:-1])
-            nth = np.cumsum(new) - 1
             first = np.flatnonzero(new)
-            part = _parts(key, parts)
-            lo = np.flatnonzero(np.diff(part, prepend=-1))
-            hi = np.append(lo[1:], len(key))
-            rows = [[] for _ in range(7)]
-            for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
-                u = first[nth[a] : nth[b - 1] + 1]
-                values = (key[u], name[u], size[u].astype(np.int32), data[X.ranges(at[u], size[u])], (nth[a:b] - nth[a]).astype(np.int32), cls[a:b], begin[a:b])
-                for out, x in zip(rows, values, strict=True):
-                    out.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(part[lo].astype(np.int32)), *(pa.array(x, pa.binary()) for x in rows)], names=["part", "keys", "names", "sizes", "data", "owners", "classes", "begins"])
+            count = np.diff(np.append(first, len(key)))
+            several = (count > 1) | (begin[first] < 0)
+            settled = np.flatnonzero(np.repeat(several, count) & (begin >= 0))
+            rows = []
+            for i in range(0, len(settled), SETTLED):
+                u = settled[i : i + SETTLED]
+                rows.append((int(_parts(X.mix64(cls[u[:1]].view(U64)), parts)[0]), True, None, None, size[u].astype(np.int32).tobytes(), None, cls[u].tobytes(), begin[u].tobytes()))
+            begin = np.where(several, -1, begin[first])
+            key, name, size, at, cls = (x[first] for x in (key, name, size, at, cls))
+            for a, b in zip(*groups_of(_parts(key, parts)), strict=True):
+                values = (key[a:b], name[a:b], size[a:b].astype(np.int32), data[X.ranges(at[a:b], size[a:b])], cls[a:b], begin[a:b])
+                rows.append((int(_parts(key[a : a + 1], parts)[0]), False, *(x.tobytes() for x in values)))
+            yield _rows(CONTEXT_ROWS, rows)
 
         for piece in X.pieces(batches, "text", 2 << 20):
             cls, many = piece.column("cls").to_numpy(), piece.column("many").to_numpy(zero_copy_only=False)
@@ -393,21 +500,19 @@ def _contexts(least: int, parts: int):
                 if int(cls[i]) in seen:
                     count[i] = 0
                 seen.add(int(cls[i]))
-            pick = X.ranges(lists[:-1], count)
-            if not len(pick):
-                continue
-            doc = np.repeat(np.arange(len(cls)), count)
-            place, key = place[pick], key[pick]
-            lo = (place >> 16) - ((place >> 8) & 255)
-            size = ((place >> 8) & 255) - (place & 255) + least
-            src = off[doc] + lo
-            data = np.concatenate([buf[X.ranges(src, size)], np.zeros(8, np.uint8)])
-            # a class with copies is removed as a whole: its place counts, but needs no span
-            held.append((data, key, cls[doc], np.where(many[doc], -1, lo), size, np.cumsum(size) - size))
-            total += len(data)
-            if total >= FLUSH:
-                yield from flush()
-                held, total = [], 0
+            every = X.ranges(lists[:-1], count)
+            owner = np.repeat(np.arange(len(cls)), count)
+            most = 4 * FLUSH // (3 * least)  # contexts of a long text go out in several portions
+            for i in range(0, len(every), most):
+                pick, doc = every[i : i + most], owner[i : i + most]
+                lo = (place[pick] >> 16) - ((place[pick] >> 8) & 255)
+                size = ((place[pick] >> 8) & 255) - (place[pick] & 255) + least
+                # a class with copies is removed as a whole: its place counts, but needs no span
+                held.append((buf[X.ranges(off[doc] + lo, size)], key[pick], cls[doc], np.where(many[doc], -1, lo), size, np.cumsum(size) - size))
+                total += int(size.sum())
+                if total >= FLUSH:
+                    yield from flush()
+                    held, total = [], 0
         if total:
             yield from flush()
 
@@ -418,88 +523,46 @@ def _shard(least: int):
     """Packed contexts of a shard -> (cls, begin, end) of matched spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (U64, U64, np.int32, np.uint8, np.int32, np.int64, np.int64)
-        cols: list[list[np.ndarray]] = [[] for _ in kinds]
-        contexts = 0
+        kinds = {"keys": U64, "names": U64, "sizes": np.int32, "data": np.uint8, "classes": np.int64, "begins": np.int64}
+        cols: dict[str, list[np.ndarray]] = {x: [] for x in kinds}
+        spans = lambda c, b, e: pa.RecordBatch.from_arrays([pa.array(c), pa.array(b), pa.array(e)], names=["cls", "begin", "end"])
         for b in batches:
+            known = b.column("known").to_pylist()
             for r in range(len(b)):
-                for i, kind in enumerate(kinds):
-                    x = np.frombuffer(b.column(i + 1)[r].as_buffer(), kind)
-                    cols[i].append(x + np.int32(contexts) if i == 4 else x)
-                contexts += len(cols[0][-1])
-        if not contexts:
+                got = {x: np.frombuffer(b.column(x)[r].as_buffer(), kind) for x, kind in kinds.items() if not known[r] or x in ("sizes", "classes", "begins")}
+                if known[r]:
+                    yield spans(got["classes"], got["begins"], got["begins"] + got["sizes"])
+                else:
+                    for x in kinds:
+                        cols[x].append(got[x])
+        if not cols["keys"]:
             return
-        key, name, size, data, owner, cls, begin = (np.concatenate(x) for x in cols)
-        del cols
+        key, name, size, data, cls, begin = (np.concatenate(cols.pop(x)) for x in kinds)
         size = size.astype(np.int64)
         at = np.cumsum(size) - size
         order = np.lexsort((size, name, key))
-        new = np.ones(len(order), bool)
         k, m, s = key[order], name[order], size[order]
+        new = np.ones(len(order), bool)
         new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1]) | (s[1:] != s[:-1])
-        distinct = np.empty(len(order), np.int64)
-        distinct[order] = np.cumsum(new) - 1
-        first = order[new]
-        key, size, at = key[first], size[first], at[first]
-        owner = distinct[owner]
-        weight = np.minimum(np.bincount(owner, np.where(begin < 0, 2, 1), len(first)), 2).astype(np.int64)
-        by_owner = np.argsort(owner, kind="stable")
-        owner_at = np.searchsorted(owner[by_owner], np.arange(len(first) + 1))
-        group = np.flatnonzero(np.diff(key.view(np.int64), prepend=~key[:1].view(np.int64)))
-        group_end = np.append(group[1:], len(key))
-
-        def spans(which: np.ndarray, rel_begin: np.ndarray, rel_end: np.ndarray) -> pa.RecordBatch:
-            """For spans in contexts `which`, one row for each place that has the context."""
-            times = owner_at[which + 1] - owner_at[which]
-            refs = by_owner[X.ranges(owner_at[which], times)]
-            b, e = np.repeat(rel_begin, times), np.repeat(rel_end, times)
-            ok = begin[refs] >= 0
-            refs, b, e = refs[ok], b[ok], e[ok]
-            return pa.RecordBatch.from_arrays([pa.array(cls[refs]), pa.array(begin[refs] + b), pa.array(begin[refs] + e)], names=["cls", "begin", "end"])
-
-        alone = np.repeat(group_end - group == 1, group_end - group)
-        whole = np.flatnonzero(alone & (weight >= 2))
-        yield spans(whole, np.zeros(len(whole), np.int64), size[whole])
-        total = np.add.reduceat(size, group)
-
-        def solve(members: np.ndarray) -> np.ndarray:
-            off = np.concatenate([[0], np.cumsum(size[members])])
-            chunk = np.concatenate([data[X.ranges(at[members], size[members])], np.zeros(16, np.uint8)])
-            return repeated_windows(chunk, off, weight[members], least)
-
-        def matched(members: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
-            off = np.concatenate([[0], np.cumsum(size[members])])
-            where = np.flatnonzero(hit)
-            c = np.searchsorted(off, where, side="right") - 1
-            new = np.ones(len(where), bool)
-            new[1:] = (np.diff(where) > least) | (c[1:] != c[:-1])
-            last = np.append(new[1:], True)[: len(where)]
-            rel = where - off[c]
-            return spans(members[c[new]], rel[new], rel[last] + least)
-
-        todo, held = [], 0
-        for g in np.flatnonzero(group_end - group > 1).tolist():
-            members = np.arange(group[g], group_end[g])
-            if total[g] > 2 * CHUNK:  # a hot anchor: every two blocks of its contexts meet in one array
-                blocks = np.array_split(members, int(-(-total[g] // CHUNK)))
-                hits = [np.zeros(int(size[b].sum()), bool) for b in blocks]
-                for i in range(len(blocks)):
-                    for j in range(i + 1, len(blocks)):
-                        both = solve(np.concatenate([blocks[i], blocks[j]]))
-                        hits[i] |= both[: len(hits[i])]
-                        hits[j] |= both[len(hits[i]) :]
-                for b, hit in zip(blocks, hits, strict=True):
-                    yield matched(b, hit)
-                continue
-            todo.append(members)
-            held += int(total[g])
-            if held >= CHUNK:
-                together = np.concatenate(todo)
-                yield matched(together, solve(together))
-                todo, held = [], 0
-        if todo:
-            together = np.concatenate(todo)
-            yield matched(together, solve(together))
+        first = np.flatnonzero(new)
+        bound = np.append(first, len(order))  # the entries of each distinct context, in `order`
+        weight = np.minimum(np.add.reduceat(np.where(begin[order] < 0, 2, 1), first), 2)
+        key, size, at = k[first], s[first], at[order[first]]
+        del k, m, s, name
+        hit = np.flatnonzero(repeated_in_groups(data, at, size, weight, key, least))
+        if not len(hit):
+            return
+        off = np.concatenate([[0], np.cumsum(size)])
+        c = np.searchsorted(off, hit, side="right") - 1
+        new = np.ones(len(hit), bool)
+        new[1:] = (np.diff(hit) > least) | (c[1:] != c[:-1])
+        last = np.append(new[1:], True)
+        which, b, e = c[new], (hit - off[c])[new], (hit - off[c])[last] + least
+        times = np.diff(bound)[which]
+        refs = order[X.ranges(bound[which], times)]
+        b, e, ok = np.repeat(b, times), np.repeat(e, times), begin[refs] >= 0
+        refs = refs[ok]
+        yield spans(cls[refs], begin[refs] + b[ok], begin[refs] + e[ok])
 
     return run
 
@@ -537,38 +600,41 @@ def _cut_out(keep_text: bool, as_text: bool):
                 rows[5] = [x.decode("utf-8", errors="ignore") for x in rows[5]]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.string() if as_text else pa.binary())
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: 6 if keep_text else 4]
-            extra = [x for x in piece.schema.names if x not in ("text", "whole", "found")]
-            yield pa.RecordBatch.from_arrays([*(piece.column(x) for x in extra), *(pa.array(x, k) for x, k in list(zip(rows, kinds, strict=True))[: len(names)])], names=[*extra, *names])
+            extra = [x for x in piece.schema.names if x == "carried"]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(x, k) for x, k in list(zip(rows, kinds, strict=True))[: len(names)]), *(piece.column(x) for x in extra)], names=["doc_id", *names, *extra])
 
     return run
 
 
 def suffix_dedup(docs: DataFrame, least: int = 200, keep: bool = True, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]) for every row of docs (doc_id, text).
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept, carried]) for every row of docs (doc_id, text).
 
     A byte is removed if a string of `least` bytes covers it that also starts at another place: in another row or in
     the same one, overlaps included, judged on the texts as given. spans are the removed byte ranges, kept the rest
-    (bytes, as a cut may part a character; with as_text a string without such parts). Null counts as empty; rows with null doc_id take part; rows given twice are
-    copies of each other; further columns
-    are ignored, but those that `carry` names (not text) are returned.
+    (bytes, as a cut may part a character; with as_text a string without such parts). Null counts as empty; rows with
+    null doc_id take part; rows given twice are copies of each other; further columns are ignored, but those that
+    `carry` names come back in a struct (see shared.restored). Equal texts are found by a 64-bit hash; different texts
+    that share one, which a second hash tells, are left as they are.
     """
     spark = docs.sparkSession
-    parts = width(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry).withColumn("cls", F.xxhash64("text"))
-    per_class = cut(source.where(F.octet_length("text") >= least).groupBy("cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")))
-    packed = source.where(F.octet_length("text") >= least).select("cls", "text").mapInArrow(_find_anchors(least, ANCHOR, parts), "part int, hashes binary, classes binary, places binary")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carried(carry)).withColumn("cls", F.xxhash64("text"))
+    long = source.where(F.octet_length("text") >= least)
+    second = F.xxhash64(F.lit(1), "text")
+    per_class = long.groupBy("cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.max(F.octet_length("text")).alias("size"), F.min(second).alias("a"), F.max(second).alias("b"))
+    per_class = cut(per_class.where("a = b").drop("a", "b"))
+    parts = width(spark, per_class.agg(F.sum("size")).first()[0] or 0, 256 << 20)
+    packed = long.select("cls", "text").mapInArrow(_find_anchors(least, ANCHOR, parts), "part int, known boolean, hashes binary, classes binary, places binary")
     repeated = packed.repartition(parts, "part").mapInArrow(_repeated, "cls long, place long, hash long")
-    found = repeated.groupBy("cls").agg(F.collect_list(F.struct("place", "hash")).alias("found"))
+    found = repeated.groupBy("cls").agg(F.collect_set(F.struct("place", "hash")).alias("found"))
     found = cut(found.join(per_class, "cls").select("cls", "rep", (F.col("n") > 1).alias("many"), "found"))
     here = source.alias("s").join(found.alias("f").hint("shuffle_hash"), (F.col("s.cls") == F.col("f.cls")) & F.col("s.doc_id").eqNullSafe(F.col("f.rep")))
-    contexts = here.select("f.cls", "f.many", "s.text", "f.found").mapInArrow(_contexts(least, parts), "part int, keys binary, names binary, sizes binary, data binary, owners binary, classes binary, begins binary")
+    contexts = here.select("f.cls", "f.many", "s.text", "f.found").mapInArrow(_contexts(least, parts), "part int, known boolean, keys binary, names binary, sizes binary, data binary, classes binary, begins binary")
     matched = contexts.repartition(parts, "part").mapInArrow(_shard(least), "cls long, begin long, end long")
     spans = matched.groupBy("cls").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
     single = per_class.where("n = 1").join(spans, "cls").select("cls", F.col("rep").alias("doc_id"), F.lit(False).alias("whole"), "found")
     spans_type = "array<struct<begin: bigint, end: bigint>>"
     copies = source.select("doc_id", "cls").join(per_class.where("n > 1").select("cls"), "cls").distinct().select("cls", "doc_id", F.lit(True).alias("whole"), F.lit(None).cast(spans_type).alias("found"))
     decided = cut(single.unionByName(copies))
-    passed = [F.col(f"s.{c}") for c in carry]
-    joined = source.alias("s").join(decided.alias("d").hint("shuffle_hash"), (F.col("s.cls") == F.col("d.cls")) & F.col("s.doc_id").eqNullSafe(F.col("d.doc_id")), "left").select("s.doc_id", "s.text", F.coalesce("d.whole", F.lit(False)).alias("whole"), "d.found", *passed)
-    schema = "doc_id long" + fields(docs, carry) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", spans array<struct<begin: long, end: long>>, kept {'string' if as_text else 'binary'}" * keep
-    return joined.mapInArrow(_cut_out(keep, as_text), schema)
+    joined = source.alias("s").join(decided.alias("d").hint("shuffle_hash"), (F.col("s.cls") == F.col("d.cls")) & F.col("s.doc_id").eqNullSafe(F.col("d.doc_id")), "left").select("s.doc_id", "s.text", F.coalesce("d.whole", F.lit(False)).alias("whole"), "d.found", *[F.col("s.carried")] * bool(carry))
+    own = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", spans array<struct<begin: long, end: long>>, kept {'string' if as_text else 'binary'}" * keep
+    return joined.mapInArrow(_cut_out(keep, as_text), schema(own, docs, carry))
