@@ -10,21 +10,32 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe_codec import bpe_codec
 from loomgraph.llm.fm_decontaminate import fm_decontaminate
 from loomgraph.llm.language_id import language_id
 from loomgraph.llm.ngram_jaccard_join import ngram_jaccard_join
-from loomgraph.llm.shared import checkpoint_dir
+from loomgraph.llm.shared import checkpoint_dir, quoted, restored
 from loomgraph.llm.suffix_dedup import suffix_dedup
 
 
+def _others(docs: DataFrame, *but: str) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c not in but)
+
+
+def _as_given(found: DataFrame, docs: DataFrame, carry: tuple[str, ...], **own: Column) -> DataFrame:
+    """The columns of docs again: those carried, and `own` ones."""
+    columns = restored(carry) | own
+    return found.select(*(columns[c].alias(c) for c in docs.columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters, and those whose words fit no learnt language (score under 0.3)."""
-    found = language_id(docs, spans=False, carry=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.where("lang_pred != 'und' and score >= 0.3").select(docs.columns)
+    carry = _others(docs, "text")
+    found = language_id(docs, spans=False, carry=carry, with_text=True).where("lang_pred != 'und' and score >= 0.3")
+    return _as_given(found, docs, carry, text=F.col("text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,28 +45,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     row of its group has an id, and different texts under one doc_id stay both. Rows are told apart by a 64-bit hash of
     all columns.
     """
-    row = F.xxhash64(*docs.columns, *(F.isnull(c) for c in docs.columns))  # the flags, as nulls alone leave a hash unchanged
-    keyed = docs.withColumn("row", row)
+    given = docs.select(F.struct(*(quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("carried"), quoted("doc_id").alias("doc_id"), quoted("text").alias("text"))
+    fields = [F.col(f"carried.c{i}") for i in range(len(docs.columns))]
+    keyed = given.withColumn("row", F.xxhash64(*fields, *(F.isnull(c) for c in fields)))  # the flags, as nulls alone leave a hash unchanged
     found = ngram_jaccard_join(keyed.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id", F.lit(None).cast("long").alias("id"))
     ids = keyed.select("row", F.lit(None).cast("long").alias("component_id"), F.col("doc_id").cast("long").alias("id"))
     rows = found.unionByName(ids).groupBy("row").agg(F.max("component_id").alias("component_id"), F.max("id").alias("id"))
     best = rows.groupBy("component_id").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row")).alias("best")).select(F.col("best.row").alias("row"))
-    return keyed.dropDuplicates(["row"]).join(best.hint("shuffle_hash"), "row", "left_semi").select(docs.columns)
+    kept = keyed.dropDuplicates(["row"]).join(best.hint("shuffle_hash"), "row", "left_semi")
+    return kept.select(*(F.col(f"carried.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts byte strings of 200 that also start elsewhere; a document of which nothing is left goes."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    kept = suffix_dedup(docs, carry=rest, as_text=True)
-    left = kept.where("n_removed = 0 or n_removed < n_bytes").withColumnRenamed("kept", "text")
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    carry = _others(docs, "text")
+    kept = suffix_dedup(docs, carry=carry, as_text=True).where("n_removed = 0 or n_removed < n_bytes")
+    return _as_given(kept, docs, carry, text=F.col("kept"), n_chars=F.length("kept").cast("long"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that benchmark phrases cover by a twentieth or more, and cuts phrases out of the others."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = fm_decontaminate(docs, benchmark, carry=tuple(c for c in docs.columns if c != "doc_id"), cut=True)
-    return found.where("not contaminated").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    carry = _others(docs, "text")
+    found = fm_decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=carry, cut=True).where("not contaminated")
+    return _as_given(found, docs, carry, text=F.col("kept"), n_chars=F.length("kept").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,12 +87,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage wrote is deleted once the next one has read it."""
     checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"pipeline-{uuid.uuid4().hex}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        path = f"{folder.toString()}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(before), True)
+        before = path
     return docs
 
 
