@@ -4,7 +4,7 @@ Learning counts, for each label, whole words and their first and last three byte
 scores each language with its log posterior: of the whole word if it was seen often enough, else of its two ends.
 Languages in which the word's script does not occur are no candidates for it. Viterbi finds the cheapest labelling of a document's words,
 where each change of language costs `penalty`; runs of one label are spans of that language. The document's language is
-the one with most letter bytes.
+the one with most letters.
 
 Only text and label of learning rows are used, at most about `most_rows` of them (a share drawn by hash of doc_id).
 """
@@ -223,7 +223,8 @@ def _predict(model, penalty: float, with_spans: bool, extra: tuple[str, ...]):
                 else:
                     label = viterbi(scores, at, penalty)
                 doc = np.repeat(np.arange(docs), words)
-                mass = np.bincount(doc * k + label.astype(np.int64), ends - starts, docs * k).reshape(docs, k)
+                letter = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80, dtype=np.int32)])  # characters, not bytes
+                mass = np.bincount(doc * k + label.astype(np.int64), letter[ends] - letter[starts], docs * k).reshape(docs, k)
                 best = mass.argmax(1)
                 share = mass[np.arange(docs), best] / np.maximum(mass.sum(1), 1)
                 sums = np.stack([np.bincount(doc, scores[:, j], docs) for j in range(k)], 1) / np.maximum(words / 20, 1)[:, None]
