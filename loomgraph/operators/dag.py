@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..session import cut
+from ..session import SMALL, at_most, cut, laid_out
 from .graph import bfs
 
 
@@ -22,56 +26,148 @@ def reachability(edges: DataFrame, nodes: DataFrame, max_depth: int) -> DataFram
     return bfs(edges, first, max_depth, keys=("root",)).select("root", "id").distinct()
 
 
-def scc(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def _tarjan(batches):
+    """All of some edges (src, dst) -> (id, scc), by depth-first search without recursion."""
+    nxt: dict = {}
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            nxt.setdefault(u, []).append(v)
+            nxt.setdefault(v, [])
+    order, low, on, stack, root = {}, {}, set(), [], {}
+    for start in nxt:
+        if start in order:
+            continue
+        order[start] = low[start] = len(order)
+        stack.append(start)
+        on.add(start)
+        work = [(start, iter(nxt[start]))]
+        while work:
+            u, rest = work[-1]
+            v = next(rest, None)
+            if v is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[u])
+                if low[u] == order[u]:
+                    members = []
+                    while not members or members[-1] != u:
+                        members.append(stack.pop())
+                        on.discard(members[-1])
+                    root |= dict.fromkeys(members, min(members))
+            elif v not in order:
+                order[v] = low[v] = len(order)
+                stack.append(v)
+                on.add(v)
+                work.append((v, iter(nxt[v])))
+            elif v in on:
+                low[u] = min(low[u], order[v])
+    if root:
+        yield pa.RecordBatch.from_arrays([pa.array(list(root), b.schema.field(0).type), pa.array(list(root.values()), b.schema.field(0).type)], names=["id", "scc"])
+
+
+def _ids(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges between given nodes, and the nodes."""
+    ids = cut(nodes.select("id").where("id is not null").distinct())
+    pairs = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    return cut(pairs.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")), ids
+
+
+def scc(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataFrame:
     """(id, scc, size, is_cycle): components named by their smallest node; a single node is a cycle if it has a loop.
 
-    Forward-backward colouring: every open node takes the smallest node that reaches it as its colour; the nodes of a
-    colour that reach its root are a component and leave. The table shrinks each round and nothing is collected.
+    Nodes without an edge in, or none out, are trimmed in rounds: they are components of their own. Then colouring: every
+    node takes the smallest node that reaches it as its colour (colours jump, which halves the way), the nodes of a
+    colour that reach its root are a component and leave, and edges between colours go. As soon as at most `small` edges
+    are left, one task does the rest by depth-first search. Rounds end when no edge is left, whatever their number.
     """
-    pairs = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    open_nodes = cut(nodes.select("id").distinct())
-    parts = []
-    for _ in range(max_rounds):
-        if open_nodes.isEmpty():
-            break
-        colour = cut(open_nodes.select("id", F.col("id").alias("colour")))
-        live = cut(pairs.join(open_nodes, pairs["src"] == open_nodes["id"], "left_semi").join(open_nodes, pairs["dst"] == open_nodes["id"], "left_semi"))
+    pairs, ids = _ids(edges, nodes)
+    live, parts = pairs.where("src != dst"), []
+    trimming = True
+    while not at_most(live, small):
+        if trimming:
+            kept = cut(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            before, live = live.count(), kept
+            trimming = live.count() < 0.99 * before
+            continue
+        by_src = laid_out(live, "src")
+        colour = cut(live.select(F.col("src").alias("id")).union(live.select("dst")).distinct().withColumn("colour", F.col("id")))
         while True:
-            low = live.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("seen"))
-            new = cut(colour.join(low, "id", "left").select("id", F.least("colour", F.coalesce("seen", "colour")).alias("colour"), (F.col("seen") < F.col("colour")).alias("moved")))
+            low = by_src.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("seen"))
+            new = cut(colour.join(low, "id", "left").select("id", F.least("colour", F.coalesce("seen", "colour")).alias("new"), "colour"))
+            jump = new.select(F.col("id").alias("new"), F.col("new").alias("further"))
+            new = cut(new.join(jump, "new").select("id", "further", (F.col("further") < F.col("colour")).alias("moved")))
             done = new.where("moved").isEmpty()
-            colour = new.select("id", "colour")
+            colour = new.select("id", F.col("further").alias("colour"))
             if done:
                 break
-        back = live.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst").where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        found = bfs(back, colour.where("id = colour").select("id"), max_rounds).select("id")
+        own = live.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst").where("cs = cd")
+        own = cut(own.select("src", "dst"))
+        found = bfs(own, colour.where("id = colour").select("id"), own.count(), "in").select("id")
         found = cut(colour.join(found, "id").select("id", F.col("colour").alias("scc")))
         parts.append(found)
-        open_nodes = cut(open_nodes.join(found, "id", "left_anti"))
-    members = parts[0]
-    for p in parts[1:]:
-        members = members.unionByName(p)
+        live = cut(own.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        trimming = True
+    kind = StructType([StructField("id", ids.schema["id"].dataType), StructField("scc", ids.schema["id"].dataType)])
+    members = reduce(DataFrame.unionByName, parts, live.repartition(1).mapInArrow(_tarjan, kind))
+    members = cut(ids.join(members, "id", "left").select("id", F.coalesce("scc", "id").alias("scc")))
     sizes = members.groupBy("scc").agg(F.count("*").alias("size"))
     loops = pairs.where("src = dst").select(F.col("src").alias("id"), F.lit(True).alias("loop"))
     out = members.join(sizes, "scc").join(loops, "id", "left")
     return out.select("id", "scc", F.col("size").cast("long").alias("size"), (F.coalesce("loop", F.lit(False)) | (F.col("size") > 1)).alias("is_cycle"))
 
 
-def topological_waves(edges: DataFrame, nodes: DataFrame, max_waves: int = 10_000) -> DataFrame:
-    """(id, wave): Kahn's waves over src-before-dst edges; nodes on a cycle, or behind one, have a null wave."""
-    pairs = cut(edges.select("src", "dst").distinct().join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi"))
-    left = cut(nodes.select("id").distinct())
-    out = None
-    for wave in range(max_waves):
-        ready = cut(left.join(pairs.select(F.col("dst").alias("id")), "id", "left_anti"))
+def _kahn(first: int):
+    """All edges between some nodes -> (id, wave) of these nodes, from wave `first` on; null for those on or behind a cycle."""
+
+    def run(batches):
+        nxt, open_ = {}, {}
+        kind = None
+        for b in batches:
+            kind = b.schema.field(0).type
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                nxt.setdefault(u, []).append(v)
+                open_[v] = open_.get(v, 0) + 1
+                open_.setdefault(u, 0)
+        wave = dict.fromkeys(open_)
+        ready, at = [u for u, n in open_.items() if not n], first
+        while ready:
+            after = []
+            for u in ready:
+                wave[u] = at
+                for v in nxt.get(u, ()):
+                    open_[v] -= 1
+                    if not open_[v]:
+                        after.append(v)
+            ready, at = after, at + 1
+        if wave:
+            yield pa.RecordBatch.from_arrays([pa.array(list(wave), kind), pa.array(list(wave.values()), pa.int32())], names=["id", "wave"])
+
+    return run
+
+
+def topological_waves(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataFrame:
+    """(id, wave): Kahn's waves over src-before-dst edges; nodes on a cycle, or behind one, have a null wave.
+
+    Each node has its number of open predecessors; a wave subtracts the edges of its own nodes alone, and the edge table
+    stays as it is. As soon as at most `small` edges are open, one task does the rest. Ends when no node is ready.
+    """
+    pairs, ids = _ids(edges, nodes)
+    by_src = laid_out(pairs, "src")
+    indegree = pairs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("open"))
+    state, out, wave = cut(ids.join(indegree, "id", "left").na.fill(0, ["open"])), [], 0
+    while (state.agg(F.sum("open")).first()[0] or 0) > small:
+        ready = cut(state.where("open = 0").select("id"))
         if ready.isEmpty():
-            break
-        named = ready.withColumn("wave", F.lit(wave))
-        out = named if out is None else out.unionByName(named)
-        left = cut(left.join(ready, "id", "left_anti"))
-        pairs = cut(pairs.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
-    stuck = left.withColumn("wave", F.lit(None).cast("int"))
-    return stuck if out is None else out.unionByName(stuck)
+            return reduce(DataFrame.unionByName, out, state.select("id", F.lit(None).cast("int").alias("wave")))
+        out.append(ready.withColumn("wave", F.lit(wave)))
+        less = by_src.join(ready.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("less"))
+        state = cut(state.where("open > 0").join(less, "id", "left").select("id", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open")))
+        wave += 1
+    rest = by_src.join(state.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst")
+    kind = StructType([StructField("id", ids.schema["id"].dataType), StructField("wave", IntegerType())])
+    solved = cut(rest.repartition(1).mapInArrow(_kahn(wave), kind))
+    alone = state.join(solved, "id", "left_anti").select("id", F.lit(wave).alias("wave"))
+    return reduce(DataFrame.unionByName, out, solved.unionByName(alone))
 
 
 def condensed_waves(edges: DataFrame, nodes: DataFrame) -> DataFrame:

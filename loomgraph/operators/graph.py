@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, laid_out
 
 DIRECTIONS = {"out": "out", "downstream": "out", "in": "in", "upstream": "in", "both": "both", "all": "both"}
 
@@ -40,8 +40,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "ou
     keys name columns that separate traversals, such as the seed itself; without keys all seeds share one traversal.
     """
     steps = oriented(edges, direction, rel_types)
-    if max_depth > 1:  # computed once, two columns wide, for all levels
-        steps = cut(steps)
+    if max_depth > 1:  # computed and dealt out by src once, two columns wide, for all levels
+        steps = laid_out(steps, "src")
     by = [*keys, "id"]
     frontier = cut(seeds.select(*by).where("id is not null").distinct())
     levels = [frontier.withColumn("depth", F.lit(0))]
@@ -65,24 +65,30 @@ def subgraph_edges(edges: DataFrame, nodes: DataFrame, max_depth: int, direction
     return by_src if way == "out" else by_dst if way == "in" else by_src.unionByName(by_dst).distinct()
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 8, direction: str = "out", rel_types: list[str] | None = None) -> DataFrame:
-    """(source, target, path, length): a shortest path for each pair, of equals the smallest array of ids.
+def smallest_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 8, direction: str = "out", rel_types: list[str] | None = None) -> DataFrame:
+    """(source, id, path): a shortest path from each source (source) to each node within max_depth, itself included; of
+    equals the smallest array of ids. One search for all sources.
 
     A node keeps only its smallest path, so a level has at most one row for each source and node.
     """
-    steps = cut(oriented(edges, direction, rel_types).distinct())
-    pairs = pairs.select("source", "target").where("source != target").distinct()
-    frontier = cut(pairs.select("source").distinct().select("source", F.col("source").alias("id"), F.array("source").alias("path")))
-    visited, found = frontier, [frontier]
+    steps = laid_out(oriented(edges, direction, rel_types).distinct(), "src")
+    frontier = cut(sources.select("source").where("source is not null").distinct().select("source", F.col("source").alias("id"), F.array("source").alias("path")))
+    visited, found = frontier.select("source", "id"), [frontier]
     for _ in range(max_depth):
         grown = frontier.join(steps, frontier["id"] == steps["src"]).select("source", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         grown = grown.groupBy("source", "id").agg(F.min("path").alias("path"))
-        frontier = cut(grown.join(visited.select("source", "id"), ["source", "id"], "left_anti"))
+        frontier = cut(grown.join(visited, ["source", "id"], "left_anti"))
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier)
+        visited = visited.unionByName(frontier.select("source", "id"))
         found.append(frontier)
-    reached = reduce(DataFrame.unionByName, found).withColumnRenamed("id", "target")
+    return reduce(DataFrame.unionByName, found)
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 8, direction: str = "out", rel_types: list[str] | None = None) -> DataFrame:
+    """(source, target, path, length): a shortest path for each pair, of equals the smallest array of ids."""
+    pairs = pairs.select("source", "target").where("source != target").distinct()
+    reached = smallest_paths(edges, pairs, max_depth, direction, rel_types).withColumnRenamed("id", "target")
     return pairs.join(reached, ["source", "target"]).withColumn("length", F.size("path") - 1)
 
 
@@ -91,8 +97,20 @@ def paths_between(edges: DataFrame, pairs: DataFrame, max_depth: int = 8, limit:
     found = cut(shortest_paths(edges, pairs, max_depth))
     if found.isEmpty():
         found = shortest_paths(edges, pairs, max_depth, "both")
-    found = found.orderBy("length", "source", "target")
-    return found.limit(limit) if limit else found
+    return found.orderBy("length", "source", "target").limit(limit) if limit else found
+
+
+def paths_between_sets(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 8, limit: int | None = None, rel_types: list[str] | None = None) -> DataFrame:
+    """As paths_between, from all sources (id) to all targets (id): no pair is formed before a path joins it."""
+    def search(direction: str) -> DataFrame:
+        reached = smallest_paths(edges, sources.select(F.col("id").alias("source")), max_depth, direction, rel_types)
+        hits = reached.join(targets.select("id").distinct(), "id", "left_semi").where("source != id")
+        return cut(hits.select("source", F.col("id").alias("target"), "path", (F.size("path") - 1).alias("length")))
+
+    found = search("out")
+    if found.isEmpty():
+        found = search("both")
+    return found.orderBy("length", "source", "target").limit(limit) if limit else found
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, max_hops: int, ends: DataFrame | None = None, value: str = "confidence") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import domain_tokens, name_tokens, path_match, path_variables, segments, strings, token_jaccard, STOP_TOKENS
+from ..functions.text import domain_tokens, name_tokens, path_match, path_variables, segments, strings, token_jaccard, STOP_TOKENS, VERB_GROUPS
 
 
 def _fixed(path: str) -> Column:
@@ -53,3 +53,13 @@ def best_matches(calls: DataFrame, endpoints: DataFrame, least: float = 0.5) ->
     scored = score_pairs(candidates(calls, endpoints).join(c, "call").join(e, "endpoint")).where(F.col("confidence") >= least)
     w = Window.partitionBy("call").orderBy(F.desc("confidence"), "endpoint")
     return scored.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("call", "endpoint", "confidence", "tier")
+
+
+def similar_names(functions: DataFrame) -> DataFrame:
+    """(a, b, similarity): pairs of distinct names (name) that share a token besides verbs, joined through their tokens."""
+    n = functions.select("name").where("name is not null").distinct().withColumn("t", name_tokens(F.col("name")))
+    verbs = strings(sorted({w for words in VERB_GROUPS.values() for w in words} | set(STOP_TOKENS)))
+    w = n.select("name", F.explode(F.array_except("t", verbs)).alias("word"))
+    pairs = w.withColumnRenamed("name", "a").join(w.withColumnRenamed("name", "b"), "word").where("a < b").select("a", "b").distinct()
+    x, y = n.select(F.col("name").alias("a"), F.col("t").alias("ta")), n.select(F.col("name").alias("b"), F.col("t").alias("tb"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", token_jaccard(F.col("ta"), F.col("tb")).alias("similarity"))

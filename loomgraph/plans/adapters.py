@@ -41,10 +41,19 @@ class Tables:
         pairs = lines.select(F.col("p_brand").alias("src"), F.lead("p_brand").over(w).alias("dst")).where("dst is not null")
         return pairs.groupBy("src", "dst").agg(F.count("*").alias("calls"))
 
-    def modules(self) -> DataFrame:
-        """(src, dst, calls): the two strongest module calls of each module."""
-        w = Window.partitionBy("src").orderBy(F.desc("calls"), "dst")
-        return self.module_calls().withColumn("nth", F.row_number().over(w)).where("nth <= 2").drop("nth")
+    def calls(self) -> DataFrame:
+        """(src, dst): functions that follow each other in a workflow, as calls; repeated calls stay."""
+        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+        part = F.concat(F.lit("p:"), F.col("l_partkey").cast("string"))
+        return self.lineitem.select(part.alias("src"), F.lead(part).over(w).alias("dst")).where("dst is not null")
+
+    def needs(self) -> DataFrame:
+        """(src, dst): orders need their parts, a part needs the first order that had it. Grows with the orders; a part
+        and its first order are a cycle, and later orders hang on earlier ones."""
+        ident = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
+        lines = self.lineitem
+        first = lines.groupBy("l_partkey").agg(F.min("l_orderkey").alias("o")).select(ident("p:", F.col("l_partkey")).alias("src"), ident("o:", F.col("o")).alias("dst"))
+        return lines.select(ident("o:", F.col("l_orderkey")).alias("src"), ident("p:", F.col("l_partkey")).alias("dst")).distinct().unionByName(first)
 
     def nav(self) -> DataFrame:
         """(src, dst, n, confidence): event types that follow each other for a user."""
@@ -83,8 +92,8 @@ class Tables:
         return self.conversations.select("conv_id", "turn", F.col("role").alias("sender"), F.coalesce(F.lead("role").over(w), F.lit("")).alias("receiver"), "text")
 
     def passages(self) -> DataFrame:
-        """(id, text, score, mentions): documents with the capitalised words of their first line as mentions."""
-        words = F.filter(F.split(F.split("text", "\n")[0], "[ ,.]+"), lambda w: w.rlike("^[A-Z][a-z]{2,}$"))
+        """(id, text, score, mentions): documents with their capitalised words as mentions."""
+        words = F.filter(F.split("text", "[ ,.\n]+"), lambda w: w.rlike("^[A-Z][a-z]{2,}$"))
         kind = lambda w: F.when(F.length(w) % 2 == 0, "PERSON").otherwise("PLACE")
         mentions = F.transform(words, lambda w, i: F.struct(F.lower(w).alias("id"), w.alias("name"), kind(w).alias("type"), F.round(1.0 / (i + 2), 4).alias("confidence"), i.alias("pos")))
         return self.documents.select(F.col("doc_id").alias("id"), "text", ((F.col("doc_id") % 97) / 97.0).alias("score"), mentions.alias("mentions"), "source")
@@ -98,7 +107,8 @@ SQL = {
     "geo": """geo AS (SELECT 'r:' || n_regionkey AS src, 'n:' || n_nationkey AS dst, 'CONTAINS' AS rel_type FROM nation
   UNION ALL SELECT 'n:' || c_nationkey, 'c:' || c_custkey, 'CONTAINS' FROM customer UNION ALL SELECT 'n:' || s_nationkey, 's:' || s_suppkey, 'CONTAINS' FROM supplier)""",
     "module_calls": """module_calls AS (SELECT src, dst, count(*) AS calls FROM (SELECT p_brand AS src, lead(p_brand) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE dst IS NOT NULL GROUP BY 1, 2)""",
-    "modules": """modules AS (SELECT src, dst, calls FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY calls DESC, dst) AS nth FROM module_calls) WHERE nth <= 2)""",
+    "calls": """calls AS (SELECT src, dst FROM (SELECT 'p:' || l_partkey AS src, 'p:' || lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)""",
+    "needs": """needs AS (SELECT DISTINCT 'o:' || l_orderkey AS src, 'p:' || l_partkey AS dst FROM lineitem UNION ALL SELECT 'p:' || l_partkey, 'o:' || min(l_orderkey) FROM lineitem GROUP BY l_partkey)""",
     "nav": """nav AS (SELECT src, dst, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY src), 4) AS confidence FROM (SELECT src, dst, count(*) AS n FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2))""",
     "steps": """steps AS (SELECT 'w:' || l_orderkey AS workflow, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS step, 'p:' || l_partkey AS function FROM lineitem)""",
     "workflows": """workflows AS (SELECT 'w:' || o_orderkey AS workflow, CASE left(o_orderpriority, 1) WHEN '1' THEN 'payment' WHEN '2' THEN 'auth' WHEN '3' THEN 'order' ELSE 'other' END AS domain FROM orders)""",
@@ -107,7 +117,7 @@ SQL = {
     "points": """points AS (SELECT vec_id AS id, embedding AS vector, 'c' || label AS collection FROM embeddings)""",
     "urls": """urls AS (SELECT page_id AS id, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]+|[?#].*$', '', 'g'), '/+$', ''), '/[0-9]+', '/:id', 'g') AS url FROM pages)""",
     "messages": """messages AS (SELECT conv_id, turn, role AS sender, coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS receiver, text FROM conversations)""",
-    "passages": """passages AS (SELECT doc_id AS id, text, (doc_id % 97)::DOUBLE / 97 AS score, source, list_filter(string_split_regex(string_split(text, chr(10))[1], '[ ,.]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{2,}')) AS words FROM documents)""",
+    "passages": r"""passages AS (SELECT doc_id AS id, text, (doc_id % 97)::DOUBLE / 97 AS score, source, list_filter(string_split_regex(text, '[ ,.\n]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{2,}')) AS words FROM documents)""",
 }
 
 

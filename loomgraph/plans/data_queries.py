@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import infer
 from ..functions import text as X
 from ..operators import code, messages, score, search, sheets
 from ..sources import files, sinks
@@ -286,10 +287,12 @@ def incremental_sync(t: Tables) -> DataFrame:
     return sinks.upsert(old, sync.not_seen(batch, old.where("false")), ["id"])
 
 
-@query("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))) AS keywords FROM documents WHERE length(text) < 1500")
+_STOP = ["the", "and", "for", "with", "that", "this"]
+
+
+@query(f"SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_-]+', ' ', 'g')), ' +'), lambda w: length(w) >= 3 AND NOT list_contains({_STOP}, w)))) AS keywords FROM documents")
 def keywords(t: Tables) -> DataFrame:
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0))))
-    return t.documents.where(F.length("text") < 1500).select("doc_id", words.alias("keywords"))
+    return t.documents.select("doc_id", F.array_sort(infer.query_keywords(F.col("text"), _STOP)).alias("keywords"))
 
 
 @query("SELECT page_id, contains(url, '/en/') OR contains(url, '/de/') AS external FROM pages")

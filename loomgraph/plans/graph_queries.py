@@ -47,23 +47,34 @@ def trace_flow_types(t: Tables) -> DataFrame:
     return graph.bfs(t.trade(), _seed(t, "o:3"), 6, rel_types=["CALLS", "CALLS_FUNCTION_POINTER"])
 
 
-_ALL_PATHS = """, e AS (SELECT DISTINCT src, dst FROM modules), walk AS (SELECT src AS source, dst AS target, [src, dst] AS path, 1 AS length FROM e WHERE src <> dst
-  UNION ALL SELECT source, dst, list_append(path, dst), length + 1 FROM walk JOIN e ON e.src = target WHERE length < 8 AND NOT list_contains(path, dst))"""
+_BETWEEN = """, e AS (SELECT DISTINCT src, dst FROM calls), walk AS (SELECT src AS source, dst AS target, [src, dst] AS path, 1 AS length FROM e JOIN functions ON id = src WHERE module = 'Brand#1' AND src <> dst
+  UNION ALL SELECT source, dst, list_append(path, dst), length + 1 FROM walk JOIN e ON e.src = target WHERE length < 2 AND NOT list_contains(path, dst)),
+  best AS (SELECT source, target, arg_min(path, (length, path)) AS path, min(length)::INT AS length FROM walk WHERE target IN (SELECT id FROM functions WHERE module = 'Brand#2') GROUP BY source, target)"""
 
 
-@query(with_views(_ALL_PATHS + " SELECT source, target, array_to_string(arg_min(path, (length, path)), '>') AS path, min(length) AS length FROM walk GROUP BY source, target", "module_calls", "modules", recursive=True))
+def _between(t: Tables) -> DataFrame:
+    f = t.functions()
+    return graph.paths_between_sets(t.calls(), f.where("module = 'Brand#1'").select("id"), f.where("module = 'Brand#2'").select("id"), 2)
+
+
+@query(with_views(_BETWEEN + " SELECT source, target, array_to_string(path, '>') AS path, length FROM best", "functions", "calls", recursive=True))
 def module_paths(t: Tables) -> DataFrame:
-    edges = t.modules()
-    n = edges.select("src").distinct()
-    pairs = n.select(F.col("src").alias("source")).join(n.select(F.col("src").alias("target")), F.col("source") != F.col("target"))
-    return graph.shortest_paths(edges, pairs).select("source", "target", F.array_join("path", ">").alias("path"), "length")
+    return _between(t).select("source", "target", F.array_join("path", ">").alias("path"), "length")
 
 
-@query(with_views(_ALL_PATHS + " SELECT source, target, array_to_string(arg_min(path, (length, path)), '>') AS path, min(length) AS length FROM walk WHERE source = 'Brand#1' GROUP BY source, target", "module_calls", "modules", recursive=True))
+@query(with_views(_BETWEEN + " SELECT source, target, array_to_string(path, '>') AS path, length FROM best ORDER BY length, source, target LIMIT 20", "functions", "calls", recursive=True))
+def trace_between_modules(t: Tables) -> DataFrame:
+    """The 20 shortest, as the tool's limit has it."""
+    f = t.functions()
+    side = lambda token: f.where(F.contains(F.col("file"), F.lit(token))).select("id")
+    found = graph.paths_between_sets(t.calls(), side("Brand#1/"), side("Brand#2/"), 2, 20)
+    return found.select("source", "target", F.array_join("path", ">").alias("path"), "length")
+
+
+@query(with_views(", e AS (SELECT DISTINCT src, dst FROM trade), two AS (SELECT b.dst AS target, min([a.src, a.dst, b.dst]) AS path FROM e a JOIN e b ON b.src = a.dst WHERE a.src = 'o:1' GROUP BY 1) SELECT 'o:1' AS source, target, array_to_string(path, '>') AS path, 2 AS length FROM two", "trade"))
 def shortest_path(t: Tables) -> DataFrame:
-    edges = t.modules()
-    pairs = edges.select(F.lit("Brand#1").alias("source"), F.col("src").alias("target")).distinct()
-    return graph.shortest_paths(edges, pairs).select("source", "target", F.array_join("path", ">").alias("path"), "length")
+    pairs = t.supplier.select(F.lit("o:1").alias("source"), F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("target"))
+    return graph.shortest_paths(t.trade(), pairs).select("source", "target", F.array_join("path", ">").alias("path"), "length")
 
 
 @query(with_views(_WALK.format(seed="p:1", to="dst", frm="src", edges=_BOTH, d=2) + " SELECT id, min(depth) AS depth, round(1 - 0.2 * min(depth), 1)::DOUBLE AS proximity FROM walk GROUP BY id", "trade", recursive=True))
@@ -72,30 +83,34 @@ def proximity_hops(t: Tables) -> DataFrame:
     return near.withColumn("proximity", graph.hop_proximity(F.col("depth")))
 
 
-_CLOSURE = """, e AS (SELECT DISTINCT src, dst FROM modules), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), reach(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM reach JOIN e ON e.src = b),
- comp AS (SELECT n.id, least(n.id, coalesce(min(r.b), n.id)) AS scc FROM n LEFT JOIN reach r ON r.a = n.id AND EXISTS (SELECT 1 FROM reach q WHERE q.a = r.b AND q.b = n.id) GROUP BY n.id)"""
+_CLOSURE = """, e AS (SELECT DISTINCT src, dst FROM needs), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), reach(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM reach JOIN e ON e.src = b),
+ comp AS (SELECT n.id, least(n.id, coalesce(m.low, n.id)) AS scc FROM n LEFT JOIN (SELECT r.a, min(r.b) AS low FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a GROUP BY r.a) m ON m.a = n.id)"""
+
 
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
 
-@query(with_views(_CLOSURE + " SELECT id, scc, count(*) OVER (PARTITION BY scc) AS size, (count(*) OVER (PARTITION BY scc) > 1 OR id IN (SELECT src FROM e WHERE src = dst)) AS is_cycle FROM comp", "module_calls", "modules", recursive=True))
+
+@query(with_views(_CLOSURE + " SELECT id, scc, count(*) OVER (PARTITION BY scc) AS size, (count(*) OVER (PARTITION BY scc) > 1 OR id IN (SELECT src FROM e WHERE src = dst)) AS is_cycle FROM comp", "needs", recursive=True))
 def scc_components(t: Tables) -> DataFrame:
-    edges = t.modules()
-    return dag.scc(edges, edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))))
+    edges = t.needs()
+    return dag.scc(edges, _ends(edges))
 
 
 @query(with_views(_CLOSURE + """, ce AS (SELECT DISTINCT x.scc AS src, y.scc AS dst FROM e JOIN comp x ON x.id = e.src JOIN comp y ON y.id = e.dst WHERE x.scc <> y.scc),
  lv(id, wave) AS (SELECT DISTINCT scc, 0 FROM comp UNION SELECT ce.dst, wave + 1 FROM lv JOIN ce ON ce.src = lv.id)
- SELECT comp.id, comp.scc, max(wave)::INT AS wave FROM comp JOIN lv ON lv.id = comp.scc GROUP BY comp.id, comp.scc""", "module_calls", "modules", recursive=True))
+ SELECT comp.id, comp.scc, max(wave)::INT AS wave FROM comp JOIN lv ON lv.id = comp.scc GROUP BY comp.id, comp.scc""", "needs", recursive=True))
 def condensed_waves(t: Tables) -> DataFrame:
-    edges = t.modules()
-    return dag.condensed_waves(edges, edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))))
+    edges = t.needs()
+    return dag.condensed_waves(edges, _ends(edges))
 
 
-@query(with_views(_CLOSURE + """, cyc AS (SELECT DISTINCT a AS id FROM reach WHERE a = b), stuck AS (SELECT id FROM cyc UNION SELECT b FROM reach JOIN cyc ON a = cyc.id),
+@query(with_views(""", e AS (SELECT DISTINCT src, dst FROM needs), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), cyc AS (SELECT a.src AS id FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src), stuck(id) AS (SELECT id FROM cyc UNION SELECT e.dst FROM stuck JOIN e ON e.src = stuck.id),
  lv(id, wave) AS (SELECT id, 0 FROM n WHERE id NOT IN (SELECT id FROM stuck) UNION SELECT e.dst, wave + 1 FROM lv JOIN e ON e.src = lv.id WHERE e.dst NOT IN (SELECT id FROM stuck))
- SELECT n.id, max(wave)::INT AS wave FROM n LEFT JOIN lv ON lv.id = n.id GROUP BY n.id""", "module_calls", "modules", recursive=True))
+ SELECT n.id, max(wave)::INT AS wave FROM n LEFT JOIN lv ON lv.id = n.id GROUP BY n.id""", "needs", recursive=True))
 def topo_unresolved(t: Tables) -> DataFrame:
-    edges = t.modules()
-    return dag.topological_waves(edges, edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))))
+    edges = t.needs()
+    return dag.topological_waves(edges, _ends(edges))
 
 
 @query(with_views(", lv(id, wave) AS (SELECT DISTINCT src, 0 FROM geo WHERE src LIKE 'r:%' UNION SELECT dst, wave + 1 FROM lv JOIN geo ON geo.src = lv.id) SELECT id, max(wave)::INT AS wave FROM lv GROUP BY id", "geo", recursive=True))
@@ -105,23 +120,18 @@ def topo_waves(t: Tables) -> DataFrame:
     return dag.topological_waves(edges, edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))))
 
 
-_FCALLS = """, fcalls AS (SELECT src, dst FROM (SELECT 'p:' || l_partkey AS src, 'p:' || lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)"""
-
-
-def _function_calls(t: Tables) -> DataFrame:
-    a, b = t.steps(), t.steps().withColumn("step", F.col("step") - 1).withColumnRenamed("function", "dst")
-    return a.withColumnRenamed("function", "src").join(b, ["workflow", "step"]).select("src", "dst")
+_FCALLS = """, fcalls AS (SELECT src, dst FROM calls)"""
 
 
-@query(with_views(_FCALLS + " SELECT a.module AS src, b.module AS dst, count(*) AS calls FROM fcalls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE a.module <> b.module GROUP BY 1, 2", "functions"))
+@query(with_views(_FCALLS + " SELECT a.module AS src, b.module AS dst, count(*) AS calls FROM fcalls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE a.module <> b.module GROUP BY 1, 2", "functions", "calls"))
 def module_plan_counts(t: Tables) -> DataFrame:
-    return dag.module_dependencies(_function_calls(t), t.functions())
+    return dag.module_dependencies(t.calls(), t.functions())
 
 
-@query(with_views(_FCALLS + " SELECT a.file AS src, b.file AS dst, count(*) AS calls FROM fcalls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE a.module IN ('Brand#1', 'Brand#2') AND a.module = b.module AND a.file <> b.file GROUP BY 1, 2", "functions"))
+@query(with_views(_FCALLS + " SELECT a.file AS src, b.file AS dst, count(*) AS calls FROM fcalls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE a.module IN ('Brand#1', 'Brand#2') AND a.module = b.module AND a.file <> b.file GROUP BY 1, 2", "functions", "calls"))
 def file_plan_counts(t: Tables) -> DataFrame:
     f = t.functions().withColumn("token", dag.first_module("module", ["Brand#1", "Brand#2"])).where("token = module").select("id", F.col("file").alias("module"), F.col("module").alias("own"))
-    counts = dag.module_dependencies(_function_calls(t), f)
+    counts = dag.module_dependencies(t.calls(), f)
     inside = F.element_at(F.split("src", "/"), 2) == F.element_at(F.split("dst", "/"), 2)
     return counts.where(inside)
 
@@ -165,12 +175,12 @@ def execution_flows(t: Tables) -> DataFrame:
     return code.execution_flows(t.trade(), _seed(t, "o:1", "o:2", "o:3"))
 
 
-@query(with_views(_FCALLS + " SELECT DISTINCT b.id, b.name, b.file FROM fcalls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE contains(b.file, 'Brand#1/') AND NOT contains(a.file, 'Brand#1/') AND b.kind IS DISTINCT FROM 'lambda'", "functions"))
+@query(with_views(_FCALLS + " SELECT DISTINCT b.id, b.name, b.file FROM fcalls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE contains(b.file, 'Brand#1/') AND NOT contains(a.file, 'Brand#1/') AND b.kind IS DISTINCT FROM 'lambda'", "functions", "calls"))
 def entrypoints(t: Tables) -> DataFrame:
     f = t.functions()
     inside = f.where(F.col("file").contains("Brand#1/") & ~F.col("kind").eqNullSafe("lambda")).select("id", "name", "file")
     outside = f.where(~F.exists(F.array(F.lit("Brand#1/")), lambda m: F.contains(F.col("file"), m))).select(F.col("id").alias("src"))
-    calls = _function_calls(t).join(outside, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+    calls = t.calls().join(outside, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
     return inside.join(calls, "id", "left_semi")
 
 
@@ -195,13 +205,13 @@ def dispatch_candidates(t: Tables) -> DataFrame:
     return out.join(n.select(F.col("n_nationkey").alias("src"), F.concat(F.lit("r:"), F.col("n_regionkey").cast("string")).alias("base")), "src").select(F.col("src").alias("id"), "base", F.col("dst").alias("peer"))
 
 
-_RESOLVE = """, calls AS (SELECT l_orderkey * 10 + l_linenumber AS call, f.name, f.module AS own FROM lineitem JOIN functions f ON f.id = 'p:' || l_partkey WHERE l_linenumber = 1),
+_RESOLVE = """, calls AS (SELECT l_orderkey * 10 + l_linenumber AS call, f.name, f.module AS own FROM lineitem JOIN functions f ON f.id = 'p:' || l_partkey ),
  cand AS (SELECT call, own, f.id, f.module FROM calls JOIN functions f USING (name)), one AS (SELECT call, count(*) AS n, min(id) AS any_id, count(*) FILTER (own = module) AS ns, min(id) FILTER (own = module) AS s FROM cand GROUP BY call)"""
 
 
 def _calls(t: Tables) -> DataFrame:
     f = t.functions().select("id", "name", "module")
-    lines = t.lineitem.where("l_linenumber = 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call"), F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("id"))
+    lines = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call"), F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("id"))
     return lines.join(f, "id").select("call", "name", F.lit(0).alias("arity"), F.col("module").alias("scope"), F.lit(None).cast("string").alias("field_type"), F.col("id").alias("caller"))
 
 
@@ -245,9 +255,9 @@ def nav_attribution(t: Tables) -> DataFrame:
     return code.navigation(targets, t.geo(), screens)
 
 
-@query(with_views(", p AS (SELECT workflow AS path_id, step AS place, function AS id, file FROM steps LEFT JOIN functions ON functions.id = function WHERE workflow IN ('w:1', 'w:2', 'w:3')) SELECT path_id, place, id, CASE WHEN place = 0 THEN 'entry' WHEN file = lag(file) OVER w THEN 'sequential' ELSE 'cross_file' END AS relation, 1.0::DOUBLE AS confidence FROM p WINDOW w AS (PARTITION BY path_id ORDER BY place)", "steps", "functions"))
+@query(with_views(", p AS (SELECT workflow AS path_id, step AS place, function AS id, file FROM steps LEFT JOIN functions ON functions.id = function) SELECT path_id, place, id, CASE WHEN place = 0 THEN 'entry' WHEN file = lag(file) OVER w THEN 'sequential' ELSE 'cross_file' END AS relation, 1.0::DOUBLE AS confidence FROM p WINDOW w AS (PARTITION BY path_id ORDER BY place)", "steps", "functions"))
 def reconstructed_flow(t: Tables) -> DataFrame:
-    paths = t.steps().where("workflow in ('w:1', 'w:2', 'w:3')").groupBy(F.col("workflow").alias("path_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "function"))), lambda s: s["function"]).alias("nodes"))
+    paths = t.steps().groupBy(F.col("workflow").alias("path_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "function"))), lambda s: s["function"]).alias("nodes"))
     return code.reconstructed_flow(paths, t.functions().select("id", "file"))
 
 
@@ -268,7 +278,7 @@ _MODCALLS = ", modcalls AS (SELECT DISTINCT src, dst FROM (SELECT function AS sr
 
 def _impacts(t: Tables) -> DataFrame:
     changed = t.functions().where(f"id in ({_CHANGED})").select("id")
-    return impact.workflow_impact(t.steps(), t.workflows(), _function_calls(t), changed, 1)
+    return impact.workflow_impact(t.steps(), t.workflows(), t.calls(), changed, 1)
 
 
 @query(with_views(_MODCALLS + _IMPACT + " SELECT changed, workflow, step, depth, domain, severity FROM sev", "steps", "workflows"))
@@ -289,14 +299,15 @@ def shared_step_pairs(t: Tables) -> DataFrame:
 
 @query(with_views("""SELECT c.community, c.size, coalesce(i.n, 0) AS internal, coalesce(x.n, 0) AS external, round(coalesce(i.n, 0)::DOUBLE / (c.size * (c.size - 1)), 6) AS cohesion, round(coalesce(x.n, 0)::DOUBLE / (coalesce(i.n, 0) + coalesce(x.n, 0)), 6) AS coupling
  FROM (SELECT module AS community, count(*) AS size FROM functions GROUP BY 1) c LEFT JOIN (SELECT a.module AS m, count(*) AS n FROM fc JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE a.module = b.module GROUP BY 1) i ON i.m = c.community
- LEFT JOIN (SELECT m, count(*) AS n FROM (SELECT unnest([a.module, b.module]) AS m FROM fc JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE a.module <> b.module) GROUP BY 1) x ON x.m = c.community""".join([_FCALLS.replace("fcalls", "fc") + " ", ""]), "functions"))
+ LEFT JOIN (SELECT m, count(*) AS n FROM (SELECT unnest([a.module, b.module]) AS m FROM fc JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE a.module <> b.module) GROUP BY 1) x ON x.m = c.community""".join([_FCALLS.replace("fcalls", "fc") + " ", ""]), "functions", "calls"))
 def cohesion_coupling(t: Tables) -> DataFrame:
-    return impact.cohesion(_function_calls(t), t.functions().select("id", F.col("module").alias("community")))
+    return impact.cohesion(t.calls(), t.functions().select("id", F.col("module").alias("community")))
 
 
 @query()
 def communities(t: Tables) -> DataFrame:
-    return impact.communities(t.module_calls().withColumnRenamed("calls", "weight"))
+    """Louvain over all calls between functions; tests hold it against brute force on small graphs."""
+    return impact.communities(t.calls())
 
 
 @query(with_views(", e AS (SELECT src, dst FROM module_calls WHERE src <> dst), d AS (SELECT c, count(*) AS d FROM (SELECT left(src, 7) AS c FROM e UNION ALL SELECT left(dst, 7) FROM e) GROUP BY c) SELECT round((SELECT count(*) FILTER (left(src, 7) = left(dst, 7)) FROM e)::DOUBLE / (SELECT count(*) FROM e) - sum(d * d)::DOUBLE / (4 * (SELECT count(*) FROM e)::DOUBLE * (SELECT count(*) FROM e)), 6) AS modularity, count(*) AS communities FROM d", "module_calls"))
@@ -306,12 +317,19 @@ def modularity(t: Tables) -> DataFrame:
     return impact.modularity(edges, members)
 
 
-@query(with_views(_FCALLS + ", ch AS (SELECT DISTINCT file FROM functions WHERE id IN ('p:1', 'p:2')) SELECT DISTINCT a.file FROM fcalls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE b.file IN (SELECT file FROM ch) AND a.file NOT IN (SELECT file FROM ch)", "functions"))
+_USES = "SELECT 'p:' || l_partkey AS dst, 'p:' || min(p) AS src FROM (SELECT l_suppkey, l_partkey, min(l_partkey) OVER (PARTITION BY l_suppkey) AS p FROM lineitem) GROUP BY l_suppkey, l_partkey"
+
+
+@query(with_views(f", ch AS (SELECT DISTINCT file FROM functions WHERE id IN ('p:1', 'p:2')), ids AS (SELECT id FROM functions WHERE file IN (SELECT file FROM ch)), deps AS (SELECT DISTINCT 'src/' || src || '/small.py' AS src, 'src/' || dst || '/economy.py' AS dst FROM module_calls), uses AS ({_USES}), hit AS (SELECT src AS file FROM deps WHERE dst IN (SELECT file FROM ch) UNION SELECT a.file FROM calls JOIN functions a ON a.id = src WHERE dst IN (SELECT id FROM ids) UNION SELECT a.file FROM uses JOIN functions a ON a.id = src WHERE dst IN (SELECT id FROM ids)) SELECT file FROM hit WHERE file NOT IN (SELECT file FROM ch)", "functions", "calls", "module_calls"))
 def impacted_files(t: Tables) -> DataFrame:
-    f, calls = t.functions(), _function_calls(t)
+    f = t.functions()
     changed = f.where("id in ('p:1', 'p:2')").select("file").distinct()
-    none = calls.limit(0)
-    return code.impacted_files(changed, none, calls, none, f)
+    path = lambda c, kind: F.concat(F.lit("src/"), F.col(c), F.lit(f"/{kind}.py")).alias(c)
+    deps = t.module_calls().select(path("src", "small"), path("dst", "economy")).distinct()
+    ident = lambda c: F.concat(F.lit("p:"), F.col(c).cast("string"))
+    first = t.lineitem.groupBy("l_suppkey").agg(F.min("l_partkey").alias("p"))
+    uses = t.lineitem.join(first, "l_suppkey").select(ident("p").alias("src"), ident("l_partkey").alias("dst")).distinct()
+    return code.impacted_files(changed, deps, t.calls(), uses, f)
 
 
 @query(with_views("SELECT DISTINCT a.workflow, b.function AS endpoint, w.domain FROM steps a JOIN steps b USING (workflow) JOIN workflows w USING (workflow) WHERE a.step = 0 AND b.step = 1 AND w.domain IN ('payment', 'order')", "steps", "workflows"))
@@ -335,12 +353,12 @@ def api_chain(t: Tables) -> DataFrame:
     return chain.select("o_orderkey", F.col("c_name").alias("caller"), F.col("p_name").alias("handler"), F.col("s_name").alias("store"))
 
 
-@query(with_views(_FCALLS + " SELECT a.module AS m1, b.module AS m2, count(*) AS n FROM fcalls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE contains(a.file, 'Brand#1') AND contains(b.file, 'Brand#2') GROUP BY 1, 2", "functions"))
+@query(with_views(_FCALLS + " SELECT a.module AS m1, b.module AS m2, count(*) AS n FROM fcalls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE contains(a.file, 'Brand#1') AND contains(b.file, 'Brand#2') GROUP BY 1, 2", "functions", "calls"))
 def module_pair_join(t: Tables) -> DataFrame:
     f = t.functions().select("id", "module", "file")
     a = f.where(F.col("file").contains("Brand#1")).select(F.col("id").alias("src"), F.col("module").alias("m1"))
     b = f.where(F.col("file").contains("Brand#2")).select(F.col("id").alias("dst"), F.col("module").alias("m2"))
-    return _function_calls(t).join(a, "src").join(b, "dst").groupBy("m1", "m2").agg(F.count("*").alias("n"))
+    return t.calls().join(a, "src").join(b, "dst").groupBy("m1", "m2").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'n:' || n_nationkey AS id, 1 AS depth FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 's:' || s_suppkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0 UNION ALL SELECT 'c:' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0")
@@ -348,9 +366,6 @@ def class_hierarchy(t: Tables) -> DataFrame:
     return graph.bfs(t.geo(), _seed(t, "r:0"), 5).where("depth > 0")
 
 
-@query(with_views(_ALL_PATHS + ", best AS (SELECT arg_min(path, (length, path)) AS path FROM walk GROUP BY source, target), step AS (SELECT unnest(list_zip(path[:-2], path[2:])) AS s FROM best) SELECT DISTINCT s[1] AS src, s[2] AS dst FROM step", "module_calls", "modules", recursive=True))
+@query(with_views(_BETWEEN + ", step AS (SELECT unnest(list_zip(path[:-2], path[2:])) AS s FROM best) SELECT DISTINCT s[1] AS src, s[2] AS dst FROM step", "functions", "calls", recursive=True))
 def paths_to_subgraph(t: Tables) -> DataFrame:
-    edges = t.modules()
-    n = edges.select("src").distinct()
-    pairs = n.select(F.col("src").alias("source")).join(n.select(F.col("src").alias("target")), F.col("source") != F.col("target"))
-    return graph.flatten_paths(graph.shortest_paths(edges, pairs))[1]
+    return graph.flatten_paths(_between(t))[1]

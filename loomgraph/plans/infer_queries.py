@@ -92,10 +92,12 @@ def label_candidates(t: Tables) -> DataFrame:
     return infer.label_candidates(t.part.select(F.col("p_name").alias("text")))
 
 
-@query("SELECT page_id, list_filter([CASE WHEN contains(u, 'api') OR contains(u, 'rest') OR contains(u, 'http') OR contains(u, 'rpc') OR contains(u, 'route') THEN 'api' END], lambda x: x IS NOT NULL) AS domains FROM (SELECT page_id, lower(url) AS u FROM pages)")
+_DOMAINS = ", ".join(f"CASE WHEN regexp_matches(u, '{'|'.join(infer.DOMAINS[d])}') THEN '{d}' END" for d in sorted(infer.DOMAINS))
+
+
+@query(f"SELECT doc_id, list_filter([{_DOMAINS}], lambda x: x IS NOT NULL) AS domains FROM (SELECT doc_id, lower(coalesce(text, '')) AS u FROM documents)")
 def domain_signals(t: Tables) -> DataFrame:
-    found = infer.domain_signals(F.col("url"))
-    return t.pages.select("page_id", F.filter(found, lambda d: d == "api").alias("domains"))
+    return t.documents.select("doc_id", infer.domain_signals(F.col("text")).alias("domains"))
 
 
 _CODE = "CASE p_partkey % 4 WHEN 0 THEN '<Card x/> <Fragment>' WHEN 1 THEN 'navigation.push(\"Home\")' WHEN 2 THEN 'setOpen(true); setTimeout(f, 1)' ELSE 'if (x) load(1)' END"

@@ -128,9 +128,9 @@ def entity_gate(t: Tables) -> DataFrame:
     return docs.expandable(rows, 0.5, 3)
 
 
-@query(with_views(_MENTIONS + " SELECT type || '::' || lower(name) AS key, type, arg_min(name, (-len(name), rowid)) AS name, max(confidence) AS confidence, count(*) AS n FROM (SELECT *, id * 10000 + pos AS rowid FROM m) GROUP BY type, lower(name)", "passages"))
+@query(with_views(_MENTIONS + " SELECT type || '::' || lower(name) AS key, type, arg_min(name, (-len(name), rowid)) AS name, max(confidence) AS confidence, count(*) AS n FROM (SELECT *, id * 100000000 + pos AS rowid FROM m) GROUP BY type, lower(name)", "passages"))
 def entity_merge(t: Tables) -> DataFrame:
-    m = t.passages().select("id", F.explode("mentions").alias("m")).select((F.col("id") * 10000 + F.col("m.pos")).alias("pos"), "m.name", "m.type", "m.confidence")
+    m = t.passages().select("id", F.explode("mentions").alias("m")).select((F.col("id") * 100000000 + F.col("m.pos")).alias("pos"), "m.name", "m.type", "m.confidence")
     return docs.merge_entities(m).select("key", "type", "name", "confidence", "n")
 
 
@@ -181,11 +181,13 @@ def api_match_best(t: Tables) -> DataFrame:
     return match.best_matches(side(1, "url"), side(0, "path"), 0.9).select("call", "endpoint")
 
 
-@query(with_views("SELECT a.id AS a, b.id AS b, CASE WHEN a.t = b.t THEN 1.0::DOUBLE ELSE len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) END AS similarity FROM (SELECT id, [lower(regexp_extract(name, '^get([A-Z][a-z]+)', 1)), lower(regexp_extract(name, '([A-Z][a-z]+)$', 1)), 'get'] AS t FROM functions WHERE size = 7) a, (SELECT id, [lower(regexp_extract(name, '^get([A-Z][a-z]+)', 1)), lower(regexp_extract(name, '([A-Z][a-z]+)$', 1)), 'get'] AS t FROM functions WHERE size = 7) b WHERE a.id < b.id", "functions"))
+_NAMES = "n AS (SELECT DISTINCT name, ['get', lower(regexp_extract(name, '^get([A-Z][a-z]+)', 1)), lower(regexp_extract(name, '([A-Z][a-z]+)$', 1))] AS t FROM functions), w AS (SELECT * FROM (SELECT DISTINCT name, unnest(t) AS word FROM n) WHERE word NOT IN ('get', 'new'))"
+
+
+@query(with_views(f", {_NAMES}, p AS (SELECT DISTINCT a.name AS a, b.name AS b FROM w a JOIN w b USING (word) WHERE a.name < b.name) SELECT p.a, p.b, len(list_intersect(x.t, y.t))::DOUBLE / len(list_distinct(x.t || y.t)) AS similarity FROM p JOIN n x ON x.name = p.a JOIN n y ON y.name = p.b", "functions"))
 def token_jaccard(t: Tables) -> DataFrame:
-    f = t.functions().where("size = 7").select("id", X.name_tokens(F.col("name")).alias("t"))
-    pairs = f.alias("a").join(f.alias("b"), F.col("a.id") < F.col("b.id"))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), X.token_jaccard(F.col("a.t"), F.col("b.t")).alias("similarity"))
+    """Pairs of names of all functions that share a token besides their verb."""
+    return match.similar_names(t.functions().select("name"))
 
 
 @query("SELECT turn, role, v, CASE WHEN v = 'id' THEN 1.0::DOUBLE WHEN v = 'userid' THEN 0.4::DOUBLE WHEN v = 'slug' THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END AS score FROM (SELECT DISTINCT turn, role FROM conversations), (SELECT unnest(['id', 'userid', 'slug', 'fixed']) AS v)")
@@ -200,15 +202,15 @@ def intent_classify(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", X.query_intent(F.col("text")).alias("intent"))
 
 
-_HASH = "SELECT doc_id AS id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS value FROM (SELECT doc_id, (('0x' || right(sha1(token), 3))::INT % 1024)::INT AS bucket, count(*)::DOUBLE AS c FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_:.]+')) AS token FROM documents WHERE length(text) < 2000) GROUP BY 1, 2)"
+_HASH = "SELECT doc_id AS id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS value FROM (SELECT doc_id, (('0x' || right(sha1(token), 3))::INT % 1024)::INT AS bucket, count(*)::DOUBLE AS c FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_:.]+')) AS token FROM documents) GROUP BY 1, 2)"
 
 
 @query(_HASH)
 def hash_embedding(t: Tables) -> DataFrame:
-    return search.hash_buckets(t.documents.where(F.length("text") < 2000).select(F.col("doc_id").alias("id"), "text"))
+    return search.hash_buckets(t.documents.select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("SELECT id, list(round(v, 6) ORDER BY place) AS vector FROM (SELECT label AS id, place, avg(v) AS v FROM (SELECT label, generate_subscripts(embedding, 1) AS place, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id < 40) GROUP BY 1, 2) GROUP BY id")
+@query("SELECT id, list(round(v, 6) ORDER BY place) AS vector FROM (SELECT label AS id, place, avg(v) AS v FROM (SELECT label, generate_subscripts(embedding, 1) AS place, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1, 2) GROUP BY id")
 def chunk_mean_pool(t: Tables) -> DataFrame:
-    rows = t.embeddings.where("vec_id < 40").select(F.col("label").alias("id"), F.col("embedding").alias("vector"))
+    rows = t.embeddings.select(F.col("label").alias("id"), F.col("embedding").alias("vector"))
     return search.mean_pool(rows).select("id", F.transform("vector", lambda v: F.round(v, 6)).alias("vector"))
