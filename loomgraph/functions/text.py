@@ -185,3 +185,46 @@ def content(mode: str, summary: Column, comment: Column, code: Column, *names: C
 def wildcard_pattern(pattern: str) -> str:
     """A full-match regex of a pattern in which * stands for any text."""
     return "^(?:" + ".*".join("".join(c if c.isalnum() or c == "_" else "\\" + c for c in part) for part in pattern.split("*")) + ")$"
+
+
+def slug(name: Column) -> Column:
+    """Lower-case letters and digits joined by single hyphens."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def find_span(text: Column, name: Column) -> Column:
+    """struct(start, end): the first place of a name in a text in any case, from 0; null if there is none."""
+    at = F.position(F.lower(name), F.lower(text))
+    return F.when((F.length(name) > 0) & (at > 0), F.struct((at - 1).alias("start"), (at - 1 + F.length(name)).alias("end")))
+
+
+def text_chunks(text: Column, most: int) -> Column:
+    """Pieces of at most `most` characters, in order; an empty text is one empty piece."""
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / most).cast("int") - 1, F.lit(0)))
+    return F.transform(starts, lambda i: F.substring(text, i * most + 1, F.lit(most)))
+
+
+def truncated(text: Column, most: int | None) -> Column:
+    return text if most is None else F.substring(text, 1, most)
+
+
+#: Fixed value: the name space of URLs
+URL_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, space: str = URL_SPACE) -> Column:
+    """The version 5 UUID of a name in a name space."""
+    h = F.sha1(F.concat(F.unhex(F.lit(space)), F.encode(name, "UTF-8")))
+    part = lambda a, n: F.substring(h, a, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def entity_id(kind: Column, name: Column) -> Column:
+    """The identifier of an entity: by type and normalised name."""
+    return uuid5(F.concat(kind, F.lit("::"), entity_name(name)))
+
+
+def workflow_id(steps: Column) -> Column:
+    """A digest of a workflow's steps, whatever their order."""
+    return F.concat(F.lit("wf::"), F.substring(F.sha2(F.array_join(F.array_sort(steps), "|"), 256), 1, 16))

@@ -46,3 +46,79 @@ def relationships(functions: DataFrame, calls: DataFrame) -> DataFrame:
 
 def navigation_method(text: Column) -> Column:
     return F.when(text.contains("push"), "push").when(text.contains("replace"), "replace").when(text.contains("reset"), "reset").otherwise("navigate")
+
+
+#: What in a body speaks for an intent, by framework: framework, intent, pattern, confidence
+SIGNALS = [
+    ("react", "ui_composition", r"<[A-Z][A-Za-z0-9]*[\s/>]", 0.95),
+    ("react", "ui_composition", r"\bReact\.(?:createElement|cloneElement)\s*\(", 0.90),
+    ("react", "ui_composition", r"\{\.\.\.children\}", 0.70),
+    ("react", "state_mutation", r"\bsetState\s*\(", 0.90),
+    ("react", "state_mutation", r"\buse(?:State|Reducer)\s*\(", 0.85),
+    ("react", "state_mutation", r"\bset[A-Z]\w*\s*\(", 0.80),
+    ("react", "state_mutation", r"\bset\b.*\bState\b", 0.65),
+    ("react", "state_mutation", r"\buseAtom\b|\buseStore\b", 0.70),
+    ("react", "state_mutation", r"\bdispatch\s*\(", 0.75),
+    ("react", "screen_navigate", r"\bnavigation\.(?:navigate|push|replace|reset)\b", 0.95),
+    ("react", "screen_navigate", r"\buseNavigation\s*\(", 0.85),
+    ("react", "screen_navigate", r"\bnavigate\s*\(['\"`/]", 0.90),
+    ("react", "screen_navigate", r"\buseNavigate\s*\(", 0.85),
+    ("react", "screen_navigate", r"\bhistory\.(?:push|replace)\s*\(", 0.88),
+    ("react", "screen_navigate", r"\buseHistory\s*\(", 0.80),
+    ("react", "screen_navigate", r"\brouter\.(?:push|navigate|replace)\s*\(", 0.90),
+    ("react", "screen_navigate", r"\buseRouter\s*\(", 0.80),
+    ("react", "screen_navigate", r"<(?:Link|Navigate)\s", 0.75),
+    ("react", "side_effect", r"\buseEffect\s*\(", 0.90),
+    ("react", "side_effect", r"\buseCallback\s*\(", 0.50),
+    ("react", "side_effect", r"\.addEventListener\s*\(", 0.80),
+    ("react", "side_effect", r"\.removeEventListener\s*\(", 0.80),
+    ("react", "side_effect", r"\bsetTimeout\s*\(|\bsetInterval\s*\(", 0.75),
+    ("react", "side_effect", r"\buseFocusEffect\s*\(", 0.85),
+    ("react", "lifecycle", r"\bcomponentDidMount\b|\bcomponentWillUnmount\b", 0.95),
+    ("react", "lifecycle", r"\bcomponentDidUpdate\b", 0.90),
+    ("react", "lifecycle", r"\bshouldComponentUpdate\b", 0.88),
+    ("react", "event_trigger", r"\bon[A-Z]\w+\s*=\s*\{", 0.80),
+    ("react", "event_trigger", r"\bonPress\b|\bonClick\b|\bonChange\b", 0.85),
+    ("react", "event_trigger", r"\bonSubmit\b|\bonFocus\b|\bonBlur\b", 0.82),
+    ("vue", "ui_composition", r"<[A-Z][A-Za-z0-9]*(?:\s|/)", 0.92),
+    ("vue", "ui_composition", r"\bcomponent\s+:is=", 0.85),
+    ("vue", "ui_composition", r"\bh\s*\(\s*[\w'\"]", 0.80),
+    ("vue", "state_mutation", r"\bref\s*\(|\breactive\s*\(", 0.85),
+    ("vue", "state_mutation", r"\.value\s*=", 0.75),
+    ("vue", "state_mutation", r"\buseStore\b|\bdefineStore\b", 0.80),
+    ("vue", "state_mutation", r"\b\$store\.commit\s*\(", 0.88),
+    ("vue", "state_mutation", r"\b\$store\.dispatch\s*\(", 0.85),
+    ("vue", "state_mutation", r"\buseStore\(\)\.commit\b", 0.85),
+    ("vue", "screen_navigate", r"\bthis\.\$router\.(?:push|replace|go)\s*\(", 0.95),
+    ("vue", "screen_navigate", r"\buseRouter\s*\(", 0.85),
+    ("vue", "screen_navigate", r"\brouter\.(?:push|replace|go)\s*\(", 0.90),
+    ("vue", "screen_navigate", r"<router-link\b|<RouterLink\b", 0.80),
+    ("vue", "side_effect", r"\bonMounted\s*\(|\bonUnmounted\s*\(", 0.90),
+    ("vue", "side_effect", r"\bonBeforeMount\b|\bonBeforeUnmount\b", 0.88),
+    ("vue", "side_effect", r"\bwatchEffect\s*\(", 0.85),
+    ("vue", "side_effect", r"\bwatch\s*\(", 0.80),
+    ("vue", "lifecycle", r"\bcreated\s*\(\)|\bmounted\s*\(\)", 0.95),
+    ("vue", "lifecycle", r"\bbeforeDestroy\b|\bdestroyed\b", 0.90),
+    ("vue", "lifecycle", r"\bupdated\s*\(\)", 0.85),
+    ("vue", "event_trigger", r"\b\$emit\s*\(", 0.90),
+    ("vue", "event_trigger", r"\bv-on:|@[a-z]", 0.85),
+    ("vue", "event_trigger", r"\bemit\s*\(", 0.75),
+    ("react-native", "screen_navigate", r"\bnavigation\.goBack\s*\(", 0.88),
+    ("react-native", "screen_navigate", r"\bnavigation\.popToTop\s*\(", 0.85),
+    ("react-native", "screen_navigate", r"\bhref\s*=\s*[\w'\"]/", 0.70),
+]
+#: Frameworks that have the signals of another one as well
+INHERITS = {"react-native": "react"}
+
+
+def framework_signals(functions: DataFrame, signals: list[tuple[str, str, str, float]] | None = None) -> DataFrame:
+    """(function, intent, confidence): a row for each signal that a body (id, code, framework) shows; signals of further
+    frameworks may be given. gathered_intents() sums them up."""
+    rules = signals or SIGNALS
+    found = []
+    for framework in sorted({f for f, *_ in rules} | set(INHERITS)):
+        own = [r for r in rules if r[0] in (framework, INHERITS.get(framework))]
+        hits = F.array(*[F.when(F.col("code").rlike(p), F.struct(F.lit(i).alias("intent"), F.lit(c).alias("confidence"))) for _, i, p, c in own])
+        found.append(F.when(F.col("framework") == framework, F.filter(hits, lambda h: h.isNotNull())))
+    rows = functions.where("code is not null").select(F.col("id").alias("function"), F.explode(F.coalesce(*found)).alias("s"))
+    return rows.select("function", "s.intent", "s.confidence")

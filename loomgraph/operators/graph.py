@@ -16,6 +16,23 @@ from ..session import cut, laid_out
 DIRECTIONS = {"out": "out", "downstream": "out", "in": "in", "upstream": "in", "both": "both", "all": "both"}
 
 
+#: What a flow follows by default, by family of languages
+FLOW_TYPES = {
+    "android": ["CALLS", "DECLARES", "CONTAINS", "USES_RESOURCE", "DECLARES_ROUTE", "STARTS_WITH_ROUTE", "ROUTE_CALLS", "DECLARES_COMPONENT", "STARTS_COMPONENT", "STARTS_INTENT", "SENDS_BROADCAST", "REGISTERS_RECEIVER", "DECLARES_INTENT_ACTION", "SENDS_HANDLER_MESSAGE", "ACTION_TARGETS_COMPONENT", "EMITS_EVENT", "HANDLES_EVENT", "ANNOTATED_WITH", "DEPENDS_ON", "TAKES_FUNCTION", "IMPLEMENTS", "EXTENDS"],
+    "cplus": ["CALLS", "POSSIBLE_CALLS", "CALLS_FUNCTION_POINTER", "DECLARES", "CONTAINS", "DEPENDS_ON"],
+    "generic": ["CALLS", "DECLARES", "CONTAINS", "DEPENDS_ON"],
+}
+FAMILIES = {"android": ["android", "android-kotlin", "kotlin-android", "java", "kotlin", "jvm"], "cplus": ["", "cplus", "cpp", "c++", "c", "clang", "delphi", "pascal", "vbnet", "vb6", "vba", "vbscript"]}
+
+
+def flow_types(parser: str | None, asked: list[str] | None = None, available: list[str] | None = None) -> list[str]:
+    """Relationship types that a trace follows: those asked for, else a language's defaults; of these the ones that the
+    graph has, or all if it has none of them."""
+    family = next((f for f, names in FAMILIES.items() if (parser or "").strip().lower() in names), "generic")
+    wanted = [x.strip().upper() for x in asked] if asked else FLOW_TYPES[family]
+    return [x for x in wanted if x in set(available or [])] or wanted
+
+
 def clamp_depth(depth: int | None, most: int, default: int) -> int:
     """A depth argument forced into 1 .. most; what is no number becomes the default."""
     try:

@@ -25,7 +25,8 @@ def arguments(text: Column) -> Column:
 
 def unquoted(arg: Column) -> Column:
     """What stands in the first quotes of an argument, or null."""
-    return F.when(arg.rlike("\"[^\"]*\"|'[^']*'"), F.trim(F.regexp_extract(arg, "\"([^\"]*)\"|'([^']*)'", 1)))
+    group = lambda i: F.regexp_extract(arg, "\"([^\"]*)\"|'([^']*)'", i)
+    return F.when(arg.rlike("\"[^\"]*\"|'[^']*'"), F.trim(F.concat(group(1), group(2))))
 
 
 def extract_messages(lines: DataFrame, project: str) -> DataFrame:

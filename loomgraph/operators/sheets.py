@@ -89,3 +89,12 @@ def column_entities(values: Column, types: dict[str, str]) -> Column:
     """(name, type) of the columns that stand for entities, each once."""
     pairs = [F.struct(F.trim(F.try_element_at(values, F.lit(c))).alias("name"), F.lit(t).alias("type")) for c, t in sorted(types.items())]
     return F.array_distinct(F.filter(F.array(*pairs), lambda e: e["name"].isNotNull() & (e["name"] != "")))
+
+
+def joined_headers(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    """(sheet, c, name): labels of header rows (sheet, r) of cells (sheet, r, c, value) joined by ` / ` from top to bottom;
+    a column without one is col_<c>; repeated names get _2, _3, ... behind them."""
+    labels = cells.join(headers, ["sheet", "r"], "left_semi").withColumn("label", cell_text(F.coalesce("value", F.lit("")))).where("label != ''")
+    parts = labels.groupBy("sheet", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda x: x["label"]), " / ").alias("name"))
+    columns = cells.select("sheet", "c").distinct().join(parts, ["sheet", "c"], "left")
+    return unique_headers(columns.withColumn("name", F.coalesce("name", F.concat(F.lit("col_"), F.col("c").cast("string")))))

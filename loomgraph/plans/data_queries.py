@@ -279,12 +279,12 @@ def windowed_counts(t: Tables) -> DataFrame:
     return sync.windowed_counts(t.events, "ts", "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS name FROM customer")
+@query("SELECT c_custkey AS id, CASE WHEN c_acctbal >= 0 THEN upper(c_name) ELSE c_name END AS name FROM customer")
 def incremental_sync(t: Tables) -> DataFrame:
     """The streamed upsert in one batch: rows that arrive replace those of equal id."""
     old = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    batch = old.where("id % 2 = 0").select("id", F.upper("name").alias("name"))
-    return sinks.upsert(old, sync.not_seen(batch, old.where("false")), ["id"])
+    done = t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
+    return sinks.upsert(old, sync.not_seen(old.select("id", F.upper("name").alias("name")), done), ["id"])
 
 
 _STOP = ["the", "and", "for", "with", "that", "this"]

@@ -286,10 +286,10 @@ def workflow_impact(t: Tables) -> DataFrame:
     return _impacts(t)
 
 
-@query(with_views(_MODCALLS + _IMPACT + ", r AS (SELECT changed, sum(CASE WHEN depth = 0 THEN 0.1::DOUBLE + CASE WHEN domain IN ('payment', 'auth') THEN 0.3 WHEN domain = 'order' THEN 0.2 ELSE 0.1 END + CASE WHEN step = 0 THEN 0.15 ELSE 0 END ELSE CASE WHEN domain IN ('payment', 'auth') THEN 0.1 WHEN domain = 'order' THEN 0.05 ELSE 0.02 END END) AS base FROM sev GROUP BY changed) SELECT changed, least(1.0, round(base, 3))::DOUBLE AS risk FROM r", "steps", "workflows"))
+@query(with_views(_MODCALLS + _IMPACT + ", r AS (SELECT changed, sum(CASE WHEN depth = 0 THEN 0.1::DOUBLE + CASE WHEN domain IN ('payment', 'auth') THEN 0.3 WHEN domain = 'order' THEN 0.2 ELSE 0.1 END + CASE WHEN step = 0 THEN 0.15 ELSE 0 END ELSE CASE WHEN domain IN ('payment', 'auth') THEN 0.1 WHEN domain = 'order' THEN 0.05 ELSE 0.02 END END) AS base FROM sev GROUP BY changed) SELECT changed, least(1.0, round(base + CASE WHEN (SELECT count(DISTINCT workflow) FROM steps WHERE function = changed) > 1 THEN 0.2 ELSE 0 END, 3))::DOUBLE AS risk FROM r", "steps", "workflows"))
 def workflow_risk(t: Tables) -> DataFrame:
     hits = _impacts(t)
-    return impact.workflow_risk(hits, hits.where("false").select("changed"))
+    return impact.workflow_risk(hits, impact.cascades(t.steps(), t.functions().where(f"id in ({_CHANGED})").select("id")))
 
 
 @query(with_views("SELECT a.workflow AS w1, b.workflow AS w2, count(*) AS shared FROM (SELECT DISTINCT workflow, function FROM steps) a JOIN (SELECT DISTINCT workflow, function FROM steps) b USING (function) WHERE a.workflow < b.workflow GROUP BY 1, 2 HAVING count(*) > 1", "steps"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import html
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,21 +50,72 @@ def is_sensitive(path: Column, globs: list[str]) -> Column:
     return path.rlike(f"^(?:{pattern})$") | F.element_at(F.split(path, "/"), -1).rlike(f"^(?:{pattern})$")
 
 
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _sheet_cells(data: bytes) -> Iterator[tuple[str, int, int, str | None, str | None, str]]:
+    """(sheet, r, c, value, formula, type) of the cells of a workbook, with shared strings put in; rows and columns from 1."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = z.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si"):
+                shared.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
+        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+        for name in sheets:
+            for cell in ElementTree.fromstring(z.read(name)).iter(f"{_MAIN}c"):
+                letters, row = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r", "A1")).groups()
+                column = functools.reduce(lambda n, x: n * 26 + ord(x) - 64, letters, 0)
+                kind, value, formula = cell.get("t", "n"), cell.findtext(f"{_MAIN}v"), cell.findtext(f"{_MAIN}f")
+                if kind == "s" and value is not None:
+                    value = shared[int(value)]
+                elif kind == "inlineStr":
+                    value = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+                yield name.rsplit("/", 1)[-1][:-4], int(row), column, value, None if formula is None else "=" + formula, kind
+
+
 def _document_text(name: str, data: bytes) -> str:
     kind = name.rsplit(".", 1)[-1].lower()
     if kind in ("md", "txt"):
         return data.decode("utf-8", errors="ignore")
-    if kind in ("docx", "pptx", "xlsx"):
-        inner = {"docx": r"word/document\.xml", "pptx": r"ppt/slides/slide\d+\.xml", "xlsx": r"xl/(sharedStrings|worksheets/sheet\d+)\.xml"}[kind]
+    if kind == "xlsx":
+        rows: dict[tuple[str, int], list[str]] = {}
+        for sheet, r, _, value, _, _ in _sheet_cells(data):
+            if value is not None and value.strip():
+                rows.setdefault((sheet, r), []).append(value)
+        return "\n".join("\t".join(x) for x in rows.values())
+    if kind in ("docx", "pptx"):
+        inner = {"docx": r"word/document\.xml", "pptx": r"ppt/slides/slide\d+\.xml"}[kind]
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            parts = [z.read(n).decode("utf-8", errors="ignore") for n in sorted(z.namelist()) if re.fullmatch(inner, n)]
-        paragraphs = re.split(r"</(?:w:p|a:p|si|row)>", "\n".join(parts))
-        return "\n".join(t for t in ("".join(re.findall(r"<(?:w:t|a:t|t|v)(?: [^>]*)?>([^<]*)<", p)) for p in paragraphs) if t.strip())
+            order = sorted((n for n in z.namelist() if re.fullmatch(inner, n)), key=lambda n: [int(x) for x in re.findall(r"\d+", n)])
+            parts = [z.read(n).decode("utf-8", errors="ignore") for n in order]
+        paragraphs = re.split(r"</(?:w:p|a:p)>", "\n".join(parts))
+        texts = (html.unescape("".join(re.findall(r"<(?:w:t|a:t)(?: [^>]*)?>([^<]*)<", p))) for p in paragraphs)
+        return "\n".join(t for t in texts if t.strip())
     from pypdf import PdfReader  # only where it is installed
 
     return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages)
 
 
+def read_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, sheet, r, c, value, formula, type) of the cells of all workbooks below a folder; a file that is no workbook
+    gives one row with its error as the value and `error` as the type."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").endswith(".xlsx")).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "sheet", "r", "c", "value", "formula", "type"]
+        for b in batches:
+            for path, data in zip(b["path"], b["content"], strict=True):
+                try:
+                    cells = _sheet_cells(data)
+                    while rows := [(path, *x) for x in itertools.islice(cells, 50_000)]:
+                        yield pd.DataFrame(rows, columns=columns)
+                except Exception as e:
+                    yield pd.DataFrame([(path, None, None, None, f"{type(e).__name__}: {e}", None, "error")], columns=columns)
+
+    return files.mapInPandas(run, "path string, sheet string, r int, c int, value string, formula string, type string")
+
+
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text, error) of the documents below a folder; a file that can't be read has an error and no text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
