@@ -44,6 +44,8 @@ BATCH = 1_000_000
 CELLS, BLOCKS = 1 << 22, 64
 #: In a group of up to so many classes that share a shingle all pairs are tested by size and place; none is emitted.
 PAIRED = 32
+#: Rows of 16 bytes that may be sent to all tasks instead of shuffling the texts; beyond it the texts are shuffled.
+MOST_SENT = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -411,9 +413,9 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     members = cut(classes.join(clusters.withColumnRenamed("node", "cls"), "cls").select("rep", "n", "low", "root"))
     first = source.where("doc_id is not null")
 
-    def links_of(tasks: DataFrame) -> DataFrame:
-        """Links of the members that meet in tasks (rep, task)."""
-        texts = first.join(tasks.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("task", "doc_id", "text")
+    def links_of(tasks: DataFrame, few: bool = False) -> DataFrame:
+        """Links of the members that meet in tasks (rep, task); few tasks go to the texts, so that these need no shuffle."""
+        texts = first.join(F.broadcast(tasks) if few else tasks.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("task", "doc_id", "text")
         return texts.repartition(parts, "task").sortWithinPartitions("task", "doc_id").mapInArrow(_cluster_links(words, num, den), "a long, b long")
 
     sizes = members.groupBy("root").agg(_block_count(block, block_shingles).alias("blocks"))
@@ -424,7 +426,8 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int =
         links = links_of(small)
     else:
         links = cut(links_of(small.unionByName(_stars(large, block, block_shingles))))
-        links = links.unionByName(links_of(_pairs(large, links, block, block_shingles)))
+        again = cut(_pairs(large, links, block, block_shingles))
+        links = links.unionByName(links_of(again, again.limit(MOST_SENT + 1).count() <= MOST_SENT))
     roots = components(links)
     by_class = classes.select("cls", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("root", "rep").alias("found"))
     out = per_doc.join(by_class, "cls", "left")
