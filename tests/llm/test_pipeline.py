@@ -6,6 +6,7 @@ import re
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -139,6 +140,32 @@ def test_repeated_rows_and_null_ids_stay_once(spark, tmp_path):
     assert got == sorted((i, digest(x)) for i, x in want)
 
 
+def test_further_columns_of_any_name(spark, tmp_path):
+    r = np.random.default_rng(8)
+    prose = lambda: " ".join("".join(r.choice(WORDS, 2)) for _ in range(60))
+    t = [prose() for _ in range(12)]
+    shared = prose()
+    rows = [(i, x + (" " + shared if i in (3, 7) else ""), "en", "src", len(x)) for i, x in enumerate(t)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, prose(), "en", "src", 1), (20, None, "en", None, None)], DOCS)
+    extra = {"score": 0.5, "lang_pred": "x", "kept": True, "found": 4, "cls": 5, "n_hit": 6, "carried": "c", "doc id.x": "quoted `name`", "row": 7, "component_id": 8}
+    for name, value in extra.items():
+        docs = docs.withColumn(name, F.lit(value))
+    docs = docs.repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(t[5].split()[10:40]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given, columns = spark.read.parquet(f"{tmp_path}/documents.parquet"), docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        given = stage(spark, given, str(tmp_path))
+        assert given.columns == columns, name
+        got = given.collect()
+        assert got and all(x[n] == v for x in got for n, v in extra.items()), name
+        given = spark.createDataFrame(got, docs.schema)
+    assert sorted(-1 if x.doc_id is None else x.doc_id for x in got) == [-1, 0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11]
+    assert all(shared not in x.text for x in got)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_return_a_row_for_each_row(spark, folder, name):
     table = {"op4_chat_format": "conversations", "op7_pivot_index": "embeddings"}.get(name, "documents")
