@@ -64,9 +64,10 @@ def knn(points: DataFrame, query: list[float], k: int, where: Column | None = No
 def knn_join(queries: DataFrame, points: DataFrame, k: int, block: int = 1000, most_queries: int = 100_000) -> DataFrame:
     """(query_id, id, score, rank) of the k points most like each query (query_id, vector); exact.
 
-    Queries are a stated set against all rows: they are dealt out in blocks that each meet every partition of points
-    once, in a numpy product that keeps k candidates per query and batch, so what is shuffled is k rows per query and task. The queries are sent to all tasks,
-    so their number is checked: over most_queries this raises a ValueError, and the caller deals them out in parts.
+    Queries are a stated set against all rows: each task takes them in blocks against every batch of its points, in a
+    numpy product, and keeps the best k of each query from batch to batch, so what is shuffled is k rows per query and
+    task. The queries are sent to all tasks, so their number is checked: over most_queries this raises a ValueError,
+    and the caller deals them out in parts.
     """
     import numpy as np
     import pandas as pd
@@ -84,6 +85,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, block: int = 1000, m
 
     def run(batches):
         ids, matrix = sent.value
+        kept: list[tuple] = [()] * -(-len(ids) // block)  # of each block of queries: ids and scores, the best first
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -92,11 +94,18 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, block: int = 1000, m
             own = pdf["id"].to_numpy()
             order = np.argsort(own, kind="stable")
             x, own = x[order], own[order]
-            for lo in range(0, len(ids), block):
-                score = np.round(matrix[lo : lo + block] @ x.T, 6)
+            for i in range(len(kept)):
+                score = np.round(matrix[i * block : (i + 1) * block] @ x.T, 6)
                 best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(score)), best.shape[1])
-                yield pd.DataFrame({"query_id": ids[lo : lo + block][rows], "id": own[best.ravel()], "score": score[rows, best.ravel()]})
+                near, score = own[best], np.take_along_axis(score, best, 1)
+                if kept[i]:
+                    near, score = np.hstack([kept[i][0], near]), np.hstack([kept[i][1], score])
+                    best = np.lexsort((near, -score), axis=1)[:, :k]
+                    near, score = np.take_along_axis(near, best, 1), np.take_along_axis(score, best, 1)
+                kept[i] = near, score
+        for i, (near, score) in enumerate(x for x in kept if x):
+            rows = np.repeat(np.arange(len(near)), near.shape[1])
+            yield pd.DataFrame({"query_id": ids[i * block : (i + 1) * block][rows], "id": near.ravel(), "score": score.ravel()})
 
     found = points.select("id", "vector").mapInPandas(run, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

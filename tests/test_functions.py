@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,32 @@ def test_streamed_upserts(spark, tmp_path):
     assert sorted((r.id, r.v) for r in state["df"].collect()) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_sync_table(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "table")
+    for rows in ([(i, "a") for i in range(40)], [(1, "b"), (50, "c")], [(2, None), (1, "d")]):
+        spark.createDataFrame(rows, "id long, v string").coalesce(1).write.mode("append").parquet(src)
+        before = {f: f.stat().st_mtime_ns for f in (tmp_path / "table").glob("bucket=*/*.parquet")}
+        sync.sync_table(sync.stream_folder(spark, src, "id long, v string"), out, ["id"], str(tmp_path / "check"), buckets=8).awaitTermination()
+        after = {f: f.stat().st_mtime_ns for f in (tmp_path / "table").glob("bucket=*/*.parquet")}
+        assert not before or sum(before.get(f) == t for f, t in after.items()) >= 6  # of eight buckets two are touched
+    got = {r.id: r.v for r in spark.read.parquet(out).collect()}
+    assert got == {i: "a" for i in range(40)} | {1: "d", 50: "c"} and spark.read.parquet(out).count() == 41
+
+
+def test_knn_join_over_many_batches(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (500, 4)).astype(float)  # few values: many ties
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        got = search.knn_join(points.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), points, 7, block=4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    want = {(q, int(i), r + 1) for q in range(0, 500, 50) for r, i in enumerate(np.lexsort((np.arange(500), -np.round(unit @ unit[q], 6)))[:7])}
+    assert {(r.query_id, r.id, r["rank"]) for r in got} == want
+
+
 def test_upsert_keeps_what_new_rows_lack(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "id long, name string, note string")
     new = spark.createDataFrame([(1, "z"), (3, "n"), (3, "m")], "id long, name string")
