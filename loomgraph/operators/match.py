@@ -16,13 +16,17 @@ def candidates(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """(call, endpoint) pairs: endpoints that have all fixed segments of the call; where there are none, or the call
     has no fixed segment, those whose number of segments differs by one at most.
 
-    The containment join goes through an inverted index of segments, the fallback through equal segment counts.
+    A call meets the endpoints that have its rarest fixed segment, as counted over the endpoints, and containment is
+    tested there, so a segment that most paths have joins nothing; the fallback goes through equal segment counts.
     """
     c = calls.select(F.col("id").alias("call"), _fixed("url").alias("fixed"), F.size(segments(F.col("url"))).alias("n"))
     e = endpoints.select(F.col("id").alias("endpoint"), _fixed("path").alias("fixed"), F.size(segments(F.col("path"))).alias("n"))
-    index = e.select("endpoint", F.explode("fixed").alias("segment"))
-    hits = c.select("call", F.size("fixed").alias("want"), F.explode("fixed").alias("segment")).join(index, "segment")
-    strong = hits.groupBy("call", "endpoint", "want").agg(F.count("*").alias("got")).where("got = want").select("call", "endpoint")
+    index = e.select("endpoint", F.col("fixed").alias("has"), F.explode("fixed").alias("segment"))
+    common = index.groupBy("segment").agg(F.count("*").alias("times"))
+    asked = c.select("call", "fixed", F.explode("fixed").alias("segment")).join(common, "segment", "left")
+    rarest = asked.groupBy("call", "fixed").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "segment")).alias("r"))
+    hits = rarest.where("r.times > 0").select("call", "fixed", F.col("r.segment").alias("segment")).join(index, "segment")
+    strong = hits.where(F.size(F.array_except("fixed", "has")) == 0).select("call", "endpoint")
     rest = c.join(strong, "call", "left_anti").select("call", F.explode(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1)).alias("n"))
     return strong.unionByName(rest.join(e, "n").select("call", "endpoint"))
 

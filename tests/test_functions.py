@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.operators import dag, docs, graph, impact, score, search, sheets
+from loomgraph.operators import dag, docs, graph, impact, match, score, search, sheets
 from loomgraph.sources import files, sinks
 from loomgraph.streaming import sync
 
@@ -156,6 +156,21 @@ def test_knn_join_over_many_batches(spark):
     assert {(r.query_id, r.id, r["rank"]) for r in got} == want
 
 
+def test_match_candidates(spark):
+    urls = ["/api/users", "/api/users/:id", "/api/orders/:id/lines", "/:id", "/api/none", "/", "/API/Users"]
+    paths = ["/api/users", "/api/users/:key", "/v1/api/orders/:id/lines", "/:x", "/lines/orders/api", "/api"]
+    fixed = lambda p: {x for x in p.lower().split("/") if x and x[0] not in ":*"}
+    size = lambda p: len([x for x in p.split("/") if x])
+    want = set()
+    for i, u in enumerate(urls):
+        strong = {(i, j) for j, p in enumerate(paths) if fixed(u) and fixed(u) <= fixed(p)}
+        want |= strong or {(i, j) for j, p in enumerate(paths) if abs(size(u) - size(p)) <= 1}
+    calls, ends = spark.createDataFrame(list(enumerate(urls)), "id long, url string"), spark.createDataFrame(list(enumerate(paths)), "id long, path string")
+    got = [tuple(r) for r in match.candidates(calls, ends).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert match.candidates(calls, ends.limit(0)).count() == match.candidates(calls.limit(0), ends).count() == 0
+
+
 def test_upsert_keeps_what_new_rows_lack(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "id long, name string, note string")
     new = spark.createDataFrame([(1, "z"), (3, "n"), (3, "m")], "id long, name string")
