@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..session import cut
 from ..sources.sinks import upsert
 
 
@@ -30,23 +29,31 @@ def sync_table(source: DataFrame, folder: str, keys: list[str], checkpoint: str,
     """Upsert each batch of a streaming source into a Parquet table at `folder` that is dealt out by a hash of its keys.
 
     A batch reads and writes only the buckets that its keys fall into; `buckets` has to stay the same for a table, and
-    is chosen so that one fits a task. What a batch makes of its buckets is in the checkpoint folder before the old ones
-    go, so that no lost executor needs them again. The first batch sets the columns; further ones are left out later on.
-    A driver that ends while it swaps buckets leaves these for the batch to be run again, which has only its own rows:
-    a table that must survive this needs a format with transactions and sync_upserts.
+    is chosen so that one fits a task. The first batch sets the columns; further ones are left out later on.
+
+    What a batch makes of its buckets is first written below the checkpoint as `staged/<number of the batch>`. A driver
+    that ends while buckets are swapped loses no row: the batch is run again under its number, finds what it staged whole
+    (marked by _SUCCESS) and swaps the same buckets once more, without reading the table.
     """
     spark = source.sparkSession
 
-    def apply(batch: DataFrame, _: int) -> None:
-        place = F.pmod(F.hash(*keys), F.lit(buckets))
-        touched = [r[0] for r in batch.select(place).distinct().collect()]  # at most `buckets` numbers
-        if not touched:
-            return
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        old = spark.read.parquet(folder).where(F.col(bucket).isin(touched)).drop(bucket) if there else batch.limit(0)
-        new = cut(upsert(old, batch, keys).withColumn(bucket, place)).repartition(bucket)
+    def exists(path: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        staged = f"{checkpoint}/staged/{number}"
+        if not exists(f"{staged}/_SUCCESS"):
+            place = F.pmod(F.hash(*keys), F.lit(buckets))
+            touched = [r[0] for r in batch.select(place).distinct().collect()]  # at most `buckets` numbers
+            if not touched:
+                return
+            old = spark.read.parquet(folder).where(F.col(bucket).isin(touched)).drop(bucket) if exists(folder) else batch.limit(0)
+            upsert(old, batch, keys).withColumn(bucket, place).write.mode("overwrite").parquet(staged)
+        new = spark.read.parquet(staged).repartition(bucket)
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(folder)
+        at = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -5,6 +5,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
@@ -142,6 +143,31 @@ def test_sync_table(spark, tmp_path):
     assert got == {i: "a" for i in range(40)} | {1: "d", 50: "c"} and spark.read.parquet(out).count() == 41
 
 
+def test_sync_table_ends_while_it_swaps(spark, tmp_path, monkeypatch):
+    src, out, check = (str(tmp_path / x) for x in ("in", "table", "check"))
+    stream = lambda: sync.sync_table(sync.stream_folder(spark, src, "id long, v string"), out, ["id"], check, buckets=4)
+    spark.createDataFrame([(i, "a") for i in range(40)], "id long, v string").coalesce(1).write.mode("append").parquet(src)
+    stream().awaitTermination()
+    spark.createDataFrame([(i, "b") for i in range(0, 60, 3)], "id long, v string").coalesce(1).write.mode("append").parquet(src)
+    write = DataFrameWriter.parquet
+
+    def ends(self, path, *args, **kwargs):  # all buckets gone, none written
+        if path == out:
+            for f in (tmp_path / "table").glob("bucket=*/*"):
+                f.unlink()
+            raise RuntimeError("the driver ends here")
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", ends)
+    with pytest.raises(Exception, match="driver ends"):
+        stream().awaitTermination()
+    monkeypatch.undo()
+    stream().awaitTermination()
+    got = {r.id: r.v for r in spark.read.parquet(out).collect()}
+    assert got == {i: "a" for i in range(40)} | {i: "b" for i in range(0, 60, 3)} and spark.read.parquet(out).count() == len(got)
+    assert not list((tmp_path / "check" / "staged").glob("[0-9]*"))
+
+
 def test_knn_join_over_many_batches(spark):
     rng = np.random.default_rng(3)
     vectors = rng.integers(-2, 3, (500, 4)).astype(float)  # few values: many ties
