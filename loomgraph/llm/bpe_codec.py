@@ -1,9 +1,9 @@
 """BPE encoding and decoding with batched numpy merge rounds.
 
 The vocabulary file (a JSON of the tokenizers library, kind word BPE) is a parameter. Words that a task has not met
-yet are put into one flat array of symbols. Each round looks up the rank of every neighbouring pair by binary search
-over the sorted pair keys, takes the lowest rank of each word, and merges its occurrences from left to right in all
-words at once; words without a mergeable pair leave the array. All occurrences of a word's lowest pair may be merged
+yet are put into one flat array of symbols. The rank of every neighbouring pair is looked up by binary search over the
+sorted pair keys. Each round takes the lowest rank of each word, merges its occurrences from left to right in all words
+at once, and looks up the pairs with a new symbol; words without a mergeable pair leave the array. All occurrences of a word's lowest pair may be merged
 in one round because the loader checks that a merge never makes a pair of lower rank than its own; if a vocabulary
 breaks that rule, one occurrence is merged a round.
 
@@ -114,11 +114,10 @@ class WordBpe:
         word = np.repeat(np.arange(len(words)), size)
         out: list[list[int]] = [[] for _ in words]
         none = np.iinfo(np.int64).max
+        rank = np.full(len(symbols), none)
+        at = np.flatnonzero(word[:-1] == word[1:])
+        rank[at] = self.ranks(symbols[at], symbols[at + 1])
         while len(symbols):
-            rank = np.full(len(symbols), none)
-            pair = word[:-1] == word[1:]
-            at = np.flatnonzero(pair)
-            rank[at] = self.ranks(symbols[at], symbols[at + 1])
             first = np.flatnonzero(np.diff(word, prepend=-1))
             low = np.minimum.reduceat(rank, first)
             counts = np.diff(np.append(first, len(word)))
@@ -144,7 +143,14 @@ class WordBpe:
             symbols[hit] = self.made[rank[hit]]
             keep = np.ones(len(symbols), bool)
             keep[hit + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            symbols, word, rank = symbols[keep], word[keep], rank[keep]
+            merged = hit - np.arange(len(hit))  # a symbol goes behind each hit: so far the places have moved
+            at = np.concatenate([merged - 1, merged])  # only pairs with a new symbol have new ranks
+            at = at[(at >= 0) & (at < len(symbols) - 1)]
+            within = word[at] == word[at + 1]
+            rank[merged] = none  # for the last symbol of a word
+            at = at[within]
+            rank[at] = self.ranks(symbols[at], symbols[at + 1])
         return out
 
     def words(self, text: str) -> list[str]:

@@ -174,6 +174,18 @@ def test_suffix_dedup(docs, empty, least):
     assert suffix_dedup(empty, least).count() == 0
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_bpe_long_words(whole):
+    """Words of random letters, few letters and one letter, in rounds over all lowest pairs or one pair a round."""
+    path = P.path("word_bpe_49k.json")
+    bpe, rng = WordBpe(path), np.random.default_rng(7)
+    bpe.whole_rounds = bpe.whole_rounds and whole
+    words = ["".join(rng.choice(list(letters), n)) for letters, n in [("abcdefghijklmnopqrstuvwxyz", 20_000 if whole else 300), *[("ab", int(n)) for n in rng.integers(1, 60, 100)]]] + ["a" * n for n in range(1, 60)]
+    library = Tokenizer.from_file(path)
+    for w, ids in zip(words, bpe.encode(words), strict=True):
+        assert ids.tolist() == library.encode(w, add_special_tokens=False).ids
+
+
 def test_bpe(docs, empty):
     path = P.path("word_bpe_49k.json")
     own, library = WordBpe(path), Tokenizer.from_file(path)
