@@ -5,11 +5,14 @@ found, none is estimated:
 
 1. One scan hashes every document's shingle set; documents with equal sets form a class, and only one member of a
    class goes on.
-2. Prefix filter: two sets that link share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each, in any common
-   order of shingles. The order is from rare to frequent, by a sketch of 2**22 counters over all documents (its size is
-   fixed, so it can be sent to all tasks), then by hash. Counters that shingles share change only the work, not the
-   links. A map task sends its (shingle, class, size, place) rows sorted and packed, one row per reducer.
-3. Classes that share such a shingle and whose sizes and places in the order allow a link form candidate clusters (connected components).
+2. Prefix filter: two sets that link share c shingles (or their whole overlap, if that is less) among the first
+   |x| - ceil(0.8 |x|) + c of each, in any common order of shingles; c grows with the smaller set, from 1 to `SHARED`.
+   The order is from rare to frequent, by a sketch of 2**22 counters over all documents (its size is fixed, so it can be
+   sent to all tasks), then by hash. Counters that shingles share change only the work, not the links. A map task sends
+   its (shingle, class, size, place) rows sorted and packed, one row per reducer.
+3. Classes that share so many of these and whose sizes and places in the order allow a link form candidate clusters
+   (connected components). One shared shingle is not enough: how many pairs have one by chance grows with the square of
+   the documents, and such pairs would join most of a large table to one cluster.
 4. In each cluster a signature tree is built: members sorted so that like ones are neighbours, leaf bitmaps of hashed
    shingles, inner nodes with OR-combined bitmaps and size ranges. A dual traversal drops node pairs whose maximum
    possible overlap is too small or whose members are all connected already; surviving pairs of members are verified
@@ -42,8 +45,10 @@ _LANES = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779
 BATCH = 1_000_000
 #: Cells of the sketch that ranks shingles by how often they occur, and the blocks in which tasks' sketches are added up.
 CELLS, BLOCKS = 1 << 22, 64
-#: In a group of up to so many classes that share a shingle all pairs are tested by size and place; none is emitted.
+#: In a group of up to so many classes that share a shingle all pairs are tested by size and place, and counted.
 PAIRED = 32
+#: Shingles that the prefixes of two large sets have in common if they link; each lengthens a prefix by one.
+SHARED = 8
 #: Rows of 16 bytes that may be sent to all tasks instead of shuffling the texts; beyond it the texts are shuffled.
 MOST_SENT = 1_000_000
 
@@ -163,7 +168,7 @@ def _prefixes(words: int, num: int, den: int, levels, parts: int):
             if not len(rows):
                 continue
             size = n[rows]
-            k = size - (num * size + den - 1) // den + 1
+            k = np.minimum(size - (num * size + den - 1) // den + _shared(size), size)
             rank = (levels.value[_cells(sets)].astype(U64) << U64(56)) | (sets & U64((1 << 56) - 1))
             lo = off[rows]
             at = np.concatenate([a + _lowest(rank[a : a + m], j) for a, m, j in zip(lo.tolist(), size.tolist(), k.tolist(), strict=True)])
@@ -179,17 +184,23 @@ def _prefixes(words: int, num: int, den: int, levels, parts: int):
     return run
 
 
+def _shared(n: np.ndarray) -> np.ndarray:
+    """Shingles that the prefix of a set of size n has in common with that of each larger set it links with."""
+    return np.minimum(1 + n // 32, SHARED)
+
+
 def _lowest(rank: np.ndarray, k: int) -> np.ndarray:
     at = np.argpartition(rank, k - 1)[:k]
     return at[np.argsort(rank[at])]
 
 
 def _candidates(num: int, den: int):
-    """Packed prefixes of a part -> (a, b): edges that connect classes which share a shingle and may link through it.
+    """Packed prefixes of a part -> (a, b, n, need): pairs of classes that share n shingles of it and may link if all parts
+    together find `need`.
 
-    If a shingle is the first that sets of sizes n <= m share, at places i and j of their order, then min(n - i, m - j)
-    bounds the overlap. In larger groups an entry is joined with the next smaller one whose place lets it be the smaller
-    side of a link, which connects no less.
+    If a shingle is one of the first c that sets of sizes n <= m share, at places i and j of their order, then
+    min(n - i, m - j) + c - 1 bounds the overlap. In larger groups an entry is joined with the next smaller one whose
+    place lets it be the smaller side of a link, which connects no less; such a pair needs no other shingle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +219,11 @@ def _candidates(num: int, den: int):
         shared[:-1] |= same
         pick = order[shared]
         t, c, n, p = t[pick], c[pick], n[pick].astype(np.int64), p[pick].astype(np.int64)
-        smaller = (num + den) * (n - p) >= 2 * num * n  # may be the smaller side
+        smaller = (num + den) * (n - p + _shared(n) - 1) >= 2 * num * n  # may be the smaller side
         order = np.lexsort((c, ~smaller, n, t))
+        fresh = np.ones(len(order), bool)  # a class that several tasks have met counts once
+        fresh[1:] = (t[order[1:]] != t[order[:-1]]) | (c[order[1:]] != c[order[:-1]])
+        order = order[fresh]
         t, c, n, p, smaller = t[order], c[order], n[order], p[order], smaller[order]
         if not len(t):
             return
@@ -226,19 +240,30 @@ def _candidates(num: int, den: int):
                 break
             j = i + d
             bound = np.minimum(n[i] - p[i], n[j] - p[j])
-            ok = (c[i] != c[j]) & ((num + den) * bound >= num * (n[i] + n[j])) & (num * n[j] <= den * n[i])
-            found.append(np.stack([c[i[ok]], c[j[ok]]], 1))
+            ok = ((num + den) * (bound + _shared(n[i]) - 1) >= num * (n[i] + n[j])) & (num * n[j] <= den * n[i])
+            i, j = i[ok], j[ok]
+            least = -(-num * (n[i] + n[j]) // (num + den))
+            found.append(np.stack([c[i], c[j], np.ones(len(i), np.int64), np.minimum(least, _shared(n[i]))], 1))
         large = np.flatnonzero(count > PAIRED)
         if len(large):
             last = np.maximum.accumulate(np.where(smaller, np.arange(len(t)), -1))
             before = np.concatenate([[-1], last[:-1]])[large]
-            ok = (before >= 0) & (group[before] == group[large]) & (num * n[large] <= den * n[before]) & (c[before] != c[large])
-            found.append(np.stack([c[before[ok]], c[large[ok]]], 1))
-        edges = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        edges = np.unique(np.sort(edges, 1), axis=0)
-        for i in range(0, len(edges), 100_000):
-            x = edges[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+            ok = (before >= 0) & (group[before] == group[large]) & (num * n[large] <= den * n[before])
+            sure = np.full(int(ok.sum()), SHARED, np.int64)
+            found.append(np.stack([c[before[ok]], c[large[ok]], sure, sure], 1))
+        if not found:
+            return
+        edges = np.concatenate(found)
+        edges[:, :2].sort(1)
+        edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]
+        new = np.ones(len(edges), bool)
+        new[1:] = (edges[1:, :2] != edges[:-1, :2]).any(1)
+        first = np.flatnonzero(new)
+        if not len(first):
+            return
+        a, b, shared, need = *edges[first, :2].T, np.add.reduceat(edges[:, 2], first), np.maximum.reduceat(edges[:, 3], first)
+        for i in range(0, len(first), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (a, b, shared, need)], names=["a", "b", "n", "need"])
 
     return run
 
@@ -407,7 +432,8 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     shingles = per_doc.agg(F.sum("n")).first()[0] or 0
     parts = width(spark, 5 * shingles, 256 << 20)  # a fifth of each set goes out, some 25 bytes a shingle
     packed = source.mapInArrow(_prefixes(words, num, den, levels, parts), "part int, tokens binary, classes binary, sizes binary, places binary")
-    edges = packed.repartition(parts, "part").mapInArrow(_candidates(num, den), "a long, b long")
+    pairs = packed.repartition(parts, "part").mapInArrow(_candidates(num, den), "a long, b long, n long, need long")
+    edges = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need")
     clusters = components(edges)
     classes = per_doc.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low"))
     members = cut(classes.join(clusters.withColumnRenamed("node", "cls"), "cls").select("rep", "n", "low", "root"))

@@ -5,6 +5,7 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +16,7 @@ from loomgraph.llm.chat_format import chat_format, message_parts
 from loomgraph.llm.fm_decontaminate import fm_decontaminate
 from loomgraph.llm.language_id import Model, language_id, viterbi
 from loomgraph.llm.license_scan import RULES, SENTENCES, Rules, license_scan, normalise
-from loomgraph.llm.ngram_jaccard_join import ngram_jaccard_join
+from loomgraph.llm.ngram_jaccard_join import SHARED, _candidates, ngram_jaccard_join
 from loomgraph.llm.pivot_index import embedding_near_dedup
 from loomgraph.llm.quality_mil import GatedAttention
 
@@ -236,6 +237,33 @@ def test_large_clusters_are_split_and_stay_whole(spark):
         assert {x.doc_id: x.component_id for x in ngram_jaccard_join(df, block=block).collect()} == want
 
 
+def test_one_shared_shingle_makes_no_candidates():
+    """Sets of 400 in a ring, each with one shingle of the next, and two that share ten; all at the first places."""
+    token, cls = [7 * i + k for i in range(60) for k in (0, 7)], [i for i in range(60) for _ in range(2)]
+    token, cls = [t % 420 for t in token] + [1000 + k for k in range(10)] * 2, cls + [100] * 10 + [101] * 10
+    place = [0, 1] * 60 + list(range(10)) * 2
+    columns = [np.array(x, kind).tobytes() for x, kind in ((token, np.uint64), (cls, np.int64), ([400] * len(cls), np.int32), (place, np.uint16))]
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], names=["part", "tokens", "classes", "sizes", "places"])
+    pairs = [x for b in _candidates(4, 5)(iter([batch, batch])) for x in b.to_pylist()]  # what two tasks have met counts once
+    assert len(pairs) == 61 and {x["need"] for x in pairs} == {SHARED}
+    assert [(x["a"], x["b"], x["n"]) for x in pairs if x["n"] >= x["need"]] == [(100, 101, 10)]
+
+
+def test_links_of_all_sizes_by_brute_force(spark):
+    r = np.random.default_rng(22)
+    texts = []
+    for n in [1, 2, 4, 5, 6, 8, 9, 12, 20, 35, 36, 37, 50, 68, 69, 100, 130, 260, 300]:
+        base = [f"{w}{k % 90}" for k, w in enumerate(r.choice(WORDS, n))]
+        for _ in range(8):
+            w = list(base)
+            for k in r.choice(n, min(n, int(r.integers(0, 2 + n // 40))), replace=False):
+                w[k] = f"new{r.integers(40)}"
+            texts.append(" ".join(w[int(r.integers(0, 1 + n // 12)) : n - int(r.integers(0, 1 + n // 12))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute_components([(i, shingles(t)) for i, t in enumerate(texts)], lambda x, y: 100 * len(x & y) >= 80 * len(x | y))
+    assert {x.doc_id: x.component_id for x in ngram_jaccard_join(df).collect()} == want and 30 < len(set(want.values())) < 130
+
+
 # -- suffix-array dedup
 
 
