@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from . import textnp as X
 
+#: Packed rows sent at once; a row has 8 bytes a token.
+BATCH = 500
+
 _encodings: dict[tuple[str, str], object] = {}
 
 
@@ -107,9 +110,9 @@ def _pack(path: str, pattern: str, length: int, group_tokens: int, pad_id: int,
             lengths = np.minimum(size[doc] - begin, length)
             src = (np.cumsum(size) - size)[doc] + begin
             rows = best_fit_decreasing(lengths, length)
-            for lo in range(0, len(rows), 2000):
+            for lo in range(0, len(rows), BATCH):
                 out: list[list] = [[] for _ in range(10)]
-                for r, row in enumerate(rows[lo : lo + 2000], made + lo):
+                for r, row in enumerate(rows[lo : lo + BATCH], made + lo):
                     n = lengths[row]
                     matrix = np.full(length, pad_id, "<u4")
                     total = int(n.sum())

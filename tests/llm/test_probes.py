@@ -1,10 +1,12 @@
 """Odd and hostile inputs, and inner steps, of the llm operators against brute force."""
 
+import hashlib
 import itertools
 import json
 import re
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -19,6 +21,8 @@ from loomgraph.llm.license_scan import RULES, SENTENCES, Rules, license_scan, no
 from loomgraph.llm.ngram_jaccard_join import SHARED, _candidates, ngram_jaccard_join
 from loomgraph.llm.pivot_index import embedding_near_dedup
 from loomgraph.llm.quality_mil import GatedAttention
+from loomgraph.llm.queries import op2_token_packing
+from loomgraph.llm.token_packing import encoding
 
 from .test_operators import WORDS, brute_components, shingles
 
@@ -324,6 +328,24 @@ def test_shared_passages_over_many_tasks(spark, monkeypatch):
         assert (x.n_removed, x.carried.c0) == (len(covered), 1)
 
 
+# -- token packing
+
+
+def test_the_packing_query_returns_its_matrices(spark, folder):
+    """Ids, padding and positions of every row; the segments of a document are its ids again, for every document."""
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    found = {}
+    for x in op2_token_packing(spark, folder).collect():
+        ids, positions, ends = np.frombuffer(x.ids, "<u4"), np.frombuffer(x.positions, "<u4"), x.cu_seqlens
+        assert len(ids) == len(positions) == 2048 and hashlib.sha256(x.ids).hexdigest() == x.ids_sha256
+        assert ends[-1] == x.n_tokens and not ids[x.n_tokens :].any()
+        for doc, begin, lo, hi in zip(x.doc_ids, x.doc_begins, ends[:-1], ends[1:], strict=True):
+            found.setdefault(doc, []).append((begin, ids[lo:hi].tolist()))
+            assert positions[lo:hi].tolist() == list(range(hi - lo))
+    enc = encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert {d: [t for _, p in sorted(x) for t in p] for d, x in found.items()} == {d: enc.encode_ordinary(t) for d, t in texts.items() if t}
+
+
 # -- quality
 
 
