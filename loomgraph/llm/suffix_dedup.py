@@ -39,6 +39,8 @@ PLACE_BITS = 28
 STRETCH = 8 << 20
 CHUNK = 1 << 19
 FLUSH = 16 << 20
+#: Places that follow from one compared place at most.
+RUN = 4096
 _POWER = U64(0x9E3779B97F4A7C55)
 _BYTES = X.mix64(np.arange(1, 257, dtype=np.uint64) * X.GOLDEN)
 
@@ -254,7 +256,8 @@ def common_prefixes(padded: np.ndarray, n: int, sa: np.ndarray, most: int) -> np
     """For each place of the text the length, up to `most`, that its suffix has in common with the one before it in sa.
 
     Where the bytes before both are equal, a place has one less than the place before it; only the other places are
-    compared, and the rest follows in text order.
+    compared, and the rest follows in text order. A place is compared no further than what follows from it needs: sa is
+    in order by the first `most` bytes only, so very many places can have far longer prefixes in common.
     """
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
@@ -263,10 +266,13 @@ def common_prefixes(padded: np.ndarray, n: int, sa: np.ndarray, most: int) -> np
     inner = (place > 0) & (before > 0)
     alone[inner] = padded[place[inner] - 1] != padded[before[inner] - 1]
     alone[np.flatnonzero(~alone)[before[np.flatnonzero(~alone) - 1] != before[np.flatnonzero(~alone)] - 1]] = True
+    alone[::RUN] = True
     out = np.zeros(n, np.int64)
-    live = np.flatnonzero(alone & (before >= 0))
+    live = np.flatnonzero(alone)
+    need = np.diff(np.append(live, n)) + most - 1
+    live, need = live[before[live] >= 0], need[before[live] >= 0]
     words = np.ndarray(shape=(len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
-    room = n - np.maximum(live, before[live])
+    room = np.minimum(n - np.maximum(live, before[live]), need)
     done = 0
     while len(live):
         x = words[live + done] ^ words[before[live] + done]

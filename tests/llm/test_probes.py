@@ -297,6 +297,24 @@ def test_groups_with_many_contexts(chunk):
     assert got == brute_windows(texts, 150) and any(got)
 
 
+def test_common_prefixes_of_a_repetitive_text(monkeypatch):
+    """What comes again and again after itself is compared to the depth that counts, not to its end (60,000 bytes here)."""
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: (compared.append(len(x)), count(x))[1])
+    rng = np.random.default_rng(5)
+    line = rng.integers(97, 123, 61)
+    passages = np.concatenate([np.concatenate([line, rng.integers(97, 123, 139)]) for _ in range(30)])
+    for text in (np.tile(passages, 10), np.tile(rng.integers(97, 123, 300), 200), np.zeros(60_000)):
+        n, padded = len(text), np.concatenate([text, np.zeros(16)]).astype(np.uint8)
+        sa = sd.suffix_order(padded, n, 200)
+        compared.clear()
+        found = sd.common_prefixes(padded, n, sa, 200)
+        assert sum(compared) <= 26 * n and len(compared) <= (sd.RUN + 200) // 8 + 1
+        data = padded[:n].tobytes()
+        for a, b in zip(sa[1::97].tolist(), sa[::97].tolist(), strict=False):
+            assert found[a] == next((i for i in range(200) if max(a, b) + i == n or data[a + i] != data[b + i]), 200)
+
+
 def test_long_texts_go_in_stretches(spark, monkeypatch):
     r = np.random.default_rng(31)
     passage = bytes(r.integers(97, 123, 500).tolist()).decode()
