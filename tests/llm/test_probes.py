@@ -315,6 +315,20 @@ def test_common_prefixes_of_a_repetitive_text(monkeypatch):
             assert found[a] == next((i for i in range(200) if max(a, b) + i == n or data[a + i] != data[b + i]), 200)
 
 
+def test_a_passage_under_one_large_anchor(monkeypatch):
+    """Contexts of one anchor that are split share copies of a passage, one after another, as on the pipeline's third stage."""
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: (compared.append(len(x)), count(x))[1])
+    r = np.random.default_rng(35)
+    passage, n = r.integers(97, 123, 280), 1200
+    texts = [np.concatenate([r.integers(97, 123, 60), passage, r.integers(97, 123, 60)]).astype(np.uint8) for _ in range(n)]
+    size = np.full(n, 400)
+    data = np.concatenate([*texts, np.zeros(8, np.uint8)])
+    hit = sd.repeated_in_groups(data, np.arange(n) * 400, size, np.ones(n, np.int64), np.zeros(n, np.uint64), 200, chunk=150_000)
+    assert [np.flatnonzero(x).tolist() for x in hit.reshape(n, 400)] == brute_windows([t.tobytes() for t in texts], 200)
+    assert 0 < sum(compared) <= 26 * len(hit)
+
+
 def test_long_texts_go_in_stretches(spark, monkeypatch):
     r = np.random.default_rng(31)
     passage = bytes(r.integers(97, 123, 500).tolist()).decode()
