@@ -40,15 +40,16 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
     """(node, root) for every node of an edge between two different nodes; root is the smallest node reachable.
 
     Nulls, loops and repeated edges are ignored. An empty table gives no rows. Each round joins every edge with
     the smallest neighbour of its end, a map-side combined aggregate, so a node with very many edges costs one
-    skew-splittable join, never a list of its neighbours.
+    skew-splittable join, never a list of its neighbours. A round is kept in `files` partitions at most.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
-    e = cut(e)
+    kept = lambda df: cut(df.coalesce(files) if files else df)
+    e = kept(e)
     while True:  # ends: a round that changes nothing follows after some log of the longest path
         if e.limit(SMALL + 1).count() <= SMALL:
             return e.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).coalesce(1).mapInArrow(_solve, "node long, root long")
@@ -58,7 +59,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        nxt = cut(small)
+        nxt = kept(small)
         if nxt.exceptAll(e).isEmpty() and e.exceptAll(nxt).isEmpty():
             break
         e = nxt

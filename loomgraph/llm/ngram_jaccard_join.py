@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textnp as X
 from .components import components
-from .shared import cut, width
+from .shared import cut, few, width
 
 U64 = np.uint64
 _LANES = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3)]
@@ -431,30 +431,31 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     levels = spark.sparkContext.broadcast(level.ravel())  # CELLS bytes
     shingles = per_doc.agg(F.sum("n")).first()[0] or 0
     parts = width(spark, 5 * shingles, 256 << 20)  # a fifth of each set goes out, some 25 bytes a shingle
+    files = few(spark, 16 * shingles)
     packed = source.mapInArrow(_prefixes(words, num, den, levels, parts), "part int, tokens binary, classes binary, sizes binary, places binary")
     pairs = packed.repartition(parts, "part").mapInArrow(_candidates(num, den), "a long, b long, n long, need long")
     edges = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need")
-    clusters = components(edges)
+    clusters = components(edges, files=files)
     classes = per_doc.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low"))
-    members = cut(classes.join(clusters.withColumnRenamed("node", "cls"), "cls").select("rep", "n", "low", "root"))
+    members = cut(classes.join(clusters.withColumnRenamed("node", "cls"), "cls").select("rep", "n", "low", "root").coalesce(files))
     first = source.where("doc_id is not null")
 
-    def links_of(tasks: DataFrame, few: bool = False) -> DataFrame:
-        """Links of the members that meet in tasks (rep, task); few tasks go to the texts, so that these need no shuffle."""
-        texts = first.join(F.broadcast(tasks) if few else tasks.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("task", "doc_id", "text")
+    def links_of(tasks: DataFrame, sent: bool = False) -> DataFrame:
+        """Links of the members that meet in tasks (rep, task); tasks are sent to the texts if these are to need no shuffle."""
+        texts = first.join(F.broadcast(tasks) if sent else tasks.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("task", "doc_id", "text")
         return texts.repartition(parts, "task").sortWithinPartitions("task", "doc_id").mapInArrow(_cluster_links(words, num, den), "a long, b long")
 
     sizes = members.groupBy("root").agg(_block_count(block, block_shingles).alias("blocks"))
     placed = members.join(sizes, "root")
     small = placed.where("blocks = 1").select("rep", F.xxhash64(F.lit(0), "root").alias("task"))
-    large = cut(placed.where("blocks > 1"))
+    large = cut(placed.where("blocks > 1").coalesce(files))
     if large.isEmpty():
         links = links_of(small)
     else:
-        links = cut(links_of(small.unionByName(_stars(large, block, block_shingles))))
-        again = cut(_pairs(large, links, block, block_shingles))
+        links = cut(links_of(small.unionByName(_stars(large, block, block_shingles))).repartition(files))  # coalesced, the texts would meet in so few tasks
+        again = cut(_pairs(large, links, block, block_shingles, files).coalesce(files))
         links = links.unionByName(links_of(again, again.limit(MOST_SENT + 1).count() <= MOST_SENT))
-    roots = components(links)
+    roots = components(links, files=files)
     by_class = classes.select("cls", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("root", "rep").alias("found"))
     out = per_doc.join(by_class, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("doc_id"))).alias("component_id"))
@@ -475,17 +476,17 @@ def _stars(large: DataFrame, block: int, block_shingles: int) -> DataFrame:
     return rest.unionByName(centres)
 
 
-def _pairs(large: DataFrame, links: DataFrame, block: int, block_shingles: int) -> DataFrame:
+def _pairs(large: DataFrame, links: DataFrame, block: int, block_shingles: int, files: int) -> DataFrame:
     """(rep, task): pairs of blocks of a cluster's members, without those inside one group of the links known.
 
     A block is of one group, or of the many small groups of a cluster; a cluster that is one group needs none.
     """
-    known = components(links)
-    held = cut(large.select("root", "rep", "n").join(known.select(F.col("node").alias("rep"), F.col("root").alias("grp")), "rep", "left").withColumn("grp", F.coalesce("grp", "rep")))
+    known = components(links, files=files)
+    held = cut(large.select("root", "rep", "n").join(known.select(F.col("node").alias("rep"), F.col("root").alias("grp")), "rep", "left").withColumn("grp", F.coalesce("grp", "rep")).coalesce(files))
     groups = held.groupBy("root", "grp").agg(_block_count(block, block_shingles).alias("own_blocks"), F.count("*").alias("members"), F.sum("n").alias("n"))
     several = groups.groupBy("root").agg(F.count("*").alias("n_groups"), F.sum(F.when(F.col("own_blocks") == 1, F.col("members"))).alias("loose"), F.sum(F.when(F.col("own_blocks") == 1, F.col("n"))).alias("loose_n")).where("n_groups > 1")
     several = several.select("root", F.greatest(F.lit(1), F.ceil(F.coalesce("loose", F.lit(0)) / block), F.ceil(F.coalesce("loose_n", F.lit(0)) / block_shingles)).cast("int").alias("loose_blocks"))
-    groups = cut(groups.join(several, "root").select("root", "grp", "own_blocks", "loose_blocks"))
+    groups = cut(groups.join(several, "root").select("root", "grp", "own_blocks", "loose_blocks").coalesce(files))
     nth = F.when(F.col("own_blocks") == 1, F.pmod(F.xxhash64(F.lit(5), "grp"), F.col("loose_blocks"))).otherwise(F.pmod(F.xxhash64(F.lit(6), "rep"), F.col("own_blocks"))).cast("int")
     loose = F.lit(None).cast("long")
     placed = held.join(groups, ["root", "grp"]).select("root", "rep", F.when(F.col("own_blocks") > 1, F.col("grp")).otherwise(loose).alias("grp"), nth.alias("nth"))

@@ -28,6 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(spark: SparkSession, size: int) -> int:
+    """Partitions to coalesce a checkpointed table to, of about `size` bytes at most: no more than a shuffle has, no
+    fewer than there are cores, and between these 64 MB each.
+
+    Every file that a task creates starts processes on its executor (chmod, unless Hadoop's native library is there),
+    which share the JVM's memory until they run their command. Coalesced partitions are computed one after another, so
+    a wrong guess costs cores, not memory.
+    """
+    return min(width(spark), max(spark.sparkContext.defaultParallelism, -(-size // (64 << 20))))
+
+
 def quoted(name: str) -> Column:
     """The column of that very name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import re
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -241,6 +242,31 @@ def test_large_clusters_are_split_and_stay_whole(spark):
         assert {x.doc_id: x.component_id for x in ngram_jaccard_join(df, block=block).collect()} == want
 
 
+def files_of_checkpoints(spark, work):
+    """Files of each checkpoint that work() writes with 64 shuffle partitions, which AQE leaves as they are; in order."""
+    top = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    before = set(top.glob("*/rdd-*"))
+    try:
+        for k, v in zip(kept, ("64", "false"), strict=True):
+            spark.conf.set(k, v)
+        out = work()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    new = sorted(set(top.glob("*/rdd-*")) - before, key=lambda p: int(p.name[4:]))
+    return out, [len(list(p.glob("part-*"))) for p in new]
+
+
+def test_small_tables_are_kept_in_few_files(spark):
+    r = np.random.default_rng(4)
+    texts = [" ".join([f"w{i % 2}_{k}" for k in range(60)] + [f"end{r.integers(10**9)}"] * (i % 3)) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out, files = files_of_checkpoints(spark, lambda: {x.doc_id: x.component_id for x in ngram_jaccard_join(df, block=4).collect()})
+    assert out == brute_components([(i, shingles(t)) for i, t in enumerate(texts)], lambda x, y: 100 * len(x & y) >= 80 * len(x | y))
+    assert len(files) >= 6 and max(files) <= spark.sparkContext.defaultParallelism
+
+
 def test_one_shared_shingle_makes_no_candidates():
     """Sets of 400 in a ring, each with one shingle of the next, and two that share ten; all at the first places."""
     token, cls = [7 * i + k for i in range(60) for k in (0, 7)], [i for i in range(60) for _ in range(2)]
