@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as X
-from .shared import carried, cut, schema, width
+from .shared import carried, cut, few, schema, width
 
 U64 = np.uint64
 ANCHOR = 40
@@ -628,11 +628,12 @@ def suffix_dedup(docs: DataFrame, least: int = 200, keep: bool = True, carry: tu
     second = F.xxhash64(F.lit(1), "text")
     per_class = long.groupBy("cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.max(F.octet_length("text")).alias("size"), F.min(second).alias("a"), F.max(second).alias("b"))
     per_class = cut(per_class.where("a = b").drop("a", "b"))
-    parts = width(spark, per_class.agg(F.sum("size")).first()[0] or 0, 256 << 20)
+    size = per_class.agg(F.sum("size")).first()[0] or 0
+    parts, files = width(spark, size, 256 << 20), few(spark, size)
     packed = long.select("cls", "text").mapInArrow(_find_anchors(least, ANCHOR, parts), "part int, known boolean, hashes binary, classes binary, places binary")
     repeated = packed.repartition(parts, "part").mapInArrow(_repeated, "cls long, place long, hash long")
     found = repeated.groupBy("cls").agg(F.collect_set(F.struct("place", "hash")).alias("found"))
-    found = cut(found.join(per_class, "cls").select("cls", "rep", (F.col("n") > 1).alias("many"), "found"))
+    found = cut(found.join(per_class, "cls").select("cls", "rep", (F.col("n") > 1).alias("many"), "found").coalesce(files))
     here = source.alias("s").join(found.alias("f").hint("shuffle_hash"), (F.col("s.cls") == F.col("f.cls")) & F.col("s.doc_id").eqNullSafe(F.col("f.rep")))
     contexts = here.select("f.cls", "f.many", "s.text", "f.found").mapInArrow(_contexts(least, parts), "part int, known boolean, keys binary, names binary, sizes binary, data binary, classes binary, begins binary")
     matched = contexts.repartition(parts, "part").mapInArrow(_shard(least), "cls long, begin long, end long")
@@ -640,7 +641,7 @@ def suffix_dedup(docs: DataFrame, least: int = 200, keep: bool = True, carry: tu
     single = per_class.where("n = 1").join(spans, "cls").select("cls", F.col("rep").alias("doc_id"), F.lit(False).alias("whole"), "found")
     spans_type = "array<struct<begin: bigint, end: bigint>>"
     copies = source.select("doc_id", "cls").join(per_class.where("n > 1").select("cls"), "cls").distinct().select("cls", "doc_id", F.lit(True).alias("whole"), F.lit(None).cast(spans_type).alias("found"))
-    decided = cut(single.unionByName(copies))
+    decided = cut(single.unionByName(copies).coalesce(files))
     joined = source.alias("s").join(decided.alias("d").hint("shuffle_hash"), (F.col("s.cls") == F.col("d.cls")) & F.col("s.doc_id").eqNullSafe(F.col("d.doc_id")), "left").select("s.doc_id", "s.text", F.coalesce("d.whole", F.lit(False)).alias("whole"), "d.found", *[F.col("s.carried")] * bool(carry))
     own = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", spans array<struct<begin: long, end: long>>, kept {'string' if as_text else 'binary'}" * keep
     return joined.mapInArrow(_cut_out(keep, as_text), schema(own, docs, carry))

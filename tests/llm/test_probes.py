@@ -266,6 +266,12 @@ def test_small_tables_are_kept_in_few_files(spark):
     assert out == brute_components([(i, shingles(t)) for i, t in enumerate(texts)], lambda x, y: 100 * len(x & y) >= 80 * len(x | y))
     assert len(files) >= 6 and max(files) <= spark.sparkContext.defaultParallelism
 
+    passage = " ".join(f"p{k}" for k in range(80))
+    rows = [(i, f"{texts[i]} {i} {passage} {i}") for i in range(20)]
+    out, files = files_of_checkpoints(spark, lambda: sd.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep=False).collect())
+    assert all(len(passage) <= x.n_removed < x.n_bytes for x in out) and len(out) == len(rows)
+    assert len(files) == 3 and max(files[1:]) <= spark.sparkContext.defaultParallelism
+
 
 def test_one_shared_shingle_makes_no_candidates():
     """Sets of 400 in a ring, each with one shingle of the next, and two that share ten; all at the first places."""
