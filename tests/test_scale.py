@@ -1,6 +1,21 @@
 """What grows with the square of a group, or of a table, in operators that need not: results, and rows on the way."""
 
-from loomgraph.operators import match
+import random
+import threading
+
+from pyspark.sql import functions as F
+
+from loomgraph.operators import code, match
+
+
+def within(spark, seconds, job):
+    """What job() returns; its Spark jobs are cancelled after so many seconds, which makes it fail."""
+    timer = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        return job()
+    finally:
+        timer.cancel()
 
 
 def test_equal_calls_and_endpoints_are_scored_once(spark, monkeypatch):
@@ -12,3 +27,32 @@ def test_equal_calls_and_endpoints_are_scored_once(spark, monkeypatch):
     assert seen[0] <= 8  # 4 kinds of calls, 2 of endpoints; it was one row for each call and endpoint
     one = {r.call: (r.endpoint, r.confidence) for r in real(match.candidates(calls.where("id in (0, 2)"), ends).join(calls.selectExpr("id as call", "url", "method as call_method", "name as function", "file as call_file"), "call").join(ends.selectExpr("id as endpoint", "path", "method", "name as handler", "file as endpoint_file"), "endpoint")).where("endpoint = 1000").collect()}
     assert got.keys() >= set(range(0, 200, 2)) and all(got[i] == one[0 if i % 5 == 0 else 2] for i in range(0, 200, 2))
+
+
+def brute_callee(rows, functions):
+    """The callee of the rows of one call, by their candidates one by one."""
+    cand = [(r, f) for r in rows for f in functions if r[1] is not None and f[1] == r[1]]
+    same = [(r, f) for r, f in cand if r[2] is not None and r[2] == f[2]]
+    cand = same or cand
+    typed = [f[0] for r, f in cand if r[4] is not None and f[3] is not None and f[3].endswith(r[4])]
+    scoped = [f[0] for r, f in cand if r[3] is not None and r[3] == f[3]]
+    return cand[0][1][0] if len(cand) == 1 else typed[0] if len(typed) == 1 else scoped[0] if len(scoped) == 1 else None
+
+
+def test_call_resolution_against_brute_force(spark):
+    rng = random.Random(3)
+    pick = lambda *values: rng.choice(values)
+    functions = [(f"f{i}", pick(*"abcdefgh", None), pick(0, 1, 2, None), pick("m.A", "m.B", "n.A", "n.C", None)) for i in range(24)]
+    calls = [(rng.randrange(300), pick(*"abcdefghi", None), pick(0, 1, 2, None), pick("m.A", "m.B", "n.A", "n.C", None), pick("A", "m.B", "C", "", None, None)) for _ in range(400)]
+    got = code.resolve_calls(spark.createDataFrame(calls, "call int, name string, arity int, scope string, field_type string"), spark.createDataFrame(functions, "id string, name string, arity int, scope string"))
+    want = {c: brute_callee([r for r in calls if r[0] == c], functions) for c in {r[0] for r in calls}}
+    assert {r.call: r.callee for r in got.collect()} == {c: f for c, f in want.items() if f is not None}
+    assert len(set(want.values())) > 8
+
+
+def test_calls_of_a_common_name_meet_counts(spark):
+    n = 60_000
+    functions = spark.range(n).select(F.concat(F.lit("f"), "id").alias("id"), F.lit("get").alias("name"), F.lit(0).alias("arity"), F.concat(F.lit("m"), "id").alias("scope"))
+    calls = spark.range(n).select(F.col("id").alias("call"), F.lit("get").alias("name"), F.lit(0).alias("arity"), F.concat(F.lit("m"), "id").alias("scope"), F.lit(None).cast("string").alias("field_type"))
+    got = within(spark, 90, lambda: code.resolve_calls(calls, functions).where("callee = concat('f', call)").count())
+    assert got == n
