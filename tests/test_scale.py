@@ -5,7 +5,7 @@ import threading
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import code, dag, match
+from loomgraph.operators import code, dag, impact, match
 
 
 def within(spark, seconds, job):
@@ -72,3 +72,16 @@ def test_nodes_with_edges_both_ways_are_drawn_together(spark, monkeypatch):
     want = {n: (min(g), len(g), True) for g in groups for n in g} | {"loop": ("loop", 1, True), "in": ("in", 1, False)}
     assert got == want and len(colours) < 5
     assert {(r.id, r.wave) for r in dag.condensed_waves(df).collect()} >= {(names[0], 1), ("in", 0), (names[9], 2), (names[12], 3)}
+
+
+def test_shared_steps_from_two_on(spark):
+    rng = random.Random(7)
+    flows = {f"w{i}": {f"f{rng.randrange(40)}" for _ in range(rng.choice((1, 2, 4, 8, 20)))} for i in range(60)}
+    steps = spark.createDataFrame([(w, f) for w, fs in flows.items() for f in fs for _ in range(2)] + [("w1", None), (None, "f1")], "workflow string, function string")
+    for least in (1, 2, 3):
+        want = {(a, b, len(flows[a] & flows[b])) for a in flows for b in flows if a < b and len(flows[a] & flows[b]) >= least}
+        assert {tuple(r) for r in impact.shared_steps(steps, least, wide=6).collect()} == want
+    # one step that all workflows have: 40,000 x 40,000 / 2 rows for pairs that share it alone
+    n = 40_000
+    common = spark.range(n).select(F.concat(F.lit("w"), "id").alias("workflow"), F.explode(F.array(F.lit("all"), F.concat(F.lit("f"), (F.col("id") / 2).cast("long").cast("string")))).alias("function"))
+    assert within(spark, 60, lambda: impact.shared_steps(common, 2).count()) == n // 2
