@@ -5,7 +5,8 @@ import threading
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import code, dag, impact, match
+from loomgraph.functions import infer
+from loomgraph.operators import code, dag, impact, lookup, match
 
 
 def within(spark, seconds, job):
@@ -85,3 +86,21 @@ def test_shared_steps_from_two_on(spark):
     n = 40_000
     common = spark.range(n).select(F.concat(F.lit("w"), "id").alias("workflow"), F.explode(F.array(F.lit("all"), F.concat(F.lit("f"), (F.col("id") / 2).cast("long").cast("string")))).alias("function"))
     assert within(spark, 60, lambda: impact.shared_steps(common, 2).count()) == n // 2
+
+
+def test_domains_are_searched_as_plain_text(spark):
+    texts = ["", None, "PAYMENT of ORDERS", "giỏ HÀNG đăng nhập", "nothing", "x500y", *(t for ts in infer.DOMAINS.values() for t in ts)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", infer.domain_signals(F.col("text")).alias("d"))
+    assert "rlike" not in df._jdf.queryExecution().executedPlan().toString().lower()
+    for r in df.collect():
+        assert r.d == [d for d in sorted(infer.DOMAINS) if any(t in (r.text or "").lower() for t in infer.DOMAINS[d])]
+
+
+def test_phrases_are_sent_to_the_texts(spark):
+    df = spark.createDataFrame([(1, "All rights Reserved. The license"), (2, None)], "id long, text string")
+    known = spark.createDataFrame([("license", "L"), ("the License", "L"), ("all rights reserved", "R")], "pattern string, label string")
+    sent, dealt = lookup.dictionary_entities(df, known), lookup.dictionary_entities(df, known, most_sent=2)
+    want = {(1, "license", "L", 4), (1, "the license", "L", 3), (1, "all rights reserved", "R", 0)}
+    assert {tuple(r) for r in sent.collect()} == {tuple(r) for r in dealt.collect()} == want
+    probe = sent.withColumn("x", F.lit(1))
+    assert probe._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 3
