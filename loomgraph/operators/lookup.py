@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import at_most
+
 #: Labels of code and of document nodes, and kinds of types that no file declares
 CODE_LABELS = ["Project", "Repository", "Directory", "File", "Class", "Function", "Method", "Namespace", "Interface", "Enum", "Type", "Package", "Alias", "Template"]
 DOC_LABELS = ["Document", "Paragraph", "Chunk", "PdfDocument", "WordDocument", "WorksheetDocument", "Slide"]
@@ -58,16 +60,18 @@ def pending(nodes: DataFrame, members: DataFrame, status: str = "pending_summary
     return found.orderBy("id").limit(limit) if limit else found
 
 
-def dictionary_entities(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+def dictionary_entities(texts: DataFrame, patterns: DataFrame, most_sent: int = 50_000) -> DataFrame:
     """(id, name, type, pos): phrases (pattern, label) found in texts (id, text) as whole words in any case, with the place
-    of their first word. Both sides become word sequences, joined on them: as many joins as phrases have lengths."""
+    of their first word. Both sides become word sequences, joined on them: as many joins as phrases have lengths. Up to
+    `most_sent` phrases are sent to the texts, which then stay where they are; more are joined by shuffles."""
     split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     known = patterns.select(F.col("label").alias("type"), split(F.col("pattern")).alias("w")).where(F.size("w") > 0).select("type", F.size("w").alias("n"), F.array_join("w", " ").alias("name")).distinct()
     lengths = sorted(r.n for r in known.select("n").distinct().collect())  # a few numbers
+    sent = F.broadcast if at_most(known, most_sent) else lambda df: df
     words = texts.select("id", split(F.col("text")).alias("w"))
     out = None
     for n in lengths:
         grams = words.where(F.size("w") >= n).select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("pos", "name"))  # noqa: B023
-        found = grams.join(known.where(F.col("n") == n).select("name", "type"), "name").select("id", "name", "type", "pos")
+        found = grams.join(sent(known.where(F.col("n") == n).select("name", "type")), "name").select("id", "name", "type", "pos")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else texts.select("id", F.lit("").alias("name"), F.lit("").alias("type"), F.lit(0).alias("pos")).limit(0)
