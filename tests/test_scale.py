@@ -6,7 +6,7 @@ import threading
 from pyspark.sql import functions as F
 
 from loomgraph.functions import infer
-from loomgraph.operators import code, dag, impact, lookup, match
+from loomgraph.operators import code, dag, graph, impact, lookup, match
 
 
 def within(spark, seconds, job):
@@ -104,3 +104,17 @@ def test_phrases_are_sent_to_the_texts(spark):
     assert {tuple(r) for r in sent.collect()} == {tuple(r) for r in dealt.collect()} == want
     probe = sent.withColumn("x", F.lit(1))
     assert probe._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 3
+
+
+def test_a_small_frontier_is_sent_to_the_edges(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"n{i}", f"n{j}", t) for i in range(60) for j in (i * 2, i * 2 + 1, i) for t in ("a", "b")], "src string, dst string, rel_type string")
+    seeds, dealt, real = spark.createDataFrame([("n1",), ("n7",)], "id string"), [], graph.laid_out
+    monkeypatch.setattr(graph, "laid_out", lambda *a: dealt.append(1) or real(*a))
+    got = {way: {tuple(r) for r in graph.bfs(edges, seeds, 3, way).collect()} for way in ("out", "in", "both")}
+    assert not dealt
+    monkeypatch.setattr(graph, "SENT", 1)  # a wide frontier: the edges are dealt out once
+    assert got == {way: {tuple(r) for r in graph.bfs(edges, seeds, 3, way).collect()} for way in got} and len(dealt) == 3
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(125)], "id string")
+    want = {(r.id, r.inbound) for r in impact.dead_nodes(nodes, edges, seeds, 2).collect()}
+    assert want == {(r.id, r.inbound) for r in impact.dead_nodes(nodes, edges, seeds, 2, edges.select("src", "dst").distinct()).collect()}
+    assert ("n0", 4) in want and ("n124", 0) in want and not {"n1", "n7", "n14"} & {i for i, _ in want}
