@@ -64,8 +64,10 @@ def expand_relations(relations: DataFrame, seeds: DataFrame, depth: int, budget:
         step = both.join(frontier, both["source"] == frontier["id"], "left_semi")
         for f in found:
             step = step.join(f, ["source", "relation", "target"], "left_anti")
-        step = cut(step.orderBy("source", "relation", "target").limit(left).withColumn("hop", F.lit(hop)))
+        step = cut(step.withColumn("hop", F.lit(hop)))
         n = step.count()
+        if n > left:  # only then are rows put in order
+            step, n = cut(step.orderBy("source", "relation", "target").limit(left)), left
         if not n:
             break
         found.append(step)

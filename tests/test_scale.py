@@ -6,7 +6,8 @@ import threading
 from pyspark.sql import functions as F
 
 from loomgraph.functions import infer
-from loomgraph.operators import code, dag, graph, impact, lookup, match
+from loomgraph.operators import code, dag, docs, graph, impact, lookup, match, search
+from loomgraph.plans import adapters, search_queries
 
 
 def within(spark, seconds, job):
@@ -118,3 +119,25 @@ def test_a_small_frontier_is_sent_to_the_edges(spark, monkeypatch):
     want = {(r.id, r.inbound) for r in impact.dead_nodes(nodes, edges, seeds, 2).collect()}
     assert want == {(r.id, r.inbound) for r in impact.dead_nodes(nodes, edges, seeds, 2, edges.select("src", "dst").distinct()).collect()}
     assert ("n0", 4) in want and ("n124", 0) in want and not {"n1", "n7", "n14"} & {i for i, _ in want}
+
+
+def test_neighbouring_mentions_need_no_join(spark, tmp_path, monkeypatch):
+    texts = ["Ann met Bob. Cid saw Ann, Bob", "lower only", None, "Ann", "Bob Bob Eve"]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, real = [], docs.expand_relations
+    monkeypatch.setattr(docs, "expand_relations", lambda rel, *a: plans.append(rel._jdf.queryExecution().optimizedPlan().toString()) or real(rel, *a))
+    got = {tuple(r) for r in search_queries.relation_expand(adapters.Tables(spark, str(tmp_path))).collect()}
+    assert got == {("ann", "bob", 1), ("ann", "cid", 1), ("bob", "ann", 2), ("bob", "cid", 2), ("bob", "eve", 2), ("cid", "ann", 2), ("cid", "bob", 2)}
+    assert "Join" not in plans[0]
+    rel = spark.createDataFrame([("a", "R", f"b{i}") for i in range(9)], "source string, relation string, target string")
+    some = real(rel, spark.createDataFrame([("a",)], "id string"), 3, 4).collect()
+    assert [(r.target, r.hop) for r in sorted(some)] == [(f"b{i}", 1) for i in range(4)]
+
+
+def test_nearest_points_by_small_blocks(spark):
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randrange(-3, 4)) or 1.0 for _ in range(4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    queries = df.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    one, small = ({tuple(r) for r in search.knn_join(queries, df, 5, block=b).collect()} for b in (1000, 7))
+    assert one == small and len(one) == 100
